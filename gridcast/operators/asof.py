@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridcast.functions.expr import days_since_epoch
@@ -28,16 +28,6 @@ DEFAULT_BUCKET_DAYS = 7
 _AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max, "or": F.bit_or}
 
 
-def _merge(kind: str, a: Column, b: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    if kind == "min":
-        return F.least(a, b)
-    if kind == "max":
-        return F.greatest(a, b)
-    return F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0)))
-
-
 def _bucket(ts: str, days: int) -> Column:
     return F.floor(days_since_epoch(F.col(ts)) / F.lit(days)).cast("bigint")
 
@@ -69,35 +59,44 @@ def asof_aggregate(
     order_of_probe = 2 if inclusive else 0
     probe_ts = probe_ts or ts
     asked = probes.select(*keys, F.col(probe_ts).alias(ts)).distinct().withColumn("_kind", F.lit(order_of_probe))
-    both = instants.unionByName(asked, allowMissingColumns=True).withColumn("_bucket", _bucket(ts, bucket_days))
+    rows = instants.unionByName(asked, allowMissingColumns=True).withColumn("_bucket", _bucket(ts, bucket_days))
+    carried = _carried(rows, keys, measures)
+    inside = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy(F.col(ts).asc_nulls_first(), "_kind")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    running = rows.unionByName(carried, allowMissingColumns=True).select(
+        *keys,
+        F.col(ts).alias(probe_ts),
+        "_kind",
+        *[_over(kind, name, inside).alias(name) for name, (kind, _) in measures.items()],
+    )
+    return running.filter(F.col("_kind") == order_of_probe).drop("_kind")
+
 
-    # Buckets that hold probes only are carried over too, with nothing to add.
+def _over(kind: str, name: str, window: WindowSpec) -> Column:
+    total = _AGGREGATE[kind](F.col(name)).over(window)
+    return F.coalesce(total, F.lit(0)) if kind in ("sum", "or") else total
+
+
+def _carried(rows: DataFrame, keys: list[str], measures: Measures) -> DataFrame:
+    """One row per (key, bucket) with everything before the bucket.
+
+    The row has no time and so sorts first: the running window inside the bucket
+    starts from it, and no join is needed to add the two levels up.
+    """
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        both.groupBy(*keys, "_bucket")
+    return (
+        rows.groupBy(*keys, "_bucket")
         .agg(*[_AGGREGATE[kind](F.col(name)).alias(name) for name, (kind, _) in measures.items()])
         .select(
             *keys,
             "_bucket",
-            *[_AGGREGATE[kind](F.col(name)).over(earlier).alias(f"_carry_{name}") for name, (kind, _) in measures.items()],
+            F.lit(-1).alias("_kind"),
+            *[_AGGREGATE[kind](F.col(name)).over(earlier).alias(name) for name, (kind, _) in measures.items()],
         )
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = both.select(
-        *keys,
-        ts,
-        "_bucket",
-        "_kind",
-        *[_AGGREGATE[kind](F.col(name)).over(inside).alias(name) for name, (kind, _) in measures.items()],
-    ).filter(F.col("_kind") != 1)
-    joined = running.join(carried, [*keys, "_bucket"])
-    return joined.select(
-        *keys,
-        F.col(ts).alias(probe_ts),
-        *[_merge(kind, F.col(name), F.col(f"_carry_{name}")).alias(name) for name, (kind, _) in measures.items()],
-    )
 
 
 def timeline(
@@ -119,46 +118,38 @@ def timeline(
     """
     keys = list(keys)
     extra: Measures = {lead: ("max", F.col(lead))} if lead else {}
-    instants = _per_instant(facts, keys, ts, {**measures, **extra}).withColumn("_bucket", _bucket(ts, bucket_days))
-    firsts = [F.min(ts).alias("_first_ts")] + ([F.min(lead).alias("_first_lead")] if lead else [])
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        instants.groupBy(*keys, "_bucket")
-        .agg(*[_AGGREGATE[kind](F.col(name)).alias(name) for name, (kind, _) in measures.items()], *firsts)
-        .select(
-            *keys,
-            "_bucket",
-            *[_AGGREGATE[kind](F.col(name)).over(earlier).alias(f"_carry_{name}") for name, (kind, _) in measures.items()],
-            F.lead("_first_ts").over(across).alias("_next_bucket_ts"),
-            *([F.lead("_first_lead").over(across).alias("_next_bucket_lead")] if lead else []),
-        )
+    rows = (
+        _per_instant(facts, keys, ts, {**measures, **extra})
+        .withColumn("_bucket", _bucket(ts, bucket_days))
+        .withColumn("_kind", F.lit(1))
     )
-    order = Window.partitionBy(*keys, "_bucket").orderBy(ts)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = instants.select(
+    # Each bucket gets a first row holding the totals before it and a last row holding
+    # the time of the key's next change, so the window inside the bucket needs no join.
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    followed = rows.groupBy(*keys, "_bucket").agg(F.min(ts).alias("_first"), *([F.min(lead).alias("_first_lead")] if lead else []))
+    following = followed.select(
         *keys,
-        ts,
         "_bucket",
-        *([lead] if lead else []),
-        *[_AGGREGATE[kind](F.col(name)).over(upto).alias(f"_in_{name}") for name, (kind, _) in measures.items()],
-        *[_AGGREGATE[kind](F.col(name)).over(prior).alias(f"_ex_{name}") for name, (kind, _) in measures.items()],
-        F.lead(ts).over(order).alias("_next_ts"),
-        *([F.lead(lead).over(order).alias("_next_lead")] if lead else []),
+        F.lit(2).alias("_kind"),
+        F.lead("_first").over(across).alias(ts),
+        *([F.lead("_first_lead").over(across).alias(lead)] if lead else []),
     )
-    joined = rows.join(carried, [*keys, "_bucket"])
-    return joined.select(
+    everything = rows.unionByName(_carried(rows, keys, measures), allowMissingColumns=True).unionByName(
+        following, allowMissingColumns=True
+    )
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_kind", ts)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prior = order.rowsBetween(Window.unboundedPreceding, -1)
+    steps = everything.select(
         *keys,
         ts,
-        F.coalesce("_next_ts", "_next_bucket_ts").alias("valid_to"),
-        *([lead, F.coalesce("_next_lead", "_next_bucket_lead").alias(f"next_{lead}")] if lead else []),
-        *[_merge(kind, F.col(f"_in_{name}"), F.col(f"_carry_{name}")).alias(name) for name, (kind, _) in measures.items()],
-        *[
-            _merge(kind, F.col(f"_ex_{name}"), F.col(f"_carry_{name}")).alias(f"before_{name}")
-            for name, (kind, _) in measures.items()
-        ],
+        F.lead(ts).over(order).alias("valid_to"),
+        "_kind",
+        *([lead, F.lead(lead).over(order).alias(f"next_{lead}")] if lead else []),
+        *[_over(kind, name, upto).alias(name) for name, (kind, _) in measures.items()],
+        *[_over(kind, name, prior).alias(f"before_{name}") for name, (kind, _) in measures.items()],
     )
+    return steps.filter(F.col("_kind") == 1).drop("_kind")
 
 
 # --- best-of-interval lookups -------------------------------------------------

@@ -31,9 +31,11 @@ def _home_win(home: Column, away: Column) -> Column:
     return X.with_home_field(X.log5(home, away), F.col("neutral_site"))
 
 
-def rated_games(games: DataFrame, history: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONENT) -> DataFrame:
+def rated_games(
+    games: DataFrame, history: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONENT, probes: DataFrame | None = None
+) -> DataFrame:
     """``games`` (with a cutoff) plus both sides' totals and strength as of the cutoff."""
-    totals = scoring_totals(side_probes(games), history)
+    totals = scoring_totals(side_probes(games) if probes is None else probes, history)
     return attach_sides(games, team_strength(totals, exponent), _RATED)
 
 
@@ -99,13 +101,14 @@ def add_raw_pythagorean(rated: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONE
 
 def add_turnover_normalized(
     rated: DataFrame,
+    probes: DataFrame,
     history: DataFrame,
     statlines: DataFrame,
     exponent: float = K.PYTHAGOREAN_EXPONENT,
     points: float = K.POINTS_PER_TURNOVER_MARGIN,
 ) -> DataFrame:
     """Take half the points worth of turnover margin off scoring and put half on conceding."""
-    form = turnover_form(side_probes(rated), history, statlines)
+    form = turnover_form(probes, history, statlines)
     df = attach_sides(rated, form, ["turnover_form"])
     floor = F.lit(K.RATE_FLOOR)
 
@@ -120,13 +123,13 @@ def add_turnover_normalized(
 
 
 def add_schedule_adjusted(
-    rated: DataFrame, history: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONENT
+    rated: DataFrame, probes: DataFrame, history: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONENT
 ) -> DataFrame:
     """Scale scoring up and conceding down by the schedule factor, and the reverse for an easy one.
 
     A missing history is reported before unusable scoring, whichever side has it.
     """
-    df = attach_sides(rated, schedule_factor(side_probes(rated), history, exponent), ["schedule_factor"])
+    df = attach_sides(rated, schedule_factor(probes, history, exponent), ["schedule_factor"])
     floor = F.lit(K.RATE_FLOOR)
 
     def s(side: str) -> Column:

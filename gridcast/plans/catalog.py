@@ -1,3 +1,4 @@
 """All registered queries."""
 
 from gridcast.plans import strength_queries  # noqa: F401
+from gridcast.plans import evaluation_queries  # noqa: F401

@@ -276,14 +276,14 @@ def _(t: Tables) -> DataFrame:
 @query("f5_turnover_forecast", with_ctes(f"SELECT game_id, {q6('p')} AS p, reason FROM f5"))
 def _(t: Tables) -> DataFrame:
     rated = FC.rated_games(tested(t), t.games())
-    return FC.add_turnover_normalized(rated, t.games(), t.statlines()).select(
+    return FC.add_turnover_normalized(rated, probes(t), t.games(), t.statlines()).select(
         "game_id", r6("turnover_normalized_probability", "p"), F.col("turnover_normalized_reason").alias("reason"))
 
 
 @query("f6_sos_forecast", with_ctes(f"SELECT game_id, {q6('p')} AS p, reason FROM f6"))
 def _(t: Tables) -> DataFrame:
     rated = FC.rated_games(tested(t), t.games())
-    return FC.add_schedule_adjusted(rated, t.games()).select(
+    return FC.add_schedule_adjusted(rated, probes(t), t.games()).select(
         "game_id", r6("sos_adjusted_probability", "p"), F.col("sos_adjusted_reason").alias("reason"))
 
 
