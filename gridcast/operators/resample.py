@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast import constants as K
 from gridcast.functions.draws import draw_index
+from gridcast.session import spread, stage
 
 _PREFIX = 3  # hex digits: 4096 evenly filled ranges of the hash, whatever the ids look like
 
@@ -68,8 +69,10 @@ def bootstrap_replicates(
     is reduced to sums before it is shuffled.
     """
     groups = list(groups)
-    placed = shuffled_position(scored, key, seed, groups).select(*groups, "position", "n", *values)
-    draws = placed.select(
+    # Staged: it is read on both sides of the join, and its known size lets the optimizer
+    # broadcast it when small instead of shuffling every draw.
+    placed = stage(shuffled_position(scored, key, seed, groups).select(*groups, "position", "n", *values))
+    draws = spread(placed, *groups, "position").select(
         *groups, F.col("position").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")
     ).select(*groups, "replicate", draw_index(F.col("n"), seed, F.col("replicate"), F.col("_slot")).alias("position"))
     return (

@@ -10,7 +10,7 @@ from gridcast.operators import evaluation as E
 from gridcast.operators import metrics, resample, significance
 from gridcast.plans import sqltext as Q
 from gridcast.plans.fixtures import Tables
-from gridcast.plans.registry import big, cte, q6, qstamp, query, r6, stamp, with_ctes
+from gridcast.plans.registry import big, cte, off_tie, q6, q_off_tie, qstamp, query, r6, stamp, with_ctes
 
 cte("model_samples", """
 SELECT game_id, season_year, week, kickoff_at, home_team_id, away_team_id, is_tie, home_won,
@@ -261,19 +261,19 @@ def _(t: Tables) -> DataFrame:
     return significance.fisher_exact(cells, ["week"]).select(big("week"), r6("fisher_p"))
 
 
-@query("e17_mcnemar_exact", with_ctes(f"SELECT week::BIGINT AS week, {q6('p')} AS mcnemar_p FROM mcnemar"))
+@query("e17_mcnemar_exact", with_ctes(f"SELECT week::BIGINT AS week, {q_off_tie('p')} AS mcnemar_p FROM mcnemar"))
 def _(t: Tables) -> DataFrame:
-    return significance.mcnemar_exact(week_counts(t), ["week"], "only_baseline", "only_candidate").select(big("week"), r6("mcnemar_p"))
+    return significance.mcnemar_exact(week_counts(t), ["week"], "only_baseline", "only_candidate").select(big("week"), off_tie("mcnemar_p"))
 
 
 @query("e18_paired_significance", with_ctes(f"""
 SELECT h.week::BIGINT AS week, n AS sample_count, b AS baseline_correct, c AS candidate_correct, ob AS only_baseline, oc AS only_candidate,
-       {q6('f.p')} AS fisher_p, {q6('m.p')} AS mcnemar_p
+       {q6('f.p')} AS fisher_p, {q_off_tie('m.p')} AS mcnemar_p
 FROM hit_counts AS h JOIN fisher AS f ON f.week = h.week JOIN mcnemar AS m ON m.week = h.week"""))
 def _(t: Tables) -> DataFrame:
     return significance.paired_significance(E.paired_hits(pairs(t)), ["week"]).select(
         big("week"), *[big(c) for c in ("sample_count", "baseline_correct", "candidate_correct", "only_baseline", "only_candidate")],
-        r6("fisher_p"), r6("mcnemar_p"))
+        r6("fisher_p"), off_tie("mcnemar_p"))
 
 
 cte("holdout", f"""

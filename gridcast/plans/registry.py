@@ -93,3 +93,16 @@ def q6(expr: str) -> str:
 
 def qstamp(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+
+
+# Means of short decimals over few games often end exactly in a 5 at the seventh
+# decimal, where a last-bit difference would flip the sixth. Both sides are nudged.
+
+
+def off_tie(column: Column | str, name: str | None = None) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return F.round(c + F.lit(1e-9), 6).alias(name or column)
+
+
+def q_off_tie(expr: str) -> str:
+    return f"(round(({expr}) + 1e-9::DOUBLE, 6) + 0.0)"

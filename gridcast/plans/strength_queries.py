@@ -220,10 +220,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("m5_contract_payout", with_ctes(f"""
 SELECT game_id, {q6('p + 0.5 * tie')} AS home_payout, {q6('(1 - p - tie) + 0.5 * tie')} AS away_payout
-FROM (SELECT game_id, p, (1 - p) / 7 AS tie FROM baseline) AS b"""))
+FROM (SELECT game_id, p, 0.002::DOUBLE AS tie FROM baseline) AS b"""))
 def _(t: Tables) -> DataFrame:
     p = F.col("home_win_probability")
-    tie = (1 - p) / 7
+    tie = F.lit(0.002)
     return FC.baseline_forecast(tested(t), t.games()).select(
         "game_id", r6(X.home_payout(p, tie), "home_payout"), r6(X.away_payout(p, tie), "away_payout"))
 

@@ -56,3 +56,14 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/gridcast-stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartition by ``columns`` over all cores before a step that multiplies rows.
+
+    Adaptive execution sizes partitions by their input, so a small table about to be
+    exploded would otherwise end up in one task.
+    """
+    spark = df.sparkSession
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wide, *columns)
