@@ -407,7 +407,7 @@ cte("starter_seen", seen_sql("starter_decisions", "season_live"))
 cte("starter_top", f"SELECT player_id, as_of, arg_min(report_class, {_class_rank}) AS report_class FROM starter_seen GROUP BY ALL")
 # the pairwise check below is only run on classes without an official word, as an official report settles alone
 cte("starter_settled", f"""
-SELECT t.player_id, t.as_of, t.report_class, CASE WHEN max(q.event_time) + INTERVAL 24 HOUR < t.as_of THEN 'stale' ELSE 'confirmed' END AS confirmation
+SELECT t.player_id, t.report_class, t.as_of, CASE WHEN max(q.event_time) + INTERVAL 24 HOUR < t.as_of THEN 'stale' ELSE 'confirmed' END AS confirmation
 FROM starter_top AS t JOIN starter_seen AS q ON q.player_id = t.player_id AND q.as_of = t.as_of AND q.report_class = t.report_class AND q.official
 GROUP BY t.player_id, t.as_of, t.report_class
 UNION ALL
