@@ -38,7 +38,10 @@ def with_names(t: Tables) -> DataFrame:
 
 
 def landed_scoreboards(t: Tables) -> DataFrame:
-    """One payload per game; some carry no away side, an unreadable score or an unknown season phase."""
+    """One payload per game; some carry no away side, an unreadable score or an unknown season phase.
+
+    Seasons are numbered ten years on, as seasons before 2000 are refused.
+    """
     gid = F.col("game_id")
     phase = F.when(gid % 83 == 0, 9).when(F.col("season_type") == "preseason", 1).otherwise(2)
     home_score = F.when(gid % 89 == 0, F.concat(F.lit("x"), text("home_score"))).otherwise(text("home_score"))
@@ -52,7 +55,7 @@ def landed_scoreboards(t: Tables) -> DataFrame:
     )
     event = F.struct(
         text("game_id").alias("id"), iso(F.col("kickoff_at")).alias("date"),
-        F.struct(F.col("season_year").alias("year"), phase.alias("type")).alias("season"),
+        F.struct((F.col("season_year") + 10).alias("year"), phase.alias("type")).alias("season"),
         F.struct(F.col("week").alias("number")).alias("week"), F.array(comp).alias("competitions"),
     )
     return with_names(t).select(
@@ -71,7 +74,7 @@ FROM games AS g JOIN teams AS h ON h.team_id = home_team_id JOIN teams AS a ON a
 
 
 @query("s7_scoreboard", with_ctes(f"""
-SELECT game_id::VARCHAR AS event_id, season_year::BIGINT AS season_year, CASE WHEN problem IS NULL THEN season_type END AS season_type, week::BIGINT AS week,
+SELECT game_id::VARCHAR AS event_id, season_year::BIGINT + 10 AS season_year, CASE WHEN problem IS NULL THEN season_type END AS season_type, week::BIGINT AS week,
        {qstamp('kickoff_at')} AS kickoff_at, completed, neutral_site, home_team_id::VARCHAR AS home_team_id, ha AS home_team_abbreviation,
        CASE WHEN problem IS NULL THEN home_score::BIGINT END AS home_score, CASE WHEN problem IS NULL THEN away_score::BIGINT END AS away_score, problem
 FROM landed_games"""))
@@ -358,7 +361,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("v4_canonical_games", with_ctes("""
-SELECT 'game:' || substr(sha256('game' || chr(30) || 'feed' || chr(31) || game_id::VARCHAR), 1, 32) AS id, season_year::BIGINT AS season_year,
+SELECT 'game:' || substr(sha256('game' || chr(30) || 'feed' || chr(31) || game_id::VARCHAR), 1, 32) AS id, season_year::BIGINT + 10 AS season_year,
        'team:' || substr(sha256('team' || chr(30) || 'feed' || chr(31) || home_team_id::VARCHAR), 1, 32) AS home_team_id, home_score::BIGINT AS home_score
 FROM landed_games WHERE problem IS NULL"""))
 def _(t: Tables) -> DataFrame:
