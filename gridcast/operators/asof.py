@@ -126,17 +126,34 @@ def timeline(
     # Each bucket gets a first row holding the totals before it and a last row holding
     # the time of the key's next change, so the window inside the bucket needs no join.
     across = Window.partitionBy(*keys).orderBy("_bucket")
-    followed = rows.groupBy(*keys, "_bucket").agg(F.min(ts).alias("_first"), *([F.min(lead).alias("_first_lead")] if lead else []))
-    following = followed.select(
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        rows.groupBy(*keys, "_bucket")
+        .agg(
+            *[_AGGREGATE[kind](F.col(name)).alias(name) for name, (kind, _) in measures.items()],
+            F.min(ts).alias("_first"),
+            *([F.min(lead).alias("_first_lead")] if lead else []),
+        )
+        .select(
+            *keys,
+            "_bucket",
+            *[_AGGREGATE[kind](F.col(name)).over(earlier).alias(name) for name, (kind, _) in measures.items()],
+            F.lead("_first").over(across).alias("_next"),
+            *([F.lead("_first_lead").over(across).alias("_next_lead")] if lead else []),
+        )
+        # after the windows: exploded in the same select, they would run over doubled rows
+        .withColumn("_kind", F.explode(F.array(F.lit(-1), F.lit(2))))
+    )
+    opens = F.col("_kind") == -1
+    frame = buckets.select(
         *keys,
         "_bucket",
-        F.lit(2).alias("_kind"),
-        F.lead("_first").over(across).alias(ts),
-        *([F.lead("_first_lead").over(across).alias(lead)] if lead else []),
-    )
-    everything = rows.unionByName(_carried(rows, keys, measures), allowMissingColumns=True).unionByName(
-        following, allowMissingColumns=True
+        "_kind",
+        *[F.when(opens, F.col(name)).alias(name) for name in measures],
+        F.when(~opens, F.col("_next")).alias(ts),
+        *([F.when(~opens, F.col("_next_lead")).alias(lead)] if lead else []),
     )
+    everything = rows.unionByName(frame)
     order = Window.partitionBy(*keys, "_bucket").orderBy("_kind", ts)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridcast import constants as K
 from gridcast.functions.expr import hours_after, hours_before
 from gridcast.operators.asof import asof_aggregate
+from gridcast.session import stage
 
 _HOURS = K.CORROBORATION_HOURS
 
@@ -164,6 +165,7 @@ def confirmation(decisions: DataFrame, reports: DataFrame, keys: list[str]) -> D
         asked, corroborated_at(unofficial, keys), keys, "corroborated_at", {"anchor": ("min", F.col("event_time"))},
         probe_ts="as_of", inclusive=True,
     )
+    first = stage(first)
     latest = _latest_near_anchor(first.filter(F.col("anchor").isNotNull()), unofficial, keys)
     known = official.join(first, [*keys, "as_of"], "left").join(latest, [*keys, "anchor", "as_of"], "left")
     basis = F.coalesce("official_latest", "latest")
@@ -191,9 +193,9 @@ def resolve_availability(decisions: DataFrame, reports: DataFrame) -> DataFrame:
     text, or texts that disagree, leave the status unknown; so does a stale
     confirmation. An uncorroborated status is only tentative.
     """
-    live = with_official(reports)
+    live = stage(with_official(reports))
     bits = F.create_map(*chain.from_iterable((F.lit(s), F.lit(1 << i)) for i, s in enumerate(K.AVAILABILITY_STATUSES)))
-    asked = decisions.select("player_id", "as_of").distinct()
+    asked = stage(decisions.select("player_id", "as_of").distinct())
     per_class = asked.withColumn("report_class", F.explode(F.array(*[F.lit(c) for c in K.REPORT_CLASSES])))
     seen = asof_aggregate(
         per_class, live, ["player_id", "report_class"], "visible_at",
@@ -204,9 +206,11 @@ def resolve_availability(decisions: DataFrame, reports: DataFrame) -> DataFrame:
         probe_ts="as_of", inclusive=True,
     ).filter(F.col("reports") > 0)
     rank = F.array_position(F.array(*[F.lit(c) for c in K.REPORT_CLASSES]), F.col("report_class"))
-    top = seen.groupBy("player_id", "as_of").agg(
-        F.min_by(F.struct("report_class", "reports", "statuses"), rank).alias("_top")
-    ).select("player_id", "as_of", "_top.*")
+    top = stage(
+        seen.groupBy("player_id", "as_of")
+        .agg(F.min_by(F.struct("report_class", "reports", "statuses"), rank).alias("_top"))
+        .select("player_id", "as_of", "_top.*")
+    )
     settled = confirmation(top, live, ["player_id", "report_class"])
     found = asked.join(top, ["player_id", "as_of"], "left").join(settled, ["player_id", "report_class", "as_of"], "left")
     names = F.array(*[F.lit(s) for s in K.AVAILABILITY_STATUSES])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.special import log_choose, normal_two_sided_p
+from gridcast.session import stage
 
 _CHUNK = 1 << 16
 
@@ -89,7 +90,7 @@ def paired_counts(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
 def paired_significance(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Counts with both exact p-values per group."""
     groups = list(groups)
-    counts = paired_counts(pairs, groups)
+    counts = stage(paired_counts(pairs, groups))  # one row per group, read three times
     cells = counts.select(
         *groups,
         F.col("baseline_correct").alias("a"),

@@ -348,7 +348,7 @@ def _(t: Tables) -> DataFrame:
     regular = F.col("season_type") == "regular"
     asked = own.filter(regular | (F.col("week") == 1)).unionByName(own.filter(regular & (F.col("week") == 2))).unionByName(
         g.withColumn("requested_season", F.col("season_year") + 1).filter(regular & (F.col("week") == 25)))
-    got = C.season_coverage(C.season_problems(asked))
+    got = C.season_coverage(C.season_events(asked))
     return got.select(
         big("requested_season"), *[big(c) for c in ("games_captured", "duplicates", "inconsistent", "incomplete", "teams_captured")], "is_complete")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast import constants as K
@@ -76,35 +76,56 @@ def statline_rules() -> dict[str, Column]:
     }
 
 
-def season_problems(games: DataFrame, season: Column | None = None, require_completed: bool = True, order: str = "retrieved_at") -> DataFrame:
-    """Label each landed game: accepted (null), inconsistent, duplicate (the first is kept) or incomplete.
+def season_events(games: DataFrame, order: str = "retrieved_at") -> DataFrame:
+    """Landed games of a requested season, one row per event: the first copy and how often it came.
 
-    ``requested_season`` is the season a game was asked for under.
+    ``requested_season`` is the season a game was asked for under. Copies are folded
+    by an aggregation, so an event landed very often is reduced before it is shuffled.
     """
     fits = (F.col("season_year") == F.col("requested_season")) & (F.col("season_type") == "regular")
-    copy = Window.partitionBy("requested_season", "event_id", fits).orderBy(order)
-    numbered = games.withColumn("_fits", fits).withColumn("_copy", F.row_number().over(copy))
-    return numbered.withColumn(
-        "problem",
-        F.when(~F.col("_fits"), "inconsistent")
-        .when(F.col("_copy") > 1, "duplicate")
-        .when(F.lit(require_completed) & ~F.col("completed"), "incomplete"),
-    ).drop("_fits", "_copy")
+    rest = [c for c in games.columns if c not in ("requested_season", "event_id")]
+    first = F.min_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*sorted(rest))))
+    return (
+        games.withColumn("fits", fits)
+        .groupBy("requested_season", "event_id", "fits")
+        .agg(F.count(F.lit(1)).alias("copies"), first.alias("_first"))
+        .select("requested_season", "event_id", "fits", "copies", "_first.*")
+    )
+
+
+def accepted_games(events: DataFrame) -> DataFrame:
+    return events.filter("fits").drop("fits", "copies")
+
+
+def season_problems(events: DataFrame, require_completed: bool = True) -> DataFrame:
+    """Events with a problem: inconsistent with the request, landed more than once, or not completed."""
+    problems = F.array_compact(
+        F.array(
+            F.when(~F.col("fits"), F.lit("inconsistent")),
+            F.when(F.col("fits") & (F.col("copies") > 1), F.lit("duplicate")),
+            F.when(F.col("fits") & F.lit(require_completed) & ~F.col("completed"), F.lit("incomplete")),
+        )
+    )
+    return events.select("requested_season", "event_id", "copies", F.explode(problems).alias("problem"))
 
 
-def season_coverage(labelled: DataFrame, expected_games: int = K.EXPECTED_SEASON_GAMES, expected_teams: int = K.EXPECTED_SEASON_TEAMS) -> DataFrame:
+def season_coverage(
+    events: DataFrame,
+    require_completed: bool = True,
+    expected_games: int = K.EXPECTED_SEASON_GAMES,
+    expected_teams: int = K.EXPECTED_SEASON_TEAMS,
+) -> DataFrame:
     """Per requested season: games and teams captured against expected, problem counts, and the gate."""
-    kept = F.col("problem").isNull() | (F.col("problem") == "incomplete")
+    fits = F.col("fits")
     count = lambda c: F.sum(c.cast("bigint"))
-    problem = lambda name: count(F.coalesce(F.col("problem") == name, F.lit(False)))
-    counts = labelled.groupBy("requested_season").agg(
-        count(kept).alias("games_captured"),
-        problem("duplicate").alias("duplicates"),
-        problem("inconsistent").alias("inconsistent"),
-        problem("incomplete").alias("incomplete"),
+    counts = events.groupBy("requested_season").agg(
+        count(fits).alias("games_captured"),
+        F.sum(F.when(fits, F.col("copies") - 1).otherwise(0)).alias("duplicates"),
+        F.sum(F.when(~fits, F.col("copies")).otherwise(0)).alias("inconsistent"),
+        count(fits & F.lit(require_completed) & ~F.col("completed")).alias("incomplete"),
     )
     teams = (
-        labelled.filter(kept)
+        events.filter(fits)
         .select("requested_season", F.explode(F.array("home_team_id", "away_team_id")).alias("team"))
         .groupBy("requested_season")
         .agg(F.countDistinct("team").alias("teams_captured"))

@@ -227,3 +227,18 @@ def test_stream_of_snapshots(spark, tmp_path):
     q.awaitTermination(120)
     assert [r["event_id"] for r in spark.read.parquet(out).collect()] == ["1"]
     assert [r["problem"] for r in spark.read.parquet(bad).collect()] == ["week"]
+
+
+def test_season_gate(spark):
+    rows = [(2020, str(i), 2020, "regular", i % 4, 4 + i % 4, True, datetime(2020, 9, 1)) for i in range(8)]
+    schema = "requested_season int, event_id string, season_year int, season_type string, home_team_id int, away_team_id int, completed boolean, retrieved_at timestamp"
+    gate = lambda rows: canonical.season_coverage(canonical.season_events(spark.createDataFrame(rows, schema)), True, 8, 8).first()
+    assert gate(rows)["is_complete"]
+    more = rows + [rows[0], (2020, "x", 2019, "regular", 1, 2, True, datetime(2020, 9, 1))]
+    got = gate(more)
+    assert (got["duplicates"], got["inconsistent"], got["games_captured"], got["is_complete"]) == (1, 1, 8, False)
+    late = gate(rows[:-1] + [rows[-1][:6] + (False,) + rows[-1][7:]])
+    assert (late["incomplete"], late["is_complete"]) == (1, False)
+    events = canonical.season_events(spark.createDataFrame(more, schema))
+    assert sorted(r["problem"] for r in canonical.season_problems(events).collect()) == ["duplicate", "inconsistent"]
+    assert canonical.accepted_games(events).count() == 8
