@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast import constants as K
-from gridcast.operators import fitting, metrics, players, season, signals
+from gridcast.operators import fitting, players, season, signals
 from gridcast.plans import sqltext as Q
 from gridcast.plans.evaluation_queries import losses
 from gridcast.plans.fixtures import Tables
-from gridcast.plans.registry import big, cte, off_tie, q6, q_off_tie, query, r6, with_ctes
+from gridcast.plans.registry import big, cte, q6, query, r6, with_ctes
 
 TRAIN, TEST = [1996, 1997, 1998, 1999], [2000, 2001]
 EXPONENTS = [1.5, 2.0, 2.37, 3.0, 4.0]
@@ -23,13 +23,12 @@ for _i in range(4):
     _lo, _hi = ("1.0::DOUBLE", "5.0::DOUBLE") if _i == 0 else (f"(SELECT lo FROM b{_i - 1})", f"(SELECT hi FROM b{_i - 1})")
     _x = f"({_lo} + i * ({_hi} - {_lo}) / 40)"
     _grid += f"""
-g{_i} AS MATERIALIZED (SELECT i, {_lo} AS l, {_hi} AS h, any_value({_x}) AS x, avg(pow({Q.pyth('pf', 'pa', 'cx')} - wins::DOUBLE / games, 2)) AS err
+g{_i} AS MATERIALIZED (SELECT i, {_lo} AS l, {_hi} AS h, min({_x}) AS x, avg(pow({Q.pyth('pf', 'pa', 'cx')} - wins::DOUBLE / games, 2)) AS err
   FROM (SELECT i, {_x} AS cx, pf, pa, wins, games FROM team_seasons, range(41) AS r(i)) AS c GROUP BY i),
 b{_i} AS MATERIALIZED (SELECT x, err, l + greatest(i - 1, 0) * (h - l) / 40 AS lo, l + least(i + 1, 40) * (h - l) / 40 AS hi FROM g{_i} ORDER BY err, i LIMIT 1),"""
-_grid = _grid.replace(f"any_value({_x}) AS x", "0 AS x") if False else _grid
 
 
-@query("c1_exponent_fit", with_ctes("WITH " + _grid.rstrip(",").replace("any_value(", "min(").replace("min((1.0::DOUBLE + i", "min((1.0::DOUBLE + i") +
+@query("c1_exponent_fit", with_ctes("WITH " + _grid.rstrip(",") +
     "\nSELECT round(x, 4) AS exponent, round(err, 6) AS mean_squared_error FROM b3"))
 def _(t: Tables) -> DataFrame:
     best, error = fitting.fit_exponent(fitting.expected_wins_samples(t.games()))
@@ -46,7 +45,7 @@ def _exponent_losses(years: list[int]) -> str:
         f"(SELECT game_id, is_tie, home_won, x, coalesce(home_reason, away_reason) AS reason, CASE WHEN coalesce(home_reason, away_reason) IS NULL THEN round({p}, 6) END AS p "
         f"FROM (SELECT *, {Q.pyth('home_ppg_for', 'home_ppg_against', 'x')} AS hs, {Q.pyth('away_ppg_for', 'away_ppg_against', 'x')} AS aws "
         f"FROM rated, (VALUES {', '.join(f'({e}::DOUBLE)' for e in EXPONENTS)}) AS e(x) WHERE {_years(years)}) AS q) AS r"
-    ).replace(") AS r) AS s", ") AS r) AS s")
+    )
 
 
 @query("c2_exponent_selection", with_ctes(f"""

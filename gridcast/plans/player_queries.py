@@ -176,9 +176,6 @@ def _(t: Tables) -> DataFrame:
         *where(), "category", "player_id", big("games"), r6("total"))
 
 
-cte("chart_keys", "SELECT DISTINCT team_id, season_year, cutoff, category FROM chart WHERE place = 1")
-
-
 @query("p4_category_prior", with_ctes(f"SELECT {WHERE}, category, count(*) AS players, {q_off_tie('avg(mean)')} AS category_mean FROM usages GROUP BY ALL"))
 def _(t: Tables) -> DataFrame:
     chart = players.depth_chart(probes(t), scored(t)).filter("place = 1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,7 +283,3 @@ def market_quotes(snapshots: DataFrame) -> DataFrame:
         F.coalesce("_m.volume", F.lit(0.0)).alias("volume"),
         F.col("retrieved_at").alias("ts"),
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
