@@ -291,8 +291,15 @@ def resampled_means(states: DataFrame, scored: DataFrame, resamples: int, seed:
         .groupBy("games", "replicate", "_place")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    in_order = Window.partitionBy(*keys).orderBy("kickoff_at", "game_id", "score")
-    lines = scored.select(*keys, "score", (F.row_number().over(in_order) - 1).cast("bigint").alias("_place"))
+    # A line's place is the number of lines at earlier kickoffs plus its rank at its own,
+    # so the lines of a player who plays very often are not sorted in one task.
+    earlier = timeline(scored, keys, "kickoff_at", {"_n": ("sum", F.lit(1).cast("bigint"))}).select(*keys, "kickoff_at", "before__n")
+    same_time = Window.partitionBy(*keys, "kickoff_at").orderBy("game_id", "score")
+    lines = (
+        scored.withColumn("_rank", F.row_number().over(same_time))
+        .join(earlier, [*keys, "kickoff_at"])
+        .select(*keys, "score", (F.col("before__n") + F.col("_rank") - 1).cast("bigint").alias("_place"))
+    )
     return (
         wanted.join(lines, keys)
         .filter(F.col("_place") < F.col("games"))
