@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import contamination, exact, mixing, near, quality, sharding
-from gridcast.llm.common import table
+from gridcast.llm import chat, contamination, exact, mixing, near, pii, quality, revisits, sharding, urls
+from gridcast.llm.common import hash60, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,21 +19,76 @@ def op1_reshard(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's marks."""
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(rows))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: Captures lie within so many seconds from the start of 2024.
+SEASON, START = 90 * 86_400, 1_704_067_200
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of ``pages``: a full response for each, and a not-modified answer to a later or earlier visit of its url.
+
+    Times come from a hash of the page id. A quarter of the answers each has the page's tag in weak form, the tag itself,
+    another tag, or none but the time of last change.
+    """
+    at = lambda what: START + F.pmod(hash60(F.lit(what), F.col("page_id")), F.lit(SEASON))
+    body = F.md5(F.coalesce(F.col("html"), F.lit("")))
+    changed = (at("capture") - 86_400).cast("string")
+    tag = F.concat(F.lit('"'), body, F.lit('"'))
+    sort = F.pmod(hash60(F.lit("tag"), F.col("page_id")), F.lit(4))
+    shown = F.when(sort == 0, F.concat(F.lit("W/"), tag)).when(sort == 1, tag).when(sort == 2, F.lit('"other"'))
+    name = F.col("page_id").cast("string")
+    response = pages.select(
+        F.concat(F.lit("response-"), name).alias("record_id"), F.lit("response").alias("kind"), "url", at("capture").alias("captured_at"),
+        tag.alias("etag"), changed.alias("last_modified"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), at("capture").cast("string"), F.lit("etag"), tag).alias("headers"), body.alias("payload"),
+    )
+    revisit = pages.select(
+        F.concat(F.lit("revisit-"), name).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.lit("#again")).alias("url"), at("visit").alias("captured_at"),
+        shown.alias("etag"), changed.alias("last_modified"),
+        F.create_map(F.lit("content-type"), F.lit("text/plain"), F.lit("date"), at("visit").cast("string"), F.lit("expires"), F.lit("0")).alias("headers"), F.lit(None).cast("string").alias("payload"),
+    )
+    return response.unionByName(revisit)
+
+
+def op6_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = revisits.resolve_revisits(captures(table(spark, folder, "pages").select("page_id", "url", "html")))
+    fields = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit(": "), F.element_at("headers", k)))
+    return found.select("record_id", "canonical_url", "captured_at", "outcome", "refers_to", "payload", F.array_join(fields, "\n").alias("headers"))
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination.contaminated_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    digest = F.sha2(pii.joined_spans(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
+
+
 def op9_mix(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,13 +100,73 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_reshard": op1_reshard,
+    "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_revisits": op6_revisits,
     "op7_decontaminate": op7_decontaminate,
+    "op8_personal_data": op8_personal_data,
     "op9_mix": op9_mix,
     "op10_exact": op10_exact,
 }
 
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1::BIGINT, 0::BIGINT, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(32 + length(role) + length(t) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(t, '<\\*\|')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules(rhost, rpath, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), best AS (
+  SELECT r, arg_max(rhost || rpath, 1000 * length(rhost || rpath) + length(rhost)) AS rule, arg_max(verdict, 1000 * length(rhost || rpath) + length(rhost)) AS verdict
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+"""
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS body, coalesce(page_id::VARCHAR, 'null') AS i FROM pages
+), t AS (
+  SELECT *, 1704067200 + ('0x' || substr(md5('capture|' || i), 1, 15))::BIGINT % 7776000 AS captured,
+         1704067200 + ('0x' || substr(md5('visit|' || i), 1, 15))::BIGINT % 7776000 AS visited, ('0x' || substr(md5('tag|' || i), 1, 15))::BIGINT % 4 AS sort,
+         regexp_extract(url, '://([^/?#]*)', 1) AS authority, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS fields
+  FROM p
+), u AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN
+    regexp_replace(regexp_replace(translate(regexp_replace(authority, '^.*@', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)?$', ''), '^www[0-9]*\.', '')
+    || (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN fields = '' THEN '' ELSE '?' || fields END) END AS canonical_url
+  FROM t
+), v AS (
+  SELECT 'revisit-' || page_id::VARCHAR AS record_id, canonical_url, visited AS captured_at,
+         CASE sort WHEN 0 THEN 'W/"' || body || '"' WHEN 1 THEN '"' || body || '"' WHEN 2 THEN '"other"' END AS etag, (captured - 86400)::VARCHAR AS last_modified, row_number() OVER () AS r FROM u
+), found AS (
+  SELECT r, arg_max(struct_pack(id := 'response-' || page_id::VARCHAR, body := body, captured := captured), struct_pack(a := captured, b := 'response-' || page_id::VARCHAR)) AS f
+  FROM v JOIN u ON u.canonical_url = v.canonical_url AND captured < captured_at GROUP BY r
+), judged AS (
+  SELECT v.*, f, CASE WHEN canonical_url IS NULL THEN 'no_key' WHEN f IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = '"' || f.body || '"' THEN 'resolved' ELSE 'mismatch' END
+    WHEN last_modified = (f.captured - 86400)::VARCHAR THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM v LEFT JOIN found USING (r)
+)
+SELECT record_id, canonical_url, captured_at, outcome, f.id AS refers_to, CASE WHEN outcome = 'resolved' THEN f.body END AS payload,
+       CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || captured_at || chr(10) || 'etag: "' || f.body || '"' || chr(10) || 'expires: 0' END AS headers
+FROM judged
+"""
+
 OP7_SQL = r"""
 WITH folded AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -122,6 +237,9 @@ FROM d JOIN winner USING (text_sha256)
 """
 
 SQL: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+    "op4_urls": OP4_SQL,
+    "op6_revisits": OP6_SQL,
     "op9_mix": OP9_SQL,
     "op10_exact": OP10_SQL,
     "op7_decontaminate": OP7_SQL,
