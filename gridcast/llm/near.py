@@ -150,13 +150,15 @@ def sketch(length: int = SHINGLE):
     return sketched
 
 
-def shingle_bytes(length: int = SHINGLE):
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def shingle_array(length: int = SHINGLE):
+    """A column function: text -> its sorted distinct shingle hashes."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingles(t, length).tobytes() for t in texts], dtype=object)
+            yield pd.Series([shingles(t, length).view(np.int64) for t in texts], dtype=object)
 
-    return packed
+    return found
 
 
 def matching_minima(x: Column, y: Column) -> Column:
@@ -192,11 +194,10 @@ def plausible(percent: int, a: str = "a_", b: str = "b_") -> Column:
 
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hub, own = None, np.zeros(0, dtype=np.uint64)
+        hub, own = None, np.zeros(0, dtype=np.int64)
         for batch in batches:
             linked = []
-            for key, chunk, node, packed in zip(batch["a"], batch["chunk"], batch["b"], batch["packed"], strict=True):
-                found = np.frombuffer(packed, dtype=np.uint64)
+            for key, chunk, node, found in zip(batch["a"], batch["chunk"], batch["b"], batch["shingles"], strict=True):
                 if node is None:
                     hub, own = (key, chunk), found
                     continue
@@ -210,7 +211,7 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity. ``sets`` has node, packed.
+    """The pairs (a, b) whose whole shingle sets reach the similarity. ``sets`` has node, shingles.
 
     The members of a hub a are dealt out in chunks of ``CHUNK``; a chunk gets the hub's set once and is
     compared row by row from a sorted stream, so a task holds one set and one batch whatever the number of members.
@@ -218,8 +219,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     hubs = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-    rows = hubs.select("a", "chunk", F.lit(None).cast("binary").alias("b"), "packed").unionByName(
-        dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "packed")
+    rows = hubs.select("a", "chunk", F.lit(None).cast("binary").alias("b"), "shingles").unionByName(
+        dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "shingles")
     )
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return rows.mapInPandas(_verify(percent), "a binary, b binary")
@@ -239,9 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Candidates. Every bucket of a band pairs its members with one hub, never with each other; so rows
        grow with members. Pairs are estimated from the bit signatures, then verified on the whole
        sets, at first one pair per node (the best), then those that still join different components.
-    3. Members of a bucket that are in different components after that are compared with each
-       other in full (again estimate, then verification), so no link is lost to the choice of hubs. Where near-copies
-       form dense groups, hubs join them and little is left for this step.
+    3. Members of a bucket that are in different components after that are compared on their whole
+       sets, so no link is lost to the choice of hubs. Those that cannot be similar to any other component are
+       found first by counting shared shingles (``undecided``); the rest are compared in blocks of which
+       only links come out (``remaining_links``).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -263,14 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links.add(best)
     links.add(links.across(candidates.select("a", "b")).join(best, ["a", "b"], "left_anti"))
 
-    spread = links.labelled(members.select("band", "node"))
-    mixed = spread.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
-    open_ = stage(spread.join(mixed, "band").join(small, "node"))
-    left = open_.select("band", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "planes")])
-    right = open_.select(F.col("band").alias("b_band"), *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "planes")])
-    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
-    rest = left.join(right, (F.col("band") == F.col("b_band")) & apart & plausible(percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    links.add(rest.join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    links.join_in(remaining_links(links, undecided(links, members.select("band", "node").join(small.select("node", "n"), "node"), percent), percent))
 
     labelled = links.labelled(rows.select("row_key", "doc_id", "n", F.col("digest").alias("node")))
     least = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
@@ -281,6 +276,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def undecided(links: EdgeSet, members: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """The members (band, node, n, root) of buckets with several components that could still link two of them.
+
+    A node is left out where its shingles rule it out. To be similar to a node of another component, a node of n shingles
+    has to share with it at least percent / (100 + percent) of the sum of both sizes, and so at least as many of its own with other
+    components at all. A near-copy with many changes of its own is dropped by that count alone, however many it
+    shares buckets with; dropping it takes the reason away from others, so the count is repeated a few times.
+    """
+    spread = stage(links.labelled(members))
+    sets = None
+    for _ in range(rounds):
+        bands = spread.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("n").alias("small"))
+        spread = stage(spread.join(bands.where("least < most").select("band", "small"), "band"))
+        partner = F.greatest("small", F.ceil(F.col("n") * percent / 100))
+        nodes = spread.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(partner).alias("partner"))
+        nodes = stage(nodes)
+        spread = spread.drop("small")
+        if sets is None:
+            sets = links.sets_of(nodes.select("node"))
+        single = nodes.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+        apart = single.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+        able = single.join(apart, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+        able = able.join(nodes, "node").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("partner")))
+        able = stage(able.select("node"))
+        spread = spread.join(able, "node", "left_semi")
+        if able.count() == nodes.count():
+            break
+    mixed = spread.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
+    return stage(spread.join(mixed, "band", "left_semi"))
+
+
+#: Nodes that share buckets, directly or through others, are compared as one group up to this many, beyond it bucket by bucket.
+GROUP = 20_000
+#: Shingles of the probes that one task holds.
+PROBED = 1_000_000
+
+
+def remaining_links(links: EdgeSet, open_: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among ``open_`` (band, node, n, root), on whole shingle sets.
+
+    In a group, every node outside the largest component is a probe, dealt out in chunks of bounded size; all nodes
+    of the group stream past each chunk. That covers all pairs of different components, and nothing but
+    links comes out, at most one per probe, chunk and component.
+    """
+    first = open_.groupBy("band").agg(F.min("node").alias("least"))
+    groups = components(open_.join(first, "band").select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "group")
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    place = F.when(F.col("size") <= GROUP, F.concat(F.lit("g").cast("binary"), "group")).otherwise(F.concat(F.lit("b").cast("binary"), F.col("band").cast("string").cast("binary")))
+    dealt = stage(open_.join(groups, "node").join(sizes, "group").select(place.alias("place"), "node", "n", "root").distinct())
+    main = dealt.groupBy("place", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("place").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    dealt = dealt.join(main, "place")
+    probes = dealt.where("root != main")
+    chunks = probes.groupBy("place").agg(F.ceil(F.sum("n") / PROBED).cast("int").alias("chunks"))
+    probes = probes.join(chunks, "place").select("place", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("probe"), "node", "root")
+    streamed = dealt.join(chunks, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("probe"), "node", "root")
+    rows = probes.unionByName(streamed).join(links.sets_of(dealt.select("node").distinct()), "node")
+    rows = rows.repartition("place", "chunk").sortWithinPartitions("place", "chunk", F.col("probe").desc())
+    return rows.mapInPandas(_stream_past(percent), "a binary, b binary")
+
+
+def _stream_past(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, names, roots, sets, index, done = None, [], [], [], None, set()
+        for batch in batches:
+            found = []
+            for place, chunk, probe, node, root, own in zip(*(batch[c] for c in ("place", "chunk", "probe", "node", "root", "shingles")), strict=True):
+                if (place, chunk) != at:
+                    at, names, roots, sets, index, done = (place, chunk), [], [], [], None, set()
+                if probe:
+                    names.append(node)
+                    roots.append(root)
+                    sets.append(own)
+                    continue
+                if index is None:
+                    sizes = np.array([len(s) for s in sets])
+                    whole = np.concatenate(sets)
+                    order = np.argsort(whole, kind="stable")
+                    index = whole[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+                    sets = []
+                keys, owners, sizes = index
+                low, high = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+                counts = high - low
+                hits = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                both = np.bincount(owners[hits], minlength=len(sizes))
+                for i in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
+                    if roots[i] != root and (i, root) not in done:
+                        done.add((i, root))
+                        found.append((names[i], node))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def estimated(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that are worth verifying, with their estimated similarity."""
     a = small.select(*[F.col(c).alias({"node": "a"}.get(c, f"a_{c}")) for c in small.columns])
@@ -297,15 +385,22 @@ class EdgeSet:
         self.forest: DataFrame | None = None
 
     def sets(self, pairs: DataFrame) -> DataFrame:
-        """Shingle sets of the nodes of ``pairs``, made again from one text of each class."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "row_key"), "node")
-        return stage(self.texts.join(wanted, "row_key").select("node", shingle_bytes(self.length)(F.col("text")).alias("packed")))
+        """The shingle sets of all nodes of ``pairs``."""
+        return self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """The shingle sets of ``wanted`` (node), made again from one text of each class."""
+        wanted = wanted.join(self.nodes.select("node", "row_key"), "node")
+        return stage(self.texts.join(wanted, "row_key").select("node", shingle_array(self.length)(F.col("text")).alias("shingles")))
 
     def add(self, pairs: DataFrame) -> None:
         pairs = stage(pairs)
         if pairs.isEmpty():
             return
-        found = verified(pairs, self.sets(pairs), self.percent)
+        self.join_in(verified(pairs, self.sets(pairs), self.percent))
+
+    def join_in(self, found: DataFrame) -> None:
+        """Add verified links (a, b)."""
         if self.forest is not None:
             found = found.unionByName(self.forest.select(F.col("node").alias("a"), F.col("root").alias("b")))
         self.forest = components(found)
