@@ -26,14 +26,22 @@ MOST_BITS = 1 << 31
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: bit (h1 + i * h2) mod size for i below ``hashes``."""
+    """A Bloom filter: bit (h1 + i * h2) mod size for i below ``hashes``, with h1 mixed anew for each level.
+
+    Without that, two keys that collide on one level would do so on all levels of the same size.
+    """
 
     words: np.ndarray
     size: int
     hashes: int
+    salt: int
 
     def bit(self, h1: np.ndarray, h2: np.ndarray, i: int) -> np.ndarray:
-        return (h1 + np.uint64(i) * (h2 | np.uint64(1))) % np.uint64(self.size)
+        x = h1 + np.uint64(((self.salt + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return (x + np.uint64(i) * (h2 | np.uint64(1))) % np.uint64(self.size)
 
     def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         found = np.ones(len(h1), dtype=bool)
@@ -66,13 +74,13 @@ def key_hashes(host: Column, path: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), host, path), F.xxhash64(F.lit(2), host, path)
 
 
-def build_level(keys: DataFrame, count: int, rate: float) -> Level:
+def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
     """A filter for the ``count`` rows (h1, h2) of ``keys``; bits are set by an aggregation, one row per 64 bits."""
     hashes = max(1, round(-math.log2(rate)))
     size = max(64, math.ceil(count * hashes / math.log(2)))
     if size > MOST_BITS:
         raise ValueError(f"a level of {size} bits is too large to broadcast")
-    empty = Level(np.zeros(0, dtype=np.uint64), size, hashes)
+    empty = Level(np.zeros(0, dtype=np.uint64), size, hashes, salt)
 
     def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,7 +95,7 @@ def build_level(keys: DataFrame, count: int, rate: float) -> Level:
     out = np.zeros((size + 63) // 64, dtype=np.uint64)
     for r in words.toLocalIterator():
         out[r["word"]] = np.uint64(r["bits"] & ((1 << 64) - 1))
-    return Level(out, size, hashes)
+    return Level(out, size, hashes, salt)
 
 
 def holds(spark: SparkSession, level: Level):
@@ -114,13 +122,13 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
         return Cascade(())
     others = universe.select(F.approx_count_distinct("h1")).first()[0]
     rate = min(0.5, math.sqrt(0.5) * n / max(1, others))
-    levels = [build_level(inside, n, rate)]
+    levels = [build_level(inside, n, rate, 0)]
     passed = universe.select("h1", "h2").where(holds(spark, levels[0])("h1", "h2")).distinct()
     outside = stage(passed.join(bounded_broadcast(inside, n), ["h1", "h2"], "left_anti"))
     count = outside.count()
     held, tested = outside, inside
     while count:
-        levels.append(build_level(held, count, 0.5))
+        levels.append(build_level(held, count, 0.5, len(levels)))
         wrong = stage(tested.where(holds(spark, levels[-1])("h1", "h2")))
         held, tested, count = wrong, held, wrong.count()
     return Cascade(tuple(levels))

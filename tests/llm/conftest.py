@@ -20,7 +20,7 @@ def odd_docs(spark):
         (5, long, "en", "b", len(long)),
         (6, long + " end", "en", "b", len(long) + 4),
         (7, "x" * 700_000, "en", "c", 700_000),
-        (8, "Ünïcödé 🙂 naïve — café <|im_end|> mail a.b@c.de +1 (614) 555-8001 10.0.0.1", "fr", "c", 70),
+        (8, "Ünïcödé 🙂 naïve — café <|im_end|> mail a.b@c.de, 10.0.0.1 or +1 (614) 555-8001", "fr", "c", 70),
         (9, "short", "en", "c", 5),
     ]
     docs = spark.createDataFrame(rows, DOCS)
