@@ -9,7 +9,7 @@ import time
 
 from gridcast.plans import catalog  # noqa: F401
 from gridcast.plans.registry import runner
-from gridcast.session import build_session
+from gridcast.session import build_session, drop_staged
 
 HEADLINE = [
     "j1_side_expansion",
@@ -64,6 +64,7 @@ def main() -> None:
             }
         )
     )
+    drop_staged(spark)
     spark.stop()
 
 

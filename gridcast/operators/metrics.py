@@ -113,9 +113,11 @@ def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Content checksum of a table that does not depend on row order.
 
     Each row is hashed and the hashes are added up piecewise, so it is a plain
-    map-side aggregation: no sort and nothing collected.
+    map-side aggregation: no sort and nothing collected. Every value is written with its length and a null as
+    ``-``, so neither nulls nor separators inside values make different rows look alike.
     """
-    h = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    written = [F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    h = F.sha2(F.concat_ws("|", *written), 256)
     piece = lambda start: F.conv(F.substring(h, start, 13), 16, 10).cast("decimal(20,0)")
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.sum(piece(1)).alias("a"), F.sum(piece(14)).alias("b")

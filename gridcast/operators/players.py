@@ -277,19 +277,16 @@ def with_and_without(df: DataFrame, player_mean: Column, conversion: Column, exp
 def resampled_means(states: DataFrame, scored: DataFrame, resamples: int, seed: int) -> DataFrame:
     """Bootstrap means of each player's per-game production, for each number of games so far.
 
-    The draws depend on the number of games only, so they are made once per distinct
-    count and kept as multiplicities; players sharing a count share them.
+    A draw is made where it is used: the place drawn for a slot is a hash of the number of games, the replicate and the
+    slot, so players with the same count share their draws without a table of them. Draws meet lines on (player,
+    category, place), which no count of games makes a hot key, and are summed on the map side.
     """
     keys = [*PLAYER, "category"]
     wanted = stage(states.select(*keys, "games").distinct())
-    slots = spread(wanted.select("games").distinct(), "games").select(
-        "games",
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"),
-    ).select("games", "replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("games") - 1)).alias("_slot"))
-    picks = (
-        slots.select("games", "replicate", draw_index(F.col("games"), seed, F.col("replicate"), F.col("_slot")).alias("_place"))
-        .groupBy("games", "replicate", "_place")
-        .agg(F.count(F.lit(1)).alias("_times"))
+    replicate, slot = F.sequence(F.lit(0), F.lit(resamples - 1)), F.sequence(F.lit(0).cast("bigint"), F.col("games") - 1)
+    slots = spread(wanted.select(*keys, "games", F.explode(slot).alias("_slot")), *keys, "games", "_slot")
+    draws = slots.select(*keys, "games", "_slot", F.explode(replicate).alias("replicate")).select(
+        *keys, "games", "replicate", draw_index(F.col("games"), seed, F.col("replicate"), F.col("_slot")).alias("_place")
     )
     # A line's place is the number of lines at earlier kickoffs plus its rank at its own,
     # so the lines of a player who plays very often are not sorted in one task.
@@ -300,13 +297,7 @@ def resampled_means(states: DataFrame, scored: DataFrame, resamples: int, seed:
         .join(earlier, [*keys, "kickoff_at"])
         .select(*keys, "score", (F.col("before__n") + F.col("_rank") - 1).cast("bigint").alias("_place"))
     )
-    return (
-        wanted.join(lines, keys)
-        .filter(F.col("_place") < F.col("games"))
-        .join(stage(picks), ["games", "_place"])
-        .groupBy(*keys, "games", "replicate")
-        .agg((F.sum(F.col("score") * F.col("_times")) / F.first("games")).alias("resampled_mean"))
-    )
+    return draws.join(lines, [*keys, "_place"]).groupBy(*keys, "games", "replicate").agg((F.sum("score") / F.first("games")).alias("resampled_mean"))
 
 
 def player_impact(

@@ -173,11 +173,13 @@ def trial_records(outcomes: DataFrame, base: DataFrame, trials: int = K.SEASON_T
 
 
 def rank_with_tiebreak(
-    records: DataFrame, outcomes: DataFrame, played_h2h: DataFrame, group: Sequence[str], label: str, seed: int = K.SEED
+    records: DataFrame, remaining: DataFrame, played_h2h: DataFrame, group: Sequence[str], label: str, seed: int = K.SEED
 ) -> DataFrame:
     """Place of every team in its group per trial: win rate, then head to head for a tie of two, else a draw.
 
-    Head-to-head results are only looked up for pairs that are in fact tied.
+    Which meeting of two teams is the last does not depend on the trial. So the remaining games are reduced to
+    the last one per pair, and its winner is drawn where the pair is in fact tied, with the draw
+    that :func:`trial_outcomes` makes for that game and trial.
     """
     where = ["season_year", "trial", *group]
     tie = Window.partitionBy(*where, "win_rate")
@@ -186,22 +188,17 @@ def rank_with_tiebreak(
         .withColumn("low_id", F.min("team_id").over(tie))
         .withColumn("high_id", F.max("team_id").over(tie))
     )
-    pairs = tied.filter("_size = 2").select("season_year", "trial", "low_id", "high_id").distinct()
-    met = (
-        _with_pair(outcomes)
-        .join(pairs, ["season_year", "trial", "low_id", "high_id"], "left_semi")
-        .groupBy("season_year", "trial", "low_id", "high_id")
-        .agg(F.max_by("winner_id", F.struct("kickoff_at", "game_id")).alias("_drawn"))
-    )
-    known = tied.join(met, ["season_year", "trial", "low_id", "high_id"], "left").join(
-        played_h2h, ["season_year", "low_id", "high_id"], "left"
-    )
-    better = F.coalesce("_drawn", "winner_id")
+    game = F.struct("game_id", "home_team_id", "away_team_id", "p")
+    last = _with_pair(remaining).groupBy("season_year", "low_id", "high_id").agg(F.max_by(game, F.struct("kickoff_at", "game_id")).alias("_last"))
+    known = tied.join(last, ["season_year", "low_id", "high_id"], "left").join(played_h2h, ["season_year", "low_id", "high_id"], "left")
+    home = uniform(seed, F.col("trial"), F.col("_last.game_id")) < F.col("_last.p")
+    drawn = F.when(F.col("_last").isNotNull(), F.when(home, F.col("_last.home_team_id")).otherwise(F.col("_last.away_team_id")))
+    better = F.coalesce(drawn, "winner_id")
     lot = uniform(seed, F.lit(label), F.col("trial"), F.col("team_id"))
     key = F.when((F.col("_size") == 2) & better.isNotNull(), (F.col("team_id") != better).cast("double")).otherwise(lot)
     order = Window.partitionBy(*where).orderBy(F.col("win_rate").desc(), F.col("_key"), F.col("team_id"))
     return known.withColumn("_key", key).withColumn("place", F.row_number().over(order)).drop(
-        "_size", "low_id", "high_id", "_drawn", "winner_id", "_key"
+        "_size", "low_id", "high_id", "_last", "winner_id", "_key"
     )
 
 
@@ -218,19 +215,19 @@ def attach_divisions(teams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def playoff_field(
-    records: DataFrame, outcomes: DataFrame, played_h2h: DataFrame, teams: DataFrame,
+    records: DataFrame, remaining: DataFrame, played_h2h: DataFrame, teams: DataFrame,
     wildcards: int = K.WILDCARDS_PER_CONFERENCE, seed: int = K.SEED,
 ) -> DataFrame:
     """Division winners and wildcards of every trial. A team without a division is an error, not a gap."""
     known, unknown = attach_divisions(teams)
-    lost = records.select("team_id").distinct().join(known, "team_id", "left_anti").limit(1).collect()
+    lost = records.filter("trial = 0").select("team_id").distinct().join(known, "team_id", "left_anti").limit(1).collect()
     if lost:
         raise ValueError(f"no known division for team {lost[0]['team_id']}")
     placed = records.join(known.select("team_id", "conference", "division"), "team_id")
-    first = stage(rank_with_tiebreak(placed, outcomes, played_h2h, ["conference", "division"], "division", seed)).withColumn(
+    first = stage(rank_with_tiebreak(placed, remaining, played_h2h, ["conference", "division"], "division", seed)).withColumn(
         "division_winner", F.col("place") == 1
     ).drop("place")
-    rest = rank_with_tiebreak(first.filter(~F.col("division_winner")), outcomes, played_h2h, ["conference"], "wildcard", seed)
+    rest = rank_with_tiebreak(first.filter(~F.col("division_winner")), remaining, played_h2h, ["conference"], "wildcard", seed)
     return (
         first.filter("division_winner")
         .withColumn("playoffs", F.lit(True))

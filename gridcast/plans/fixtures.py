@@ -18,7 +18,7 @@ from gridcast.session import stage
 ABBREVIATIONS = list(K.DIVISIONS)
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, ...], DataFrame] = {}
 
 
 class Tables:
@@ -32,11 +32,17 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, name, self._state())
         if key not in _STAGED:
             _STAGED[key] = stage(build())
         return _STAGED[key]
 
+    def _state(self) -> str:
+        """Size and time of the files the stored tables are made of, so that new files are not taken for the old ones."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = files.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return "|".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in system.listStatus(files)))
+
     def games(self) -> DataFrame:
         return self._stored("games", self.map_games)
 

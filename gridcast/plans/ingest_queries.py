@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridcast import constants as K
 from gridcast.plans.fixtures import Tables
 from gridcast.plans.registry import big, cte, q6, qstamp, query, r6, stamp, with_ctes
+from gridcast.session import spread
 from gridcast.sources import canonical as C
 from gridcast.sources import landed as L
 from gridcast.sources import store
@@ -38,7 +39,7 @@ def with_names(t: Tables) -> DataFrame:
 
 
 def landed_scoreboards(t: Tables) -> DataFrame:
-    """One payload per game; some carry no away side, an unreadable score or an unknown season phase.
+    """One payload per game; some carry no away side, an unreadable score, an unknown season phase or a flag spelled as text, some are cut short.
 
     Seasons are numbered ten years on, as seasons before 2000 are refused.
     """
@@ -63,12 +64,19 @@ def landed_scoreboards(t: Tables) -> DataFrame:
         F.concat(F.lit("https://feed.example/scoreboard?event="), text("game_id")).alias("source_url"),
         (F.col("kickoff_at") + F.expr("INTERVAL 6 HOUR")).alias("retrieved_at"),
         F.to_json(F.struct(F.array(event).alias("events"))).alias("payload"),
-    )
+        gid.alias("_game"),
+    ).select("provider", "source_url", "retrieved_at", _spoiled("payload").alias("payload"))
+
+
+def _spoiled(payload: str) -> Column:
+    game = F.col("_game")
+    cut = F.substring(payload, 1, 60)
+    return F.when(game % 71 == 0, cut).when(game % 79 == 0, F.regexp_replace(payload, '"completed":(true|false)', '"completed":"$1"')).otherwise(F.col(payload))
 
 
 cte("landed_games", """
 SELECT g.*, h.abbreviation AS ha, h.display_name AS hn, a.abbreviation AS aa, a.display_name AS an,
-  CASE WHEN game_id % 83 = 0 THEN 'season type' WHEN game_id % 97 = 0 THEN 'competitors'
+  CASE WHEN game_id % 71 = 0 THEN 'events' WHEN game_id % 83 = 0 THEN 'season type' WHEN game_id % 97 = 0 THEN 'competitors' WHEN game_id % 79 = 0 THEN 'completed'
        WHEN game_id % 89 = 0 AND home_score IS NOT NULL THEN 'score' END AS problem
 FROM games AS g JOIN teams AS h ON h.team_id = home_team_id JOIN teams AS a ON a.team_id = away_team_id""")
 
@@ -77,22 +85,24 @@ FROM games AS g JOIN teams AS h ON h.team_id = home_team_id JOIN teams AS a ON a
 SELECT game_id::VARCHAR AS event_id, season_year::BIGINT + 10 AS season_year, CASE WHEN problem IS NULL THEN season_type END AS season_type, week::BIGINT AS week,
        {qstamp('kickoff_at')} AS kickoff_at, completed, neutral_site, home_team_id::VARCHAR AS home_team_id, ha AS home_team_abbreviation,
        CASE WHEN problem IS NULL THEN home_score::BIGINT END AS home_score, CASE WHEN problem IS NULL THEN away_score::BIGINT END AS away_score, problem
-FROM landed_games"""))
+FROM landed_games WHERE problem IS DISTINCT FROM 'events'
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, problem FROM landed_games WHERE problem = 'events'"""))
 def _(t: Tables) -> DataFrame:
     ok = F.col("problem").isNull()
-    return L.scoreboard_games(landed_scoreboards(t)).select(
+    return L.scoreboard_games(spread(landed_scoreboards(t), "source_url")).select(
         "event_id", big("season_year"), F.when(ok, F.col("season_type")).alias("season_type"), big("week"), stamp("kickoff_at"), "completed", "neutral_site",
         "home_team_id", "home_team_abbreviation", F.when(ok, F.col("home_score")).cast("bigint").alias("home_score"),
         F.when(ok, F.col("away_score")).cast("bigint").alias("away_score"), "problem")
 
 
 def normalized_games(t: Tables) -> DataFrame:
-    return L.scoreboard_games(landed_scoreboards(t)).filter("problem IS NULL").drop("problem")
+    return L.scoreboard_games(spread(landed_scoreboards(t), "source_url")).filter("problem IS NULL").drop("problem")
 
 
 @query("s1_append_snapshots", with_ctes(f"""
-SELECT game_id, CASE WHEN game_id % 7 = 0 THEN 'sensitive url' WHEN game_id % 5 = 0 THEN 'conflicting content' ELSE 'new' END AS result FROM games
-WHERE game_id % 3 <> 0 OR game_id % 7 = 0"""))
+SELECT game_id, CASE WHEN game_id % 7 = 0 THEN 'sensitive url' WHEN game_id % 5 = 0 OR game_id % 11 = 0 THEN 'conflicting content' ELSE 'new' END AS result FROM games
+WHERE game_id % 3 <> 0 OR game_id % 7 = 0
+UNION ALL SELECT game_id, 'conflicting content' FROM games WHERE game_id % 11 = 0"""))
 def _(t: Tables) -> DataFrame:
     gid = F.col("game_id")
     url = F.concat(F.lit("https://feed.example/g?id="), text("game_id"))
@@ -103,6 +113,8 @@ def _(t: Tables) -> DataFrame:
     stored = L.snapshot_identity(base.filter(gid % 3 == 0)).unionByName(
         L.snapshot_identity(base.filter((gid % 5 == 0) & (gid % 3 != 0)).withColumn("source_url", F.lit("https://other.example/"))))
     batch = base.withColumn("source_url", F.when(gid % 7 == 0, F.concat("source_url", F.lit("&TOKEN=1"))).otherwise(F.col("source_url")))
+    # an eleventh lands under a second source in the same batch
+    batch = batch.unionByName(base.filter(gid % 11 == 0).withColumn("source_url", F.lit("https://second.example/")))
     fresh, rejected = L.append_snapshots(stored, batch)
     return fresh.select("game_id", F.lit("new").alias("result")).unionByName(rejected.select("game_id", F.col("problem").alias("result")))
 
@@ -241,7 +253,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("s10_book_odds", with_ctes(f"""
-SELECT event_id::VARCHAR AS event_id, book::VARCHAR AS book, {q6('home_decimal_odds')} AS home_decimal_odds, {q6('away_decimal_odds')} AS away_decimal_odds FROM book_odds WHERE book % 10 <> 0"""))
+SELECT event_id::VARCHAR AS event_id, book::VARCHAR AS book, {q6('home_decimal_odds')} AS home_decimal_odds, CASE WHEN book % 10 <> 0 THEN {q6('away_decimal_odds')} END AS away_decimal_odds,
+       CASE WHEN book % 10 = 0 THEN 'prices' END AS problem FROM book_odds WHERE event_id % 13 <> 0
+UNION ALL SELECT DISTINCT ON (event_id) '', '', NULL, NULL, 'events' FROM book_odds WHERE event_id % 13 = 0"""))
 def _(t: Tables) -> DataFrame:
     outcome = lambda name, price: F.struct(F.lit(name).alias("name"), price.alias("price"))
     none = F.lit(None).cast("double")
@@ -249,11 +263,14 @@ def _(t: Tables) -> DataFrame:
     market = F.struct(F.lit("h2h").alias("key"), F.array(outcome("Home", F.col("home_decimal_odds")), outcome("Away", away)).alias("outcomes"))
     other = F.struct(F.lit("spread").alias("key"), F.array(outcome("Home", F.lit(1.01))).alias("outcomes"))
     book = F.struct(text("book").alias("key"), F.array(market, other).alias("markets"))
+    # one payload per event with all its books; every thirteenth payload is cut short
+    books = t.book_odds().groupBy("event_id").agg(F.collect_list(book).alias("books"))
     event = F.struct(
         text("event_id").alias("id"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"),
-        F.lit("2024-01-01T00:00:00Z").alias("commence_time"), F.array(book).alias("bookmakers"))
-    landed = t.book_odds().select(F.to_json(F.array(event)).alias("payload"))
-    return L.book_odds(landed).select("event_id", "book", r6("home_decimal_odds"), r6("away_decimal_odds"))
+        F.lit("2024-01-01T00:00:00Z").alias("commence_time"), F.col("books").alias("bookmakers"))
+    whole = F.to_json(F.array(event))
+    landed = books.select(F.when(F.col("event_id") % 13 == 0, F.substring(whole, 1, 30)).otherwise(whole).alias("payload"))
+    return L.book_odds(landed).select("event_id", "book", r6("home_decimal_odds"), r6("away_decimal_odds"), "problem")
 
 
 @query("s11_market_quotes", with_ctes(f"""

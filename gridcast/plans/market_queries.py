@@ -14,7 +14,7 @@ from gridcast.plans.registry import big, cte, q6, query, r6, with_ctes
 
 TRAIN, TEST = [1996, 1997, 1998, 1999], [2000, 2001]
 EXPONENTS = [1.5, 2.0, 2.37, 3.0, 4.0]
-TRIALS = 500
+TRIALS = K.SEASON_TRIALS
 
 # --- fits ------------------------------------------------------------------------------
 
@@ -249,7 +249,7 @@ def simulated(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     outcomes = season.trial_outcomes(remaining(t), TRIALS)
     records = stage(season.trial_records(outcomes, season.standings(dated(t)), TRIALS))
-    return records, outcomes, season.head_to_head(dated(t))
+    return records, stage(remaining(t)), season.head_to_head(dated(t))
 
 
 @query("m10_divisions", with_ctes("SELECT t.team_id::BIGINT AS team_id, abbreviation, conference, division FROM teams AS t JOIN divisions AS d ON d.team_id = t.team_id"))
@@ -267,9 +267,9 @@ def _(t: Tables) -> DataFrame:
 @query("w6_division_ranking", with_ctes("""
 SELECT season_year::BIGINT AS season_year, team_id::BIGINT AS team_id, place, count(*) AS trials FROM division_ranks GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    records, outcomes, h2h = simulated(t)
+    records, left, h2h = simulated(t)
     known = season.attach_divisions(t.teams())[0].select("team_id", "conference", "division")
-    ranks = season.rank_with_tiebreak(records.join(known, "team_id"), outcomes, h2h, ["conference", "division"], "division")
+    ranks = season.rank_with_tiebreak(records.join(known, "team_id"), left, h2h, ["conference", "division"], "division")
     return ranks.groupBy(big("season_year"), big("team_id"), big("place")).agg(F.count(F.lit(1)).alias("trials"))
 
 

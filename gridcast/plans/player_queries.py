@@ -17,7 +17,7 @@ from gridcast.plans.evaluation_queries import METRICS, losses, metric_outputs
 from gridcast.plans.fixtures import Tables
 from gridcast.plans.registry import big, cte, off_tie, q6, q_off_tie, qstamp, query, r6, stamp, with_ctes
 
-RESAMPLES = 20  # of the impact bootstrap in these queries
+RESAMPLES = K.IMPACT_RESAMPLES
 
 _num = "try_cast(stat_values[{}] AS DOUBLE)"
 cte("productions", f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,29 +19,45 @@ def build_session(app: str = "gridcast", master: str | None = None, shuffle_part
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "20g")
+        builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting may fall back to a scratch folder.
+    A session on one machine without the setting uses its warehouse folder. A cluster has to name a folder, and a
+    path on each machine's own disk is refused there, unless ``spark.gridcast.sharedMount`` says
+    that the path is a mount all machines share.
     """
     context = spark.sparkContext
+    local = context.master.startswith("local")
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    if context.applicationId not in _LOCAL_FOLDER:
-        _LOCAL_FOLDER[context.applicationId] = tempfile.mkdtemp(prefix="gridcast-")
-    return _LOCAL_FOLDER[context.applicationId]
+    if not named:
+        if not local:
+            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not local and spark.conf.get("spark.gridcast.sharedMount", "false") != "true":
+        scheme = _path(spark, named).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file":
+            raise RuntimeError(f"{named} is on each machine's own disk; name a shared folder in spark.checkpoint.dir.")
+    return named
 
 
-_LOCAL_FOLDER: dict[str, str] = {}
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/gridcast-stage/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables this application has staged. For the end of a run: results that read them are gone with them."""
+    path = _path(spark, _stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -53,7 +68,7 @@ def stage(df: DataFrame) -> DataFrame:
     and filters and column pruning still reach the staged files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridcast-stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -46,20 +46,21 @@ def append_snapshots(existing: DataFrame, batch: DataFrame) -> tuple[DataFrame,
     """Rows to add, and rejected rows with a problem.
 
     Landing the same content again adds nothing. The same path with another source
-    is a conflict, as a kept snapshot never changes.
+    is a conflict, as a kept snapshot never changes; inside a batch all its rows are refused, as none came first.
     """
     named = snapshot_identity(batch).dropDuplicates(["path", "source_url"])
+    sources = named.groupBy("path").agg(F.count(F.lit(1)).alias("_sources"))
     known = existing.select("path", F.col("source_url").alias("_known_url"))
-    checked = named.join(known, "path", "left").withColumn(
+    checked = named.join(sources, "path").join(known, "path", "left").withColumn(
         "problem",
         first_problem(
             [
                 ("provider name", ~F.col("provider").rlike("^[a-z][a-z0-9_-]*$")),
                 ("sensitive url", has_sensitive_word(F.col("source_url"))),
-                ("conflicting content", F.col("_known_url").isNotNull() & (F.col("_known_url") != F.col("source_url"))),
+                ("conflicting content", F.coalesce(F.col("_known_url") != F.col("source_url"), F.col("_sources") > 1)),
             ]
         ),
-    )
+    ).drop("_sources")
     fresh = checked.filter(F.col("problem").isNull() & F.col("_known_url").isNull())
     return fresh.drop("problem", "_known_url"), checked.filter(F.col("problem").isNotNull()).drop("_known_url")
 
@@ -113,19 +114,33 @@ def _bad_team(team: Column) -> Column:
     return team.isNull() | blank(team["id"]) | blank(team["abbreviation"]) | blank(team["displayName"])
 
 
+def listed(parent: str, key: str, items: Column) -> Column:
+    """Whether ``key`` of the JSON object at ``parent`` of the payload is there and is a list, or null outright.
+
+    ``items`` is the parsed list. A payload that cannot be read, lacks the key or has something else there is not listed.
+    """
+    whole = F.get_json_object("payload", parent)
+    there = F.array_contains(F.json_object_keys(whole), key)
+    return items.isNotNull() | (F.coalesce(there, F.lit(False)) & F.get_json_object("payload", f"{parent}.{key}").isNull())
+
+
 def scoreboard_games(snapshots: DataFrame) -> DataFrame:
-    """One row per event of every scoreboard payload; ``problem`` names what keeps it from being a game."""
-    parsed = snapshots.withColumn("_p", F.from_json("payload", S.SCOREBOARD))
-    events = parsed.withColumn("_e", F.explode("_p.events")).drop("_p", "payload")
+    """One row per event of every scoreboard payload; ``problem`` names what keeps it from being a game.
+
+    A payload without a readable list of events is one row with that problem.
+    """
+    parsed = snapshots.withColumn("_p", F.from_json("payload", S.SCOREBOARD)).withColumn("_none", F.col("_p.events").isNull())
+    events = parsed.withColumn("_e", F.explode_outer("_p.events")).filter(F.col("_none") | (F.size("_p.events") > 0)).drop("_p", "payload")
     e = F.col("_e")
-    comp = F.try_element_at(e["competitions"], F.lit(1))
+    source = F.try_element_at(e["competitions"], F.lit(1))
+    events = events.withColumn("_text", source)
+    comp = F.from_json("_text", S.COMPETITION)
     home = lambda c: c["homeAway"] == "home"
     away = lambda c: c["homeAway"] == "away"
-    wide = events.withColumns(
+    wide = events.withColumn("_comp", comp).withColumns(
         {
-            "_comp": comp,
-            "_homes": F.filter(comp["competitors"], home),
-            "_aways": F.filter(comp["competitors"], away),
+            "_homes": F.filter(F.col("_comp")["competitors"], home),
+            "_aways": F.filter(F.col("_comp")["competitors"], away),
         }
     ).withColumn("_home", F.get("_homes", F.lit(0))).withColumn("_away", F.get("_aways", F.lit(0)))
     codes = F.create_map(*[F.lit(x) for pair in K.SEASON_TYPE_CODES.items() for x in pair])
@@ -139,19 +154,21 @@ def scoreboard_games(snapshots: DataFrame) -> DataFrame:
 
     done = F.col("_comp")["status"]["type"]["completed"]
     neutral = F.col("_comp")["neutralSite"]
+    quoted = lambda name: F.coalesce(F.col("_text").rlike(f'"{name}"\\s*:\\s*"'), F.lit(False))
     season_type = F.try_element_at(codes, e["season"]["type"].cast("int"))
     problem = first_problem(
         [
+            ("events", F.col("_none")),
             ("event id", blank(e["id"])),
             ("kickoff", utc(e["date"]).isNull()),
             ("competition count", F.coalesce(F.size(e["competitions"]), F.lit(0)) != 1),
             ("season", ~(e["season"]["year"] >= 2000)),
             ("season type", season_type.isNull()),
             ("week", ~e["week"]["number"].between(1, 25)),
-            ("neutral site", neutral.isNotNull() & ~neutral.isin("true", "false")),
+            ("neutral site", quoted("neutralSite") | (neutral.isNotNull() & ~neutral.isin("true", "false"))),
             ("competitors", (F.size("_homes") != 1) | (F.size("_aways") != 1)),
             ("status", blank(F.col("_comp")["status"]["type"]["name"])),
-            ("completed", ~F.coalesce(done.isin("true", "false"), F.lit(False))),
+            ("completed", quoted("completed") | ~F.coalesce(done.isin("true", "false"), F.lit(False))),
             ("score", unreadable("_home") | unreadable("_away")),
             ("negative score", (F.coalesce(score("_home"), F.lit(0)) < 0) | (F.coalesce(score("_away"), F.lit(0)) < 0)),
             ("missing score", (done == "true") & (score("_home").isNull() | score("_away").isNull())),
@@ -184,13 +201,16 @@ def _bad_athlete(athlete: Column) -> Column:
 def boxscore_statlines(summaries: DataFrame) -> DataFrame:
     """One row per team, category and athlete of every summary (event_id, payload); ``problem`` on bad rows.
 
-    A game not played yet has no box score and no row.
+    A game not played yet, whose box score or its list is null outright, has no row. A payload
+    that cannot be read or lacks the list is one row with that problem.
     """
     parsed = summaries.withColumn("_p", F.from_json("payload", S.SUMMARY))
     keep = [c for c in summaries.columns if c != "payload"]
-    teams = parsed.select(*keep, F.explode("_p.boxscore.players").alias("_t"))
-    categories = teams.select(*keep, "_t.team", F.explode_outer("_t.statistics").alias("_c"))
-    lines = categories.select(*keep, "team", "_c.name", "_c.labels", F.col("_c.athletes").isNull().alias("_none"), F.explode_outer("_c.athletes").alias("_a"))
+    there = listed("$.boxscore", "players", F.col("_p.boxscore.players")) | listed("$", "boxscore", F.col("_p.boxscore"))
+    there = F.when(F.col("_p.boxscore").isNotNull(), listed("$.boxscore", "players", F.col("_p.boxscore.players"))).otherwise(there)
+    teams = parsed.select(*keep, (~there).alias("_lost"), F.explode_outer("_p.boxscore.players").alias("_t")).filter(F.col("_lost") | F.col("_t").isNotNull())
+    categories = teams.select(*keep, "_lost", "_t.team", F.explode_outer("_t.statistics").alias("_c"))
+    lines = categories.select(*keep, "_lost", "team", "_c.name", "_c.labels", F.col("_c.athletes").isNull().alias("_none"), F.explode_outer("_c.athletes").alias("_a"))
     lines = lines.filter(F.col("_none") | F.col("_a").isNotNull())
     text = lambda a: F.forall(a, lambda v: v.isNotNull())
     return lines.select(
@@ -203,6 +223,7 @@ def boxscore_statlines(summaries: DataFrame) -> DataFrame:
         F.col("_a.stats").alias("stat_values"),
         first_problem(
             [
+                ("box score", F.col("_lost")),
                 ("team", _bad_team(F.col("team"))),
                 ("category", blank(F.col("name"))),
                 ("labels", ~text(F.col("labels"))),
@@ -216,11 +237,15 @@ def boxscore_statlines(summaries: DataFrame) -> DataFrame:
 
 
 def injury_reports(summaries: DataFrame) -> DataFrame:
-    """One row per listed injury of every summary; ``problem`` on bad rows."""
+    """One row per listed injury of every summary; ``problem`` on bad rows.
+
+    A list that is null outright has no row; a payload that cannot be read or lacks the list is one row with that problem.
+    """
     parsed = summaries.withColumn("_p", F.from_json("payload", S.SUMMARY))
     keep = [c for c in summaries.columns if c != "payload"]
-    teams = parsed.select(*keep, F.explode("_p.injuries").alias("_t"))
-    rows = teams.select(*keep, "_t.team", F.col("_t.injuries").isNull().alias("_none"), F.explode_outer("_t.injuries").alias("_i"))
+    there = listed("$", "injuries", F.col("_p.injuries"))
+    teams = parsed.select(*keep, (~there).alias("_lost"), F.explode_outer("_p.injuries").alias("_t")).filter(F.col("_lost") | F.col("_t").isNotNull())
+    rows = teams.select(*keep, "_lost", "_t.team", F.col("_t.injuries").isNull().alias("_none"), F.explode_outer("_t.injuries").alias("_i"))
     rows = rows.filter(F.col("_none") | F.col("_i").isNotNull())
     athlete = F.col("_i.athlete")
     place = F.coalesce(athlete["position"]["abbreviation"], athlete["position"]["displayName"])
@@ -234,6 +259,7 @@ def injury_reports(summaries: DataFrame) -> DataFrame:
         utc(F.col("_i.date")).alias("reported_at"),
         first_problem(
             [
+                ("injuries", F.col("_lost")),
                 ("team", _bad_team(F.col("team"))),
                 ("list", F.col("_none")),
                 ("athlete", _bad_athlete(athlete)),
@@ -252,9 +278,13 @@ def split_events(rows: DataFrame, key: str = "event_id") -> tuple[DataFrame, Dat
 
 
 def book_odds(snapshots: DataFrame) -> DataFrame:
-    """One row per event and book with both head-to-head prices, from the book's first market."""
-    events = snapshots.select(F.explode(F.from_json("payload", S.ODDS)).alias("_e"))
-    books = events.select("_e", F.explode("_e.bookmakers").alias("_b"))
+    """One row per event and book with both head-to-head prices, from the book's first market; ``problem`` on rows without them.
+
+    A payload that is no list of events is one row with that problem. An event without books has no row.
+    """
+    parsed = snapshots.select(F.from_json("payload", S.ODDS).alias("_p")).withColumn("_none", F.col("_p").isNull())
+    events = parsed.select("_none", F.explode_outer("_p").alias("_e"), F.size("_p").alias("_n")).filter("_none OR _n > 0")
+    books = events.select("_none", "_e", F.explode_outer("_e.bookmakers").alias("_b")).filter("_none OR _b IS NOT NULL")
     outcomes = F.get(F.col("_b.markets"), F.lit(0))["outcomes"]
     home = F.col("_e.home_team")
     last = lambda a: F.try_element_at(a, F.lit(-1))["price"]
@@ -266,13 +296,16 @@ def book_odds(snapshots: DataFrame) -> DataFrame:
         F.coalesce("_b.key", F.lit("")).alias("book"),
         last(F.filter(outcomes, lambda o: o["name"] == home)).alias("home_decimal_odds"),
         last(F.filter(outcomes, lambda o: ~F.coalesce(o["name"] == home, F.lit(False)))).alias("away_decimal_odds"),
+        "_none",
     )
-    return rows.filter("home_decimal_odds <> 0 AND away_decimal_odds <> 0")
+    unpriced = ~F.coalesce((F.col("home_decimal_odds") != 0) & (F.col("away_decimal_odds") != 0), F.lit(False))
+    return rows.withColumn("problem", first_problem([("events", F.col("_none")), ("prices", unpriced)])).drop("_none")
 
 
 def market_quotes(snapshots: DataFrame) -> DataFrame:
-    """One row per listed market; asks above one are cents."""
-    rows = snapshots.withColumn("_m", F.explode(F.from_json("payload", S.MARKETS)["markets"]))
+    """One row per listed market; asks above one are cents. A payload without a readable list of markets is one row with that ``problem``."""
+    parsed = snapshots.withColumn("_list", F.from_json("payload", S.MARKETS)["markets"]).withColumn("_none", F.col("_list").isNull())
+    rows = parsed.withColumn("_m", F.explode_outer("_list")).filter(F.col("_none") | (F.size("_list") > 0))
     price = lambda c: F.when(F.col(c) > 1, F.col(c) / 100).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
     return rows.select(
         F.coalesce("_m.id", F.lit("")).alias("market_id"),
@@ -282,4 +315,5 @@ def market_quotes(snapshots: DataFrame) -> DataFrame:
         price("_m.no_ask").alias("no_price"),
         F.coalesce("_m.volume", F.lit(0.0)).alias("volume"),
         F.col("retrieved_at").alias("ts"),
+        first_problem([("markets", F.col("_none"))]).alias("problem"),
     )

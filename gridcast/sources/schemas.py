@@ -61,11 +61,14 @@ def schema_of(entity: str) -> T.StructType:
 
 TEAM = "struct<id: string, abbreviation: string, displayName: string>"
 ATHLETE = "struct<id: string, displayName: string, position: struct<abbreviation: string, displayName: string>>"
-# Scores and flags are read as text, so a value of the wrong kind is seen instead of nulled away.
+# Scores and flags are read as text, so a value of the wrong kind is seen instead of nulled away. A competition is first kept as its
+# JSON text: only there a flag can be told from a text that spells one.
 SCOREBOARD = (
-    "events array<struct<id: string, date: string, season: struct<year: bigint, type: bigint>, week: struct<number: bigint>, "
-    "competitions: array<struct<neutralSite: string, status: struct<type: struct<name: string, completed: string>>, "
-    f"competitors: array<struct<homeAway: string, score: string, team: {TEAM}>>>>>>"
+    "events array<struct<id: string, date: string, season: struct<year: bigint, type: bigint>, week: struct<number: bigint>, competitions: array<string>>>"
+)
+COMPETITION = (
+    "neutralSite string, status struct<type: struct<name: string, completed: string>>, "
+    f"competitors array<struct<homeAway: string, score: string, team: {TEAM}>>"
 )
 SUMMARY = (
     f"boxscore struct<players: array<struct<team: {TEAM}, statistics: array<struct<name: string, labels: array<string>, "

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from gridcast.session import stage
 from gridcast.sources.landed import scoreboard_games, verify_envelopes
 
 ENVELOPE = "normalization_version string, source_url string, retrieved_at string, payload_sha256 string, payload string"
@@ -15,24 +20,31 @@ def landed_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100
     return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-def game_rows(envelopes: DataFrame, version: str, late: str = "7 days") -> DataFrame:
-    """Game rows of verified envelopes; a snapshot that lands twice within ``late`` counts once."""
-    good = verify_envelopes(envelopes, version).filter("problem IS NULL").drop("problem")
-    timed = good.selectExpr("*", "to_timestamp(retrieved_at) AS retrieved").withWatermark("retrieved", late)
-    return scoreboard_games(timed.dropDuplicatesWithinWatermark(["payload_sha256", "source_url"]))
+def game_rows(envelopes: DataFrame, version: str) -> DataFrame:
+    """Game rows of all envelopes. A rejected envelope is one row with its problem; no row is dropped, however late it lands."""
+    checked = verify_envelopes(envelopes, version).withColumnRenamed("problem", "envelope_problem")
+    readable = checked.withColumn("payload", F.when(F.col("envelope_problem").isNull(), F.col("payload")))
+    rows = scoreboard_games(readable)
+    return rows.withColumn("problem", F.coalesce("envelope_problem", "problem")).drop("envelope_problem")
 
 
 def write_games(rows: DataFrame, accepted: str, quarantine: str, checkpoint: str) -> DataStreamWriter:
     """Sink that splits every batch into accepted games and quarantine.
 
-    Each batch goes to its own folder and overwrites it, so a batch that is run
-    again after a lost driver does not double its rows.
+    A snapshot (payload and source) that lands again counts once, whenever it lands: rows of snapshots that other
+    batches have accepted are left out. Each batch goes to its own folder and overwrites it, so a batch
+    that is run again after a lost driver does not double its rows.
     """
+    identity = ["payload_sha256", "source_url"]
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.filter("problem IS NULL").drop("problem").write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-        batch.filter("problem IS NOT NULL").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        batch.unpersist()
+        spark = batch.sparkSession
+        batch = stage(batch)
+        good = batch.filter("problem IS NULL").drop("problem").dropDuplicates([*identity, "event_id"])
+        with contextlib.suppress(AnalysisException):  # nothing is accepted yet
+            kept = spark.read.option("basePath", accepted).parquet(f"{accepted}/batch=*").filter(F.col("batch") != number)
+            good = good.join(stage(kept.select(*identity).distinct()), identity, "left_anti")
+        good.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+        batch.filter("problem IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -9,8 +9,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
-    from gridcast.session import build_session
+    from gridcast.session import build_session, drop_staged
 
     session = build_session("gridcast-tests", "local[8]", 8)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    drop_staged(session)

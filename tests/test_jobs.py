@@ -21,6 +21,8 @@ def test_exponent_is_recovered(spark):
     rows = [(float(pf), float(pa), pf**2.6 / (pf**2.6 + pa**2.6)) for pf, pa in ((400, 300), (350, 350), (300, 400), (450, 250), (280, 420), (380, 310))]
     best, error = fitting.fit_exponent(spark.createDataFrame(rows, "points_for double, points_against double, win_rate double"))
     assert best == pytest.approx(2.6, abs=1e-3) and error < 1e-8
+    with pytest.raises(ValueError):
+        fitting.fit_exponent(spark.createDataFrame([(0.0, 0.0, 0.5), (0.0, 1.0, None), (None, 3.0, 0.2)], "points_for double, points_against double, win_rate double"))
     with pytest.raises(ValueError):
         fitting.fit_exponent(spark.createDataFrame(rows[:1], "points_for double, points_against double, win_rate double"))
 
@@ -98,9 +100,9 @@ def test_trial_draws_do_not_depend_on_partitions(spark):
 
 def test_ranking_uses_head_to_head_for_two(spark):
     records = spark.createDataFrame([(2020, 0, 1, 0.5), (2020, 0, 2, 0.5), (2020, 0, 3, 0.9)], "season_year int, trial int, team_id int, win_rate double").withColumn("g", F.lit("x"))
-    outcomes = spark.createDataFrame([], "season_year int, trial int, game_id long, home_team_id int, away_team_id int, winner_id int, kickoff_at timestamp")
+    left = spark.createDataFrame([], "season_year int, game_id long, home_team_id int, away_team_id int, p double, kickoff_at timestamp")
     met = spark.createDataFrame([(2020, 1, 2, 2)], "season_year int, low_id int, high_id int, winner_id int")
-    got = {r["team_id"]: r["place"] for r in season.rank_with_tiebreak(records, outcomes, met, ["g"], "x").collect()}
+    got = {r["team_id"]: r["place"] for r in season.rank_with_tiebreak(records, left, met, ["g"], "x").collect()}
     assert got == {3: 1, 2: 2, 1: 3}
 
 
@@ -169,6 +171,39 @@ def test_scoreboard_payloads(spark):
     assert got["4"]["home_score"] is None and got["4"]["completed"] is False
 
 
+def test_flags_spelled_as_text_and_unreadable_payloads(spark):
+    texts = event("1")
+    texts["competitions"][0]["status"]["type"]["completed"] = "true"
+    site = event("2")
+    site["competitions"][0]["neutralSite"] = "false"
+    payloads = [json.dumps({"events": [texts, site, event("3")]}), "{\"events\": [", "{}", json.dumps({"events": "x"}), json.dumps({"events": []})]
+    df = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    got = sorted(((r["event_id"], r["problem"]) for r in landed.scoreboard_games(df).collect()), key=repr)
+    assert got == sorted([("1", "completed"), ("2", "neutral site"), ("3", None), (None, "events"), (None, "events"), (None, "events")], key=repr)
+    df = spark.createDataFrame([(str(i), p) for i, p in enumerate(["{", "{}", '{"boxscore": 5, "injuries": "x"}', '{"boxscore": null, "injuries": null}', '{"boxscore": {"players": null}, "injuries": []}', '{"boxscore": {}}'])], "event_id string, payload string")
+    assert sorted((r["event_id"], r["problem"]) for r in landed.boxscore_statlines(df).collect()) == [(i, "box score") for i in "0125"]
+    assert sorted((r["event_id"], r["problem"]) for r in landed.injury_reports(df).collect()) == [(i, "injuries") for i in "0125"]
+    odds = spark.createDataFrame([("[",), ("[]",), ('[{"id": "a", "home_team": "H", "bookmakers": [{"key": "k", "markets": []}]}]',)], "payload string")
+    assert sorted(r["problem"] for r in landed.book_odds(odds).collect()) == ["events", "prices"]
+    quotes = spark.createDataFrame([("{",), ('{"markets": []}',), ('{"markets": [{"id": "m", "yes_ask": 45}]}',)], "payload string").selectExpr("*", "current_timestamp() AS retrieved_at")
+    assert sorted((r["market_id"], r["problem"]) for r in landed.market_quotes(quotes).collect()) == [("", "markets"), ("m", None)]
+
+
+def test_conflicts_inside_a_batch(spark):
+    when = datetime(2025, 1, 1)
+    schema = "provider string, source_url string, retrieved_at timestamp, payload string"
+    batch = spark.createDataFrame([("feed", "https://a/", when, "{}"), ("feed", "https://b/", when, "{}"), ("feed", "https://c/", when, "{1}"), ("feed", "https://c/", when, "{1}")], schema)
+    stored = landed.snapshot_identity(batch.limit(0))
+    fresh, rejected = landed.append_snapshots(stored, batch)
+    assert [r["source_url"] for r in fresh.collect()] == ["https://c/"]
+    assert sorted((r["source_url"], r["problem"]) for r in rejected.collect()) == [("https://a/", "conflicting content"), ("https://b/", "conflicting content")]
+
+
+def test_checksums_tell_nulls_and_separators_apart(spark):
+    frame = lambda *rows: metrics.fingerprint(spark.createDataFrame(list(rows), "a string, b string, c string"), ["a", "b", "c"]).first()["checksum"]
+    assert len({frame(("1", None, "2")), frame(("1", "2", None)), frame(("1|2", None, None)), frame(("", None, "12"))}) == 4
+
+
 def test_summary_payloads(spark):
     def block(i, athletes):
         return {"team": team(i), "statistics": [{"name": "passing", "labels": ["C/ATT", "YDS"], "athletes": athletes}, {"name": "empty", "labels": [], "athletes": []}]}
@@ -176,7 +211,7 @@ def test_summary_payloads(spark):
     who = lambda i: {"id": str(i), "displayName": f"P{i}"}
     good = {"boxscore": {"players": [block(1, [{"athlete": who(1), "stats": ["1/2", "30"]}, {"athlete": who(2), "stats": ["0/1", "0"]}]), block(2, [{"athlete": who(3), "stats": ["1/1", "5"]}])]},
             "injuries": [{"team": team(1), "injuries": [{"status": "Out", "date": "2025-09-08T10:00Z", "athlete": who(4) | {"position": {"abbreviation": "QB"}}}]}, {"team": team(2), "injuries": []}]}
-    broken = {"boxscore": {"players": [block(1, [{"athlete": who(1), "stats": ["1/2", "30"]}, {"athlete": {"displayName": "x"}, "stats": ["1", "2"]}])]}}
+    broken = {"boxscore": {"players": [block(1, [{"athlete": who(1), "stats": ["1/2", "30"]}, {"athlete": {"displayName": "x"}, "stats": ["1", "2"]}])]}, "injuries": None}
     upcoming = {"boxscore": {"players": None}, "injuries": None}
     df = spark.createDataFrame([("a", json.dumps(good)), ("b", json.dumps(broken)), ("c", json.dumps(upcoming))], "event_id string, payload string")
     lines = landed.boxscore_statlines(df)
@@ -212,21 +247,23 @@ def test_stream_of_snapshots(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
 
-    def land(name, events, broken=False):
+    def land(name, events, broken=False, at="2025-09-08T10:00:00+00:00"):
         payload = json.dumps({"events": events})
         digest = hashlib.sha256((payload + ("x" if broken else "")).encode()).hexdigest()
-        line = {"normalization_version": "v1", "source_url": "https://feed.example/", "retrieved_at": "2025-09-08T10:00:00+00:00", "payload_sha256": digest, "payload": payload}
+        line = {"normalization_version": "v1", "source_url": "https://feed.example/", "retrieved_at": at, "payload_sha256": digest, "payload": payload}
         (src / name).write_text(json.dumps(line) + "\n")
 
     land("a.json", [event("1"), event("2", week={})])
     land("b.json", [event("1"), event("2", week={})])  # the same snapshot again
     land("c.json", [event("9")], broken=True)
+    land("d.json", [event("5")], at="2025-08-19T10:00:00+00:00")  # a backfill of snapshots twenty days older
+    (src / "e.json").write_text(json.dumps({"normalization_version": "v1", "payload": "{}"}) + "\n")
     rows = ingest.game_rows(ingest.landed_stream(spark, str(src), 1), "v1")
     out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
     q = ingest.write_games(rows, out, bad, str(tmp_path / uuid.uuid4().hex)).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [r["event_id"] for r in spark.read.parquet(out).collect()] == ["1"]
-    assert [r["problem"] for r in spark.read.parquet(bad).collect()] == ["week"]
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["1", "5"]
+    assert sorted({r["problem"] for r in spark.read.parquet(bad).collect()}) == ["checksum mismatch", "missing source_url", "week"]
 
 
 def test_season_gate(spark):
