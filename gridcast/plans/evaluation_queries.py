@@ -252,6 +252,42 @@ SELECT week, least(1.0, 2 * sum(exp({_lc('m', 'x')} - m * ln(2)))) AS p FROM (
   SELECT week, (ob + oc)::DOUBLE AS m, unnest(range(0, least(ob, oc) + 1))::DOUBLE AS x FROM hit_counts) AS s GROUP BY week""")
 
 
+def exact_tests(rows: str, key: str) -> str:
+    """SQL for the hit counts and both exact p-values of ``rows`` by ``key``, on the tables of each group."""
+    return f"""
+WITH k AS (
+  SELECT {key}, count(*) AS n, count(*) FILTER (WHERE bh) AS b, count(*) FILTER (WHERE ch) AS c,
+         count(*) FILTER (WHERE bh AND NOT ch) AS ob, count(*) FILTER (WHERE ch AND NOT bh) AS oc FROM ({rows}) AS u GROUP BY {key}
+), f AS (
+  SELECT {key}, sum(CASE WHEN px <= seen * (1 + 1e-7::DOUBLE) THEN px END) AS p FROM (
+    SELECT {key}, {_hyper('x')} AS px, {_hyper('a')} AS seen FROM (
+      SELECT {key}, b::DOUBLE AS a, n::DOUBLE AS r1, n::DOUBLE AS r2, (b + c)::DOUBLE AS c1, (2 * n)::DOUBLE AS nn,
+             unnest(range(greatest(0, b + c - n), least(n, b + c) + 1))::DOUBLE AS x FROM k) AS s) AS q GROUP BY {key}
+), m AS (
+  SELECT {key}, least(1.0, 2 * sum(exp({_lc('m', 'x')} - m * ln(2)))) AS p FROM (
+    SELECT {key}, (ob + oc)::DOUBLE AS m, unnest(range(0, least(ob, oc) + 1))::DOUBLE AS x FROM k) AS s GROUP BY {key}
+)
+SELECT k.{key}, n AS sample_count, b AS baseline_correct, c AS candidate_correct, {q6('f.p')} AS fisher_p, {q_off_tie('m.p')} AS mcnemar_p
+FROM k JOIN f ON f.{key} = k.{key} JOIN m ON m.{key} = k.{key}"""
+
+
+def tested_parts(rows: DataFrame, key: str) -> DataFrame:
+    found = significance.paired_significance(rows, [key])
+    return found.select(key, *[big(c) for c in ("sample_count", "baseline_correct", "candidate_correct")], r6("fisher_p"), off_tie("mcnemar_p"))
+
+
+@query("e13_part_significance", with_ctes(exact_tests("SELECT *, 'full season' AS part FROM pair_hits UNION ALL SELECT *, 'week 1' FROM pair_hits WHERE week = 1", "part")))
+def _(t: Tables) -> DataFrame:
+    parts = F.when(F.col("week") == 1, F.array(F.lit("full season"), F.lit("week 1"))).otherwise(F.array(F.lit("full season")))
+    return tested_parts(E.paired_hits(pairs(t)).withColumn("part", F.explode(parts)), "part")
+
+
+@query("e14_window_significance", with_ctes(exact_tests(f"SELECT h.*, w::BIGINT AS through_week FROM pair_hits AS h JOIN (VALUES {_weeks}) AS v(w) ON week <= w", "through_week")))
+def _(t: Tables) -> DataFrame:
+    windows = E.early_windows(E.paired_hits(pairs(t))).withColumn("through_week", F.col("through_week").cast("bigint"))
+    return tested_parts(windows, "through_week")
+
+
 def week_counts(t: Tables) -> DataFrame:
     return significance.paired_counts(E.paired_hits(pairs(t)), ["week"])
 
