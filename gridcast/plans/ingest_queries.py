@@ -314,9 +314,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("s14_backfill_report", with_ctes("""
-SELECT g.game_id, count(s.game_id) AS statlines FROM test_games AS g LEFT JOIN (SELECT * FROM statlines WHERE stat_category = 'passing') AS s ON s.game_id = g.game_id GROUP BY g.game_id"""))
+SELECT g.game_id, count(s.game_id) AS statlines FROM test_games AS g LEFT JOIN statlines AS s ON s.game_id = g.game_id GROUP BY g.game_id"""))
 def _(t: Tables) -> DataFrame:
-    return C.backfill_report(t.games(), t.statlines().filter("stat_category = 'passing'")).select("game_id", "statlines")
+    return C.backfill_report(t.games(), t.statlines()).select("game_id", "statlines")
 
 
 @query("s15_open_game_reports", with_ctes("""

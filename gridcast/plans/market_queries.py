@@ -296,8 +296,8 @@ def _(t: Tables) -> DataFrame:
         big("season_year"), big("team_id"), "p10", "p25", "p50", "p75", "p90", r6("mean_wins"), r6("division_rate"), r6("playoff_rate"))
 
 
-PICK_WEEK = 13  # straddles July 1, so sets mix played and unplayed games
-cte("pick_rows", f"SELECT season_year * 100 + home_team_id AS set_id, * FROM dated WHERE week = {PICK_WEEK}")
+# every team's home games of a week are a set; week 13 straddles July 1, so its sets mix played and unplayed games
+cte("pick_rows", "SELECT (season_year::BIGINT * 100 + week) * 1000 + home_team_id AS set_id, * FROM dated")
 
 
 @query("w9_combined_outcomes", with_ctes(f"""
@@ -310,8 +310,8 @@ LEFT JOIN (SELECT set_id, sum(hit)::BIGINT AS hits FROM (
 LEFT JOIN (SELECT k.set_id, product(g.p) AS prod FROM pick_rows AS k JOIN left_games AS g ON g.game_id = k.game_id GROUP BY k.set_id) AS e ON e.set_id = s.set_id"""))
 def _(t: Tables) -> DataFrame:
     games = season.schedule(dated(t))
-    picks = games.filter(F.col("week") == PICK_WEEK).select(
-        (F.col("season_year") * 100 + F.col("home_team_id")).alias("set_id"), "game_id", F.col("home_team_id").alias("winner_id"))
+    picks = games.select(
+        ((F.col("season_year").cast("bigint") * 100 + F.col("week")) * 1000 + F.col("home_team_id")).alias("set_id"), "game_id", F.col("home_team_id").alias("winner_id"))
     return season.combined_outcomes(picks, games, t.games(), TRIALS).select(big("set_id"), r6("joint_probability"), r6("exact_probability"))
 
 

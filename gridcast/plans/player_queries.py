@@ -421,10 +421,12 @@ cte("out_impacts", impacts_sql("out_rows", "out_means"))
 
 @query("p8_injury_adjustment", with_ctes(f"""
 SELECT b.game_id, d.players_out, {q6('d.delta')} AS injury_delta,
-  {q6(Q.clamp(Q.home_field(Q.log5('b.home_strength', 'b.away_strength')) + ' + d.delta'))} AS adjusted_probability
-FROM baseline AS b JOIN (SELECT game_id, count(*) AS players_out, sum(CASE WHEN is_home THEN -mean_impact ELSE mean_impact END) AS delta
+  CASE WHEN b.abstain_reason IS NULL THEN CASE WHEN d.delta IS NULL THEN {q6('b.p')}
+       ELSE {q6(Q.clamp(Q.home_field(Q.log5('b.home_strength', 'b.away_strength')) + ' + d.delta'))} END END AS adjusted_probability,
+  coalesce(b.abstain_reason, CASE WHEN d.delta IS NULL THEN 'no starter out' END) AS reason
+FROM baseline AS b LEFT JOIN (SELECT game_id, count(*) AS players_out, sum(CASE WHEN is_home THEN -mean_impact ELSE mean_impact END) AS delta
                          FROM out_impacts GROUP BY game_id) AS d ON d.game_id = b.game_id"""))
 def _(t: Tables) -> DataFrame:
     df = C.injury_adjusted_forecast(tests(t), t.games(), t.statlines(), t.season_reports(), RESAMPLES)
-    return df.filter(F.col("injury_delta").isNotNull()).select(
-        "game_id", big("players_out"), r6("injury_delta"), "adjusted_probability")
+    reason = F.coalesce("abstain_reason", F.when(F.col("injury_delta").isNull(), F.lit("no starter out")))
+    return df.select("game_id", big("players_out"), r6("injury_delta"), "adjusted_probability", reason.alias("reason"))
