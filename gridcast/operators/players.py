@@ -318,7 +318,9 @@ def player_impact(
     rows = stage(_with_strengths(wanted.filter(F.col("replacement_id").isNotNull()), games, history, exponent))
     means = resampled_means(rows, scored, resamples, seed)
     conversion = points_per_production(statlines, history).scalar()
-    drawn = rows.join(means, [*PLAYER, "category", "games"])
+    # A row meets as many means as there are replicates, so the join is spread by rows made and not by bytes read.
+    keys = [*PLAYER, "category", "games"]
+    drawn = spread(rows, *keys).join(spread(means, *keys), keys)
     shifted = with_and_without(drawn, F.col("resampled_mean"), conversion, exponent)
     impact = F.col("p_with") - F.col("p_without")
     return shifted.groupBy("game_id", "team_id", "player_id", "category", "is_home", "replacement_id", "games").agg(

@@ -19,7 +19,8 @@ def build_session(app: str = "gridcast", master: str | None = None, shuffle_part
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        # in a local session the driver does all the work; the default of 1 GB is for one that only plans it
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
