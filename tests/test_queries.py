@@ -1,7 +1,4 @@
-"""Registered queries against their SQL.
-
-By default a part that touches every operator module; set GRIDCAST_ALL=1 for all.
-"""
+"""Registered queries against their SQL: all of them, or with GRIDCAST_CORE=1 a part that touches every operator module."""
 
 import os
 
@@ -19,7 +16,7 @@ CORE = [
     "p11_availability", "w1_win_totals", "w9_combined_outcomes", "v6_pick_resolution", "g1_value", "g4_momentum", "g5_backtest",
     "s1_append_snapshots", "s5_versioned_load", "s6_lineage", "s7_scoreboard", "s12_latest_snapshot", "v3_season_coverage", "v4_canonical_teams",
 ]
-NAMES = list(REGISTRY) if os.environ.get("GRIDCAST_ALL") else CORE
+NAMES = CORE if os.environ.get("GRIDCAST_CORE") else list(REGISTRY)
 
 
 @pytest.fixture(scope="module")
