@@ -6,15 +6,18 @@ it is broken in known ways so the quarantine is exercised too.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast import constants as K
 from gridcast.plans.fixtures import Tables
 from gridcast.plans.registry import big, cte, q6, qstamp, query, r6, stamp, with_ctes
-from gridcast.session import spread
+from gridcast.session import shared_folder, spread
 from gridcast.sources import canonical as C
 from gridcast.sources import landed as L
+from gridcast.sources import schemas as S
 from gridcast.sources import store
 
 
@@ -338,6 +341,93 @@ def _(t: Tables) -> DataFrame:
     return C.with_violations(broken, C.game_rules()).select("game_id", F.array_join("violations", ",").alias("violations"))
 
 
+# One rule after another is broken at every fifth, sixth, ... game: rule -> (column, a good value, a bad one).
+BROKEN = {
+    "team": {"abbreviation": ("abbreviation", "'ABC'", "'A'"), "display_name": ("display_name", "'Team'", "' '")},
+    "team_strength_snapshot": {
+        "season_year": ("season_year", "2020", "1999"), "through_week": ("through_week", "3", "26"), "games_played": ("games_played", "2", "-1"),
+        "points": ("points_for", "40", "-3"), "exponent": ("exponent", "2.37", "0.0"), "strength": ("strength", "0.5", "1.5"),
+    },
+    "kalshi_event": {"ticker": ("ticker", "'T'", "''"), "title": ("title", "'t'", "NULL"), "scheduled_at": ("scheduled_at", "kickoff_at", "NULL"), "settlement_source": ("settlement_source", "'s'", "' '")},
+    "kalshi_market": {
+        "ticker": ("ticker", "'T'", "''"), "title": ("title", "'t'", "NULL"), "open_at": ("open_at", "kickoff_at", "NULL"), "close_at": ("close_at", "kickoff_at", "NULL"),
+        "fee_type": ("fee_type", "'f'", "''"), "rules_primary": ("rules_primary", "'r'", "''"),
+    },
+    "orderbook_snapshot": {
+        "observed_at": ("observed_at", "kickoff_at", "NULL"),
+        "yes_bids": ("yes_bids", "array(named_struct('price_dollars', 0.4, 'contracts', 10.0))", "array(named_struct('price_dollars', 1.2, 'contracts', 10.0))"),
+        "no_bids": ("no_bids", "array(named_struct('price_dollars', 0.4, 'contracts', 1.0))", "array(named_struct('price_dollars', 0.4, 'contracts', 0.0))"),
+    },
+    "forecast": {
+        "probability": ("home_win_probability", "0.5", "NULL"), "probability_sum": ("tie_probability", "0.1", "0.9"), "uncertainty": ("uncertainty", "0.2", "-0.1"),
+        "training_window": ("training_window_start", "kickoff_at", "kickoff_at + INTERVAL 1 DAY"),
+    },
+    "match_decision": {"decision_at": ("decision_at", "kickoff_at", "NULL"), "status": ("status", "'eligible'", "'maybe'"), "reason": ("reason", "'r'", "''")},
+    "paper_recommendation": {"side": ("side", "'yes'", "'both'"), "entry_price": ("entry_price_dollars", "0.4", "1.4"), "max_loss": ("max_loss_dollars", "5.0", "0.0")},
+    "outcome": {"settled_at": ("settled_at", "kickoff_at", "NULL"), "scores": ("home_score", "20", "-1"), "payout": ("market_payout_dollars", "1.0", "2.0")},
+    "availability_report": {
+        "player_id": ("player_id", "'p'", "' '"), "report_class": ("report_class", "'injury_status'", "'rumour'"), "status_text": ("status_text", "'Out'", "''"),
+        "source_confidence": ("source_confidence", "0.9", "-0.5"), "correction_state": ("correction_state", "'original'", "'undone'"),
+    },
+    "player_game_statline": {
+        "player_id": ("player_id", "'p'", "NULL"), "category": ("stat_category", "'passing'", "''"), "labels": ("stat_labels", "array('YDS')", "array()"),
+        "lengths": ("stat_values", "array('1')", "array('1', '2')"),
+    },
+}
+_FIXED = {"team_strength_snapshot": {"points_against": "30"}, "forecast": {"feature_cutoff_at": "kickoff_at"}, "outcome": {"away_score": "17"}}
+# a bad value may break a second rule with it
+_ALSO = {("forecast", "probability_sum"): "game_id % 5 = 0 OR game_id % 6 = 0", ("player_game_statline", "lengths"): "(game_id % 7 = 0) OR (game_id % 8 = 0)"}
+
+
+def _validated(entity: str) -> None:
+    rules = BROKEN[entity]
+    where = {rule: _ALSO.get((entity, rule), f"game_id % {5 + i} = 0") for i, rule in enumerate(rules)}
+    cases = ", ".join(f"CASE WHEN {cond} THEN '{rule}' END" for rule, cond in where.items())
+
+    @query(f"v1_{entity}", with_ctes(f"SELECT game_id, concat_ws(',', {cases}) AS violations FROM games"))
+    def _(t: Tables) -> DataFrame:
+        own = [F.expr(f"CASE WHEN game_id % {5 + i} = 0 THEN {bad} ELSE {good} END").alias(c) for i, (c, good, bad) in enumerate(rules.values())]
+        fixed = [F.expr(v).alias(c) for c, v in _FIXED.get(entity, {}).items()]
+        rows = t.games().select("game_id", "kickoff_at", *[c for c in own], *fixed)
+        return C.with_violations(rows, C.entity_rules(entity)).select("game_id", F.array_join("violations", ",").alias("violations"))
+
+
+for _entity in BROKEN:
+    _validated(_entity)
+
+
+@query("v1_record", with_ctes("""
+SELECT game_id, concat_ws(',', CASE WHEN game_id % 5 = 0 THEN 'id' END, CASE WHEN game_id % 6 = 0 OR game_id % 7 = 0 THEN 'provider_ids' END,
+  CASE WHEN game_id % 8 = 0 THEN 'event_time' END, CASE WHEN game_id % 9 = 0 THEN 'schema_version' END) AS violations FROM games"""))
+def _(t: Tables) -> DataFrame:
+    gid = F.col("game_id")
+    key = F.when(gid % 6 == 0, "my_password").otherwise("feed")
+    rows = t.games().select(
+        "game_id", F.when(gid % 5 == 0, "game:1").otherwise(C.record_key("game", F.lit("feed"), gid)).alias("id"),
+        F.create_map(key, F.when(gid % 7 == 0, " ").otherwise(text(gid))).alias("provider_ids"),
+        F.when(gid % 8 != 0, F.col("kickoff_at")).alias("event_time"), F.col("kickoff_at").alias("retrieved_at"),
+        F.when(gid % 9 == 0, "0.1.0").otherwise(K.SCHEMA_VERSION).alias("schema_version"))
+    return C.with_violations(rows, C.record_rules()).select("game_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("s3_publish_and_read", with_ctes("""
+SELECT 'team:' || substr(sha256('team' || chr(30) || 'feed' || chr(31) || (CASE WHEN game_id % 7 = 0 THEN -game_id - 1 ELSE game_id END)::VARCHAR), 1, 32) AS id,
+       CASE WHEN game_id % 7 <> 0 THEN 'T' || home_team_id END AS abbreviation, game_id % 7 <> 0 AS found FROM games"""))
+def _(t: Tables) -> DataFrame:
+    gid = F.col("game_id")
+    stamp_ = F.col("kickoff_at").cast("timestamp")
+    rows = t.games().select(
+        F.lit("team").alias("entity_type"), C.record_key("team", F.lit("feed"), gid).alias("id"), F.create_map(F.lit("feed"), text(gid)).alias("provider_ids"),
+        stamp_.alias("event_time"), stamp_.alias("retrieved_at"), F.array().cast("array<" + S.SNAPSHOT_REF + ">").alias("source_snapshots"),
+        F.lit(K.SCHEMA_VERSION).alias("schema_version"), F.concat(F.lit("T"), text("home_team_id")).alias("abbreviation"), F.lit("Team").alias("display_name"))
+    root = f"{shared_folder(t.spark)}/gridcast-stage/{t.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    store.publish(rows, root, "team", "1")
+    asked = t.games().select(C.record_key("team", F.lit("feed"), F.when(gid % 7 == 0, -gid - 1).otherwise(gid)).alias("id"))
+    found, missing = store.read_by_id(store.load_table(t.spark, root, "team", "1"), asked)
+    return found.select("id", "abbreviation", F.lit(True).alias("found")).unionByName(
+        missing.select("id", F.lit(None).cast("string").alias("abbreviation"), F.lit(False).alias("found")))
+
+
 @query("v2_secret_screen", with_ctes("""
 SELECT event_id, (event_id % 3 = 0) AS bad_url, (event_id % 4 = 0) AS bad_key FROM events"""))
 def _(t: Tables) -> DataFrame:

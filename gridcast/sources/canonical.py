@@ -76,6 +76,41 @@ def statline_rules() -> dict[str, Column]:
     }
 
 
+def entity_rules(entity: str) -> dict[str, Column]:
+    """Rules of an entity's own columns, by name. Together with :func:`record_rules` they are all a stored row must meet."""
+    filled = lambda c: ~blank(F.col(c))
+    known = lambda c: F.col(c).isNotNull()
+    unit = lambda c: F.col(c).between(0, 1)
+    natural = lambda c: F.col(c) >= 0
+    levels = lambda c: F.forall(c, lambda x: F.coalesce(x["price_dollars"].between(0, 1) & (x["contracts"] > 0), F.lit(False)))
+    rules = {
+        "team": lambda: {"abbreviation": F.char_length("abbreviation").between(2, 5), "display_name": filled("display_name")},
+        "game": game_rules,
+        "team_strength_snapshot": lambda: {
+            "season_year": F.col("season_year") >= 2000, "through_week": F.col("through_week").between(0, 25), "games_played": natural("games_played"),
+            "points": natural("points_for") & natural("points_against"), "exponent": F.col("exponent") > 0, "strength": unit("strength"),
+        },
+        "kalshi_event": lambda: {"ticker": filled("ticker"), "title": filled("title"), "scheduled_at": known("scheduled_at"), "settlement_source": filled("settlement_source")},
+        "kalshi_market": lambda: {
+            "ticker": filled("ticker"), "title": filled("title"), "open_at": known("open_at"), "close_at": known("close_at"),
+            "fee_type": filled("fee_type"), "rules_primary": filled("rules_primary"),
+        },
+        "orderbook_snapshot": lambda: {"observed_at": known("observed_at"), "yes_bids": levels("yes_bids"), "no_bids": levels("no_bids")},
+        "forecast": forecast_rules,
+        "match_decision": lambda: {"decision_at": known("decision_at"), "status": F.col("status").isin("eligible", "rejected"), "reason": filled("reason")},
+        "paper_recommendation": lambda: {"side": F.col("side").isin("yes", "no"), "entry_price": unit("entry_price_dollars"), "max_loss": F.col("max_loss_dollars") > 0},
+        "outcome": lambda: {"settled_at": known("settled_at"), "scores": natural("home_score") & natural("away_score"), "payout": unit("market_payout_dollars")},
+        "availability_report": lambda: {
+            "player_id": filled("player_id"),
+            "report_class": F.col("report_class").isin("roster_status", "injury_status", "practice_participation", "gameday_inactive", "in_game_incident"),
+            "status_text": filled("status_text"), "source_confidence": unit("source_confidence"),
+            "correction_state": F.col("correction_state").isin("original", "corrected", "retracted"),
+        },
+        "player_game_statline": statline_rules,
+    }
+    return rules[entity]()
+
+
 def season_events(games: DataFrame, order: str = "retrieved_at") -> DataFrame:
     """Landed games of a requested season, one row per event: the first copy and how often it came.
 

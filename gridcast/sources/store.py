@@ -36,6 +36,12 @@ def load_table(spark: SparkSession, root: str, entity: str, version: str | None)
     return spark.read.schema(schema).parquet(f"{root}/{entity}/version={version}")
 
 
+def read_by_id(table: DataFrame, asked: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table`` whose key is in ``asked``, and the asked keys that no row has."""
+    keys = asked.select(key).distinct()
+    return table.join(keys, key, "left_semi"), keys.join(table, key, "left_anti")
+
+
 def load_records(payloads: DataFrame, entity: str, migrations: dict[str, Migration] | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed rows of one entity from JSON payloads of any known version, and the rest with a problem.
 
