@@ -260,7 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stage(buckets.join(hubs, "band"))  # buckets of one node are gone
     star = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     candidates = stage(estimated(star, small, percent))
-    links = EdgeSet(keyed.select("row_key", "text"), nodes, length, percent)
+    # Texts are joined once: the sets of all nodes that share a bucket serve every comparison that follows.
+    compared = members.select("node").distinct().join(nodes.select("node", "row_key"), "node")
+    sets = stage(keyed.select("row_key", "text").join(compared, "row_key").select("node", shingle_array(length)(F.col("text")).alias("shingles")))
+    links = EdgeSet(sets, percent)
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     links.add(best)
     links.add(links.across(candidates.select("a", "b")).join(best, ["a", "b"], "left_anti"))
@@ -380,8 +383,8 @@ def estimated(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
 class EdgeSet:
     """Verified links so far, as a forest node -> root."""
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, length: int, percent: int):
-        self.texts, self.nodes, self.length, self.percent = texts, nodes, length, percent
+    def __init__(self, shingle_sets: DataFrame, percent: int):
+        self.shingle_sets, self.percent = shingle_sets, percent
         self.forest: DataFrame | None = None
 
     def sets(self, pairs: DataFrame) -> DataFrame:
@@ -389,9 +392,8 @@ class EdgeSet:
         return self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """The shingle sets of ``wanted`` (node), made again from one text of each class."""
-        wanted = wanted.join(self.nodes.select("node", "row_key"), "node")
-        return stage(self.texts.join(wanted, "row_key").select("node", shingle_array(self.length)(F.col("text")).alias("shingles")))
+        """The shingle sets of ``wanted`` (node)."""
+        return self.shingle_sets.join(wanted, "node", "left_semi")
 
     def add(self, pairs: DataFrame) -> None:
         pairs = stage(pairs)
