@@ -8,7 +8,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import HASH_BITS, bounded_broadcast, hash60, hash_cuts
+from gridcast.llm.common import HASH_BITS, bounded_broadcast, free_name, hash60, hash_cuts, on_files, with_row_key
 from gridcast.session import stage
 
 SHARDS = 24
@@ -20,6 +20,10 @@ ROW_BYTES = 8
 LARGE = 16
 #: Rows that are numbered together.
 NUMBERED = 2048
+#: A range of the hash with more than so many times NUMBERED rows is numbered in parts.
+CROWDED = 8
+#: The last bits of a row's hash come from its place in its files, so that rows equal in id and text can be cut apart.
+PLACE_BITS = 20
 
 
 # --- the flow: shards only, on the driver ---------------------------------------
@@ -140,18 +144,32 @@ def measured(docs: DataFrame, id_col: str, text_col: str, old_shard: Column | No
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     old = F.pmod(F.crc32(key.cast("binary")), F.lit(old_shards)) if old_shard is None else old_shard
-    return docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), hash60(F.lit("shard"), F.col(id_col)).alias("h"), old.cast("int").alias("old_shard"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_measures(text), old.cast("int").alias("old_shard"))
+    rows = with_row_key(on_files(rows), "place")
+    return rows.select("doc_id", "size", "text_crc32", order_hash(F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("place")).alias("h"), "old_shard")
+
+
+def text_measures(text: Column) -> tuple[Column, Column]:
+    """size and text_crc32 of a text that is not null."""
+    return (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
+
+
+def order_hash(doc_id: Column, size: Column, text_crc32: Column, place: Column) -> Column:
+    """A ``hash60`` of id and text whose last bits are a hash of the row's place (see ``with_row_key``).
+
+    Rows of one id lie apart by their texts, and rows that equal each other in both by their places, so neither crowd on
+    one side of a cut. Where a row lies otherwise does not depend on the files.
+    """
+    own = F.shiftright(hash60(place["file"], place["row"]), HASH_BITS - PLACE_BITS)
+    return F.shiftleft(F.shiftright(hash60(F.lit("shard"), doc_id, size, text_crc32), PLACE_BITS), PLACE_BITS) + own
 
 
 def plan_moves(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
     """(cuts, large, moves) for ``rows`` of ``measured``.
 
     Rows of an old shard lie in the order of their hash; a transfer is a stretch of that order. ``cuts``
-    (old_shard, stops: array<struct<cut, shard>>) tells which stretch goes where: one row per old shard. Rows
-    that equal each other in id and size are one group; ``large`` (old_shard, h, size, shard) places every group above capacity / 16: the
+    (old_shard, stops: array<struct<cut, shard>>) tells which stretch goes where: one row per old shard. ``large``
+    (old_shard, h, size, shard) places every row above capacity / 16 (and what shares its hash and size): the
     largest first, in its old shard if it has room, else in the emptiest. The flow then fills what room is left.
     ``moves`` are all transfers (old, new, bytes), the large ones included.
     """
@@ -191,8 +209,9 @@ def reshard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     old shard, which is ``old_shard`` (an int column; null counts as shard -1) or else the layout of ``old_shards`` shards by
     the checksum of the id. Stretches end at whole rows. A shard differs from the mean by a few small
     rows (below a sixteenth of it); only one row larger than the mean makes a shard larger. Slots number the rows
-    of a shard from 0 without a gap. Rows equal in id and size go to one shard; null ids are such rows. An empty
-    table gives none. Other columns are not read.
+    of a shard from 0 without a gap. Ids may repeat or be null: rows of one id, even with the same text, are dealt like others,
+    and which of several equal rows goes where depends on their places in the files. An empty table gives none. Other
+    columns are not read.
     """
     home = F.coalesce(old_shard, F.lit(-1)) if old_shard is not None else None
     rows = stage(measured(docs, id_col, text_col, home, old_shards))
@@ -213,15 +232,27 @@ def numbered(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """``rows`` (with shard and h) with slot: 0, 1, ... in each shard.
 
     A shard is numbered in about total / shards / 2048 ranges of the hash, each by itself, on top of the counts
-    of the ranges before it; no task sorts a whole shard.
+    of the ranges before it; no task sorts a whole shard. A range crowded by many equal rows is numbered in parts
+    by the last bits of the hash, in which such rows differ.
     """
     bits = max(0, math.ceil(math.log2(max(1, total / shards / NUMBERED))))
     rows = rows.select("*", F.shiftright("h", HASH_BITS - bits).alias("range"))
-    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "range").orderBy("h", "size", "text_crc32"))
-    slots = rows.select("*", within.alias("within")).join(bounded_broadcast(starts, shards << bits), ["shard", "range"])
+    crowded = sizes.where(F.col("n") > CROWDED * NUMBERED)
+    crowded = stage(crowded.select("shard", "range", F.least(F.ceil(F.log2(F.col("n") / NUMBERED)), F.lit(PLACE_BITS)).cast("int").alias("fine")))
+    many, parts = crowded.count(), shards << bits
+    if many:
+        rows = rows.join(bounded_broadcast(crowded, many), ["shard", "range"], "left")
+        last = F.expr(f"shiftright(h & {(1 << PLACE_BITS) - 1}, {PLACE_BITS} - fine)")
+        rows = rows.withColumn("part", F.coalesce(last, F.lit(0).cast("long"))).drop("fine")
+        sizes = rows.groupBy("shard", "range", "part").agg(F.count(F.lit(1)).alias("n"))
+        parts += 2 * total // NUMBERED
+    else:
+        rows, sizes = rows.withColumn("part", F.lit(0).cast("long")), sizes.withColumn("part", F.lit(0).cast("long"))
+    before = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "range", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("shard", "range", "part").orderBy("h", "size", "text_crc32"))
+    slots = rows.select("*", within.alias("within")).join(bounded_broadcast(starts, parts), ["shard", "range", "part"])
     return slots.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("start") + F.col("within") - 1).cast("long").alias("slot"))
 
 
@@ -245,7 +276,9 @@ def rewrite_affected(spark: SparkSession, old_folder: str, new_folder: str, shar
 
 
 def measured_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns that decide a row's shard, next to ``data``, the row itself."""
-    size = (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + ROW_BYTES).cast("long")
+    """The columns that decide a row's shard, next to ``data``, the row itself. ``docs`` are read from files."""
+    place = free_name(docs, "place")
     data = F.struct(*[F.col(c) for c in docs.columns if c != "shard"])
-    return docs.select(data.alias("data"), size.alias("size"), hash60(F.lit("shard"), F.col(id_col)).alias("h"), F.col("shard").cast("int").alias("old_shard"))
+    size, crc = text_measures(F.coalesce(F.col(text_col), F.lit("")))
+    rows = with_row_key(docs, place).select(data.alias("data"), F.col(id_col).alias("doc_id"), size, crc, F.col(place).alias("place"), F.col("shard").cast("int").alias("old_shard"))
+    return rows.select("data", "size", order_hash(F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("place")).alias("h"), "old_shard")

@@ -86,3 +86,28 @@ def test_rewrites_only_what_changes(spark, tmp_path):
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(r[1] for r in rows)
     counts = [r["count"] for r in whole.groupBy("shard").count().collect()]
     assert max(counts) - min(counts) <= 4
+
+
+@pytest.mark.parametrize("third", ["texts", "empty"])
+def test_a_third_of_null_ids_is_dealt_evenly(spark, tmp_path, third, monkeypatch):
+    monkeypatch.setattr(sharding, "NUMBERED", 16)
+    rows = [(None if i % 3 == 0 else i, ("n" * (i * 31 % 700) if third == "texts" else None) if i % 3 == 0 else "x" * (i % 12 if third == "empty" else i * 37 % 700)) for i in range(9000)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(path)
+    for docs in (spark.read.parquet(path), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)):
+        sizes = check(rows, sharding.reshard(docs).collect(), 24)
+        mean = sum(sizes) / 24
+        assert max(sizes) - min(sizes) < mean / 16
+
+
+def test_a_rewrite_parts_rows_of_one_id(spark, tmp_path):
+    rows = [(s, None if s == 0 else i, "z" * 100, i) for s in range(2) for i in range(s * 1000, s * 1000 + (900 if s == 0 else 100))]
+    old, new = f"{tmp_path}/old", f"{tmp_path}/new"
+    spark.createDataFrame(rows, "shard int, doc_id long, text string, own long").repartition(4).write.partitionBy("shard").parquet(old)
+    listing = sharding.rewrite_affected(spark, old, new, 4).collect()
+    counts, found = [], []
+    for r in listing:
+        part = [x["own"] for x in spark.read.parquet(r["path"]).collect()]
+        counts.append(len(part))
+        found += part
+    assert sorted(found) == sorted(r[3] for r in rows) and max(counts) - min(counts) <= 4
