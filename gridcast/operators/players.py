@@ -235,14 +235,18 @@ def missing_from_box_score(starters: DataFrame, statlines: DataFrame) -> DataFra
     return starters.join(statlines.select("game_id", "player_id"), ["game_id", "player_id"], "left_anti")
 
 
-def _with_strengths(wanted: DataFrame, games: DataFrame, history: DataFrame, exponent: float) -> DataFrame:
+def _with_reasons(wanted: DataFrame, games: DataFrame, history: DataFrame, exponent: float) -> DataFrame:
     rated = team_strength(scoring_totals(side_probes(games), history), exponent)
     own = rated.select(*TEAM_SEASON, "cutoff", F.col("ppg_for"), F.col("ppg_against"), F.col("reason").alias("team_reason"))
     other = rated.select(
         F.col("team_id").alias("opponent_id"), "season_year", "cutoff",
         F.col("strength").alias("opponent_strength"), F.col("reason").alias("opponent_reason"),
     )
-    df = wanted.join(own, [*TEAM_SEASON, "cutoff"]).join(other, ["opponent_id", "season_year", "cutoff"])
+    return wanted.join(own, [*TEAM_SEASON, "cutoff"]).join(other, ["opponent_id", "season_year", "cutoff"])
+
+
+def _with_strengths(wanted: DataFrame, games: DataFrame, history: DataFrame, exponent: float) -> DataFrame:
+    df = _with_reasons(wanted, games, history, exponent)
     return df.filter(F.col("team_reason").isNull() & F.col("opponent_reason").isNull()).drop("team_reason", "opponent_reason")
 
 
@@ -312,10 +316,12 @@ def player_impact(
 ) -> DataFrame:
     """Mean and spread of a starter's win-probability impact over bootstrap draws of his production.
 
-    ``wanted`` is a part of :func:`starter_table`. Rows without a replacement or
-    without a usable strength of either side have no estimate and drop out.
+    ``wanted`` is a part of :func:`starter_table`. Every row is returned: those without a replacement or
+    without a usable strength of either side have no estimate but an ``abstain_reason``.
     """
-    rows = stage(_with_strengths(wanted.filter(F.col("replacement_id").isNotNull()), games, history, exponent))
+    reason = F.coalesce(F.when(F.col("replacement_id").isNull(), F.lit(K.NO_REPLACEMENT)), F.col("team_reason"), F.col("opponent_reason"))
+    known = stage(_with_reasons(wanted, games, history, exponent).withColumn("abstain_reason", reason).drop("team_reason", "opponent_reason"))
+    rows = known.filter(F.col("abstain_reason").isNull())
     means = resampled_means(rows, scored, resamples, seed)
     conversion = points_per_production(statlines, history).scalar()
     # A row meets as many means as there are replicates, so the join is spread by rows made and not by bytes read.
@@ -323,17 +329,22 @@ def player_impact(
     drawn = spread(rows, *keys).join(spread(means, *keys), keys)
     shifted = with_and_without(drawn, F.col("resampled_mean"), conversion, exponent)
     impact = F.col("p_with") - F.col("p_without")
-    return shifted.groupBy("game_id", "team_id", "player_id", "category", "is_home", "replacement_id", "games").agg(
-        F.avg(impact).alias("mean_impact"), F.stddev_pop(impact).alias("impact_stdev")
-    )
+    columns = ["game_id", "team_id", "player_id", "category", "is_home", "replacement_id", "games"]
+    estimated = shifted.groupBy(*columns).agg(F.avg(impact).alias("mean_impact"), F.stddev_pop(impact).alias("impact_stdev"))
+    abstained = known.filter(F.col("abstain_reason").isNotNull()).select(*columns, "abstain_reason")
+    return estimated.unionByName(abstained, allowMissingColumns=True)
 
 
 def game_delta(impacts: DataFrame) -> DataFrame:
-    """Net change of the home win probability per game when the listed players are missing."""
+    """Net change of the home win probability per game when the listed players are missing.
+
+    A game whose every missing starter is abstained on has a row too: without a change, with ``players_abstained``.
+    """
     signed = F.when(F.col("is_home"), -F.col("mean_impact")).otherwise(F.col("mean_impact"))
     return impacts.groupBy("game_id").agg(
         F.sum(signed).alias("injury_delta"),
-        F.count(F.lit(1)).alias("players_out"),
+        F.nullif(F.count("mean_impact"), F.lit(0)).alias("players_out"),
+        F.count("abstain_reason").alias("players_abstained"),
     )
 
 

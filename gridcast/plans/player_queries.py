@@ -217,10 +217,20 @@ def impacts(t: Tables) -> DataFrame:
 @query("p7_player_impact", with_ctes(f"""
 SELECT game_id, team_id::BIGINT AS team_id, player_id, category, repl AS replacement_id, {q6('mean_impact')} AS mean_impact, {q6('stdev')} AS impact_stdev FROM absent_impacts"""))
 def _(t: Tables) -> DataFrame:
-    return impacts(t).select(
+    return impacts(t).filter(F.col("abstain_reason").isNull()).select(
         "game_id", big("team_id"), "player_id", "category", "replacement_id", r6("mean_impact"), r6("impact_stdev"))
 
 
+@query("p7_abstained_impacts", with_ctes(f"""
+SELECT s.game_id, s.team_id::BIGINT AS team_id, s.player_id, s.category, s.repl AS replacement_id,
+       CASE WHEN s.repl IS NULL THEN '{K.NO_REPLACEMENT}' ELSE coalesce(own.reason, opp.reason) END AS abstain_reason FROM absent AS s
+JOIN strengths AS own ON own.team_id = s.team_id AND own.season_year = s.season_year AND own.cutoff = s.cutoff
+JOIN strengths AS opp ON opp.team_id = s.opponent_id AND opp.season_year = s.season_year AND opp.cutoff = s.cutoff
+WHERE s.repl IS NULL OR own.reason IS NOT NULL OR opp.reason IS NOT NULL"""))
+def _(t: Tables) -> DataFrame:
+    return impacts(t).filter(F.col("abstain_reason").isNotNull()).select("game_id", big("team_id"), "player_id", "category", "replacement_id", "abstain_reason")
+
+
 cte("injured", f"""
 SELECT b.game_id, b.season_year, b.week, b.is_tie, b.home_won, b.abstain_reason, b.p, d.delta,
        CASE WHEN b.p IS NOT NULL THEN {Q.clamp('b.p + coalesce(d.delta, 0)')} END AS hurt
@@ -279,7 +289,7 @@ SELECT a.category, count(*) AS samples FROM absent_impacts AS a JOIN baseline AS
 WHERE b.abstain_reason IS NULL AND NOT b.is_tie GROUP BY a.category"""))
 def _(t: Tables) -> DataFrame:
     counted = E.baseline_samples(t.games()).filter(metrics.is_scored()).select("game_id")
-    return impacts(t).join(counted, "game_id", "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("samples"))
+    return impacts(t).filter(F.col("abstain_reason").isNull()).join(counted, "game_id", "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("samples"))
 
 
 # --- availability -------------------------------------------------------------------

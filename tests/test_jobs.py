@@ -279,3 +279,10 @@ def test_season_gate(spark):
     events = canonical.season_events(spark.createDataFrame(more, schema))
     assert sorted(r["problem"] for r in canonical.season_problems(events).collect()) == ["duplicate", "inconsistent"]
     assert canonical.accepted_games(events).count() == 8
+
+
+def test_game_delta_tells_abstained_from_nobody_missing(spark):
+    rows = [(1, True, 0.05, None), (1, False, None, "MissingReplacementError"), (2, True, None, "InsufficientHistoryError")]
+    impacts = spark.createDataFrame(rows, "game_id long, is_home boolean, mean_impact double, abstain_reason string")
+    found = {r["game_id"]: (r["injury_delta"], r["players_out"], r["players_abstained"]) for r in players.game_delta(impacts).collect()}
+    assert found == {1: (-0.05, 1, 1), 2: (None, None, 1)}
