@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import chat, contamination, exact, mixing, near, pii, quality, revisits, sharding, urls
+from gridcast.llm import bpe, chat, codes, contamination, exact, mixing, near, negatives, pii, quality, revisits, sharding, urls
 from gridcast.llm.common import hash60, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,29 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op11_compress(spark: SparkSession, folder: str) -> DataFrame:
+    found, books = codes.compress(table(spark, folder, "embeddings"))
+    written = F.concat_ws("", F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))))
+    return codes.with_label_error(found).select(
+        F.col("id").alias("vec_id"), written.alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op12_encode(spark: SparkSession, folder: str, file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(file)
+    found = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    ids = F.sha2(F.array_join("token_ids", ",").cast("binary"), 256)
+    back = F.sha2(bpe.decoded(spark, F.col("token_ids"), path), 256)
+    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), back.alias("decoded_sha256"))
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES: dict[str, Query] = {
     "op1_reshard": op1_reshard,
     "op2_chat": op2_chat,
@@ -109,6 +132,9 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_mix": op9_mix,
     "op10_exact": op10_exact,
+    "op11_compress": op11_compress,
+    "op12_encode": op12_encode,
+    "op13_negatives": op13_negatives,
 }
 
 OP2_SQL = r"""
@@ -236,7 +262,60 @@ SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND d.n
 FROM d JOIN winner USING (text_sha256)
 """
 
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+_WHOLE = "list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT)"
+
+
+def _assigned(books: str) -> str:
+    return f"""
+  SELECT r, p, min(d) AS d, arg_min(e, d * 64 + e) AS e FROM (
+    SELECT r, p, e, sum((y - z) * (y - z)) AS d FROM c JOIN {books} USING (p, i) GROUP BY r, p, e) AS measured GROUP BY r, p"""
+
+
+def _moved(books: str, assigned: str) -> str:
+    return f"""
+  SELECT p, e, i, coalesce((s - ((s % n) + n) % n) // n, z) AS z FROM {books} LEFT JOIN (
+    SELECT p, e, i, sum(y) AS s, count(*) AS n FROM c JOIN {assigned} USING (r, p) GROUP BY p, e, i) AS used USING (p, e, i)"""
+
+
+OP11_SQL = f"""
+WITH k AS (
+  SELECT r, vec_id, label, x, row_number() OVER (ORDER BY vec_id, x) - 1 AS e, len(x) // 16 AS w
+  FROM (SELECT row_number() OVER () AS r, vec_id, label, {_WHOLE} AS x FROM embeddings WHERE {_USABLE}) AS v
+), c AS (
+  SELECT r, (i - 1) // w AS p, (i - 1) % w AS i, x[i] AS y FROM k, unnest(range(1, len(x) + 1)) AS u(i)
+), b0 AS (
+  SELECT p, e, i, y AS z FROM c JOIN k USING (r) WHERE e < 64
+), a0 AS ({_assigned("b0")}
+), b1 AS ({_moved("b0", "a0")}
+), a1 AS ({_assigned("b1")}
+), b2 AS ({_moved("b1", "a1")}
+), a2 AS ({_assigned("b2")}
+), coded AS (
+  SELECT r, string_agg(format('{{:02x}}', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(z::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b2
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (r), books
+"""
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE}::DOUBLE[] AS x
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}
+), s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM k AS a JOIN k AS b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS no FROM s WHERE same QUALIFY no <= 5
+)
+SELECT pos.anchor_id, positive_id, row_number() OVER (PARTITION BY a, no ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (a) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
 SQL: dict[str, str] = {
+    "op11_compress": OP11_SQL,
+    "op13_negatives": OP13_SQL,
     "op2_chat": OP2_SQL,
     "op4_urls": OP4_SQL,
     "op6_revisits": OP6_SQL,
