@@ -3,16 +3,19 @@
 The pairs of neighbouring pieces that may be merged wait in one bucket per rank. A bitmap says which buckets hold something, a
 second bitmap which words of the first are not zero, and so on up to a single word; the next rank is found by taking the lowest
 set bit of a word on each level. A merge changes two neighbours, which are put into the buckets of their new ranks; their old entries stay where
-they are and are skipped when their bucket is opened. So a pre-token of n bytes costs about n steps, however long it is.
+they are and are skipped when their bucket is opened. So a pre-token of n bytes costs about n steps, however long it is. Short ones go
+through one queue together, as it makes no difference to them.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +25,10 @@ from gridcast.llm.common import free_name, small_batches
 
 #: The largest vocabulary file that is sent to the executors.
 VOCABULARY_BYTES = 64 << 20
-#: Encoded pre-tokens a worker remembers, and the longest that is worth remembering.
-REMEMBERED, SHORT = 200_000, 64
+#: Encoded pre-tokens a worker remembers before it starts anew, and the longest that is worth remembering.
+REMEMBERED, SHORT = 400_000, 64
+#: Bytes of pre-tokens that share a queue.
+TOGETHER = 1 << 20
 
 _BITS = 8
 _WORD = 1 << _BITS
@@ -58,6 +63,10 @@ class RankQueue:
                 break
             rank = word
 
+    def put_all(self, rank: int, positions: list[int]) -> None:
+        self.put(rank, positions[0])
+        self.buckets[rank] += positions[1:]
+
     def least(self) -> int:
         """The lowest rank with a bucket, -1 if there is none: find-first-set on each level."""
         word = self.top[0]
@@ -83,88 +92,138 @@ class RankQueue:
 
 
 class Coder:
-    """Encodes pre-tokens by the ranks of a vocabulary (bytes -> rank) and decodes ids."""
+    """Encodes pre-tokens by the ranks of a vocabulary (bytes -> rank; every single byte is a word) and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.words = [b""] * (max(ranks.values(), default=-1) + 1)
+        words = [b""] * (max(ranks.values(), default=-1) + 1)
+        for word, rank in ranks.items():
+            words[rank] = word
+        self.words = pa.array(words, pa.binary())
+        self.lengths = np.array([len(w) for w in words], dtype=np.int64)
+        self.queue = RankQueue(len(words))
+        self.twos = np.full(1 << 16, -1, dtype=np.int32)
         for word, rank in ranks.items():
-            self.words[rank] = word
-        self.queue = RankQueue(len(self.words))
-
-    def encode(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. Of all neighbours that make a word, those of the lowest rank merge first, from the left."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, queue, find = len(piece), self.queue, ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        paired = [-1] * n  # the rank under which a position waits; -1: none, or the position was merged away
-        for i in range(n - 1):
-            rank = find(piece[i : i + 2])
-            if rank is not None:
-                paired[i] = rank
-                queue.put(rank, i)
+            if len(word) == 2:
+                self.twos[word[0] << 8 | word[1]] = rank
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, packed as 32-bit integers.
+
+        Of all neighbours within a pre-token that make a word, those of the lowest rank merge first, from the left. The
+        pre-tokens stand one after the other and share one queue; no merge crosses an edge between two.
+        """
+        find, data = self.ranks.get, b"".join(pieces)
+        n = len(data)
+        edge = bytearray(n + 1)
+        starts = list(accumulate(map(len, pieces), initial=0))
+        for i in starts:
+            edge[i] = 1
+        after, before, paired = self._linked(data, edge)
+        queue = self.queue
+        buckets, put = queue.buckets, queue.put
         while (rank := queue.least()) >= 0:
-            waiting = queue.take(rank)
+            waiting, lower = queue.take(rank), False
             for done, i in enumerate(waiting, 1):
                 if paired[i] != rank:
                     continue  # stale
-                lower = False
                 gone = after[i]
                 end = after[i] = after[gone]
                 paired[gone] = -1
-                if end < n:
-                    before[end] = i
-                    found = find(piece[i : after[end]])
-                else:
-                    found = None
-                if found is None:
+                if edge[end]:
                     paired[i] = -1
                 else:
-                    paired[i] = found
-                    queue.put(found, i)
-                    lower = found < rank
-                left = before[i]
-                if left >= 0:
-                    found = find(piece[left:end])
-                    if found is None:
-                        paired[left] = -1
-                    else:
-                        paired[left] = found
-                        queue.put(found, left)
-                        lower = lower or found < rank
+                    before[end] = i
+                    found = paired[i] = find(data[i : after[end]], -1)
+                    if found >= 0:
+                        lower |= found < rank
+                        bucket = buckets.get(found)
+                        if bucket is None:
+                            put(found, i)
+                        else:
+                            bucket.append(i)
+                if not edge[i]:
+                    left = before[i]
+                    found = paired[left] = find(data[left:end], -1)
+                    if found >= 0:
+                        lower |= found < rank
+                        bucket = buckets.get(found)
+                        if bucket is None:
+                            put(found, left)
+                        else:
+                            bucket.append(left)
                 if lower:  # a vocabulary whose longer words may rank before their parts
                     for rest in waiting[done:]:
                         if paired[rest] == rank:
-                            queue.put(rank, rest)
+                            put(rank, rest)
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+        ranks, out = self.ranks, []
+        for i, end in zip(starts, starts[1:], strict=False):
+            ids = array("i")
+            while i < end:
+                ids.append(ranks[data[i : after[i]]])
+                i = after[i]
+            out.append(ids.tobytes())
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        words = self.words
-        return b"".join([words[i] for i in ids])
+    def _linked(self, data: bytes, edge: bytearray) -> tuple[array, array, array]:
+        """The list of single bytes (after, before) and the rank under which each waits (-1: none, or merged away); fills the queue."""
+        n = len(data)
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        flat = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
+        ranks = np.full(n, -1, dtype=np.int32)
+        ranks[:-1] = np.where(np.frombuffer(edge, dtype=np.uint8)[1:n], -1, self.twos[flat[:-1] << 8 | flat[1:]]) if n > 1 else ranks[:-1]
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        found, firsts = np.unique(ranks[places], return_index=True)
+        for rank, part in zip(found.tolist(), np.split(places, firsts[1:]), strict=False):
+            self.queue.put_all(rank, part.tolist())
+        return after, before, array("i", ranks.tobytes())
+
+    def decode(self, ids: np.ndarray) -> tuple[pa.Buffer | bytes, np.ndarray]:
+        """(bytes of all ids one after the other, where each begins and the last ends)."""
+        ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(self.lengths[ids])])
+        if not len(ids):
+            return b"", ends
+        return self.words.take(pa.array(ids)).buffers()[2], ends
 
 
 class _Known(dict):
-    """Ids by pre-token, filled as they are asked for; emptied when full, so its size is bounded."""
+    """Packed ids by pre-token. Emptied when full, so its size is bounded."""
 
     def __init__(self, coder: Coder):
         super().__init__()
         self.coder = coder
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.coder.encode(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode the ``words`` that are not known, about ``TOGETHER`` bytes at a time, in one queue each."""
+        ranks, names, pieces, size = self.coder.ranks, [], [], 0
+        for word in words:
+            piece = word.encode("utf-8", "surrogatepass")
+            whole = ranks.get(piece)
+            if whole is not None:
+                self[word] = array("i", [whole]).tobytes()
+                continue
+            names.append(word)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= TOGETHER:
+                self.update(zip(names, self.coder.encode(pieces), strict=True))
+                names, pieces, size = [], [], 0
+        if pieces:
+            self.update(zip(names, self.coder.encode(pieces), strict=True))
+
+    def packed(self, pieces: list[list[str]]) -> list[bytes]:
+        """For each text its pre-tokens' ids, one after the other."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        unknown = set(chain.from_iterable(pieces)).difference(self)
+        self.learn(unknown)
+        out = [b"".join(map(self.__getitem__, found)) for found in pieces]
+        for word in unknown:
+            if len(word) > SHORT:
+                del self[word]
+        return out
 
 
 def read_ranks(vocabulary: bytes) -> dict[bytes, int]:
@@ -178,14 +237,14 @@ def _coder(vocabulary: bytes) -> Coder:
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: bytes, pattern: str) -> Callable[[str], list[int]]:
-    """text -> ids: every match of ``pattern`` is encoded on its own; what no match covers is left out, as by the usual libraries."""
+def encoder(vocabulary: bytes, pattern: str) -> Callable[[list[str | None]], list[bytes]]:
+    """texts -> packed ids: every match of ``pattern`` is encoded on its own; what no match covers is left out, as by the usual libraries."""
     import regex
 
-    split, known = regex.compile(pattern).findall, _Known(_coder(vocabulary))
+    split, known = regex.compile(pattern).finditer, _Known(_coder(vocabulary))
 
-    def encoded(text: str) -> list[int]:
-        return list(chain.from_iterable(map(known.__getitem__, split(text))))
+    def encoded(texts: list[str | None]) -> list[bytes]:
+        return known.packed([[m.group() for m in split(t)] if t else [] for t in texts])
 
     return encoded
 
@@ -215,12 +274,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = encoder(shared.value, pattern)
         for batch in batches:
-            ids = [encoded(t) if t else [] for t in batch.column(at).to_pylist()]
-            ends = [0]
-            for found in ids:
-                ends.append(ends[-1] + len(found))
-            values = pa.array(chain.from_iterable(ids), pa.int32(), size=ends[-1])
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            packed = encoded(batch.column(at).to_pylist())
+            ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum([len(ids) // 4 for ids in packed], dtype=np.int64)])
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
@@ -232,10 +289,12 @@ def decoded(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def joined(column: pa.Array) -> pa.Array:
-        coder = _coder(shared.value)
-        flat, ends = column.flatten().to_pylist(), column.offsets.to_pylist()
-        first = ends[0]
-        nulls = column.is_null().to_pylist()
-        return pa.array([None if null else coder.decode(flat[a - first : b - first]) for a, b, null in zip(ends, ends[1:], nulls, strict=False)], pa.binary())
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.asarray(column.value_lengths().fill_null(0))
+        data, ends = _coder(shared.value).decode(flat)
+        places = ends[np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes, dtype=np.int64)])]
+        nulls = column.is_valid().cast(pa.uint8()).to_numpy(zero_copy_only=False)
+        valid = pa.py_buffer(np.packbits(nulls, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
     return joined(ids)

@@ -2,6 +2,7 @@ import base64
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ def plain(ranks, piece):
     return [ranks[p] for p in parts]
 
 
+def numbers_of(packed):
+    return np.frombuffer(packed, dtype=np.int32).tolist()
+
+
 def test_queue_gives_ranks_in_order():
     for size in (1, 256, 257, 70_000, 1 << 20):
         queue, chance, waiting = bpe.RankQueue(size), random.Random(size), {}
@@ -62,10 +67,10 @@ def test_any_vocabulary_matches_plain_merging():
         ranks = dict(zip(sorted(words), numbers, strict=True))
         coder = bpe.Coder(ranks)
         for _ in range(40):
-            piece = bytes(chance.choices(b"abc", weights=(4, 1, 1), k=chance.randint(1, 60)))
-            found = coder.encode(piece)
-            assert found == ([ranks[piece]] if piece in ranks else plain(ranks, piece))
-            assert coder.decode(found) == piece
+            pieces = [bytes(chance.choices(b"abc", weights=(4, 1, 1), k=chance.randint(1, 60))) for _ in range(chance.randint(1, 5))]
+            found = [numbers_of(ids) for ids in coder.encode(pieces)]
+            assert found == [plain(ranks, piece) for piece in pieces]
+            assert bytes(coder.decode(np.concatenate(found))[0]) == b"".join(pieces)
 
 
 TEXTS = [
@@ -79,8 +84,19 @@ def test_matches_library(spark, ranks, library):
     letters = "abcdefghij  \n\t.,'0123éß日本🙂Ω"
     texts = TEXTS + ["".join(chance.choices(letters, k=chance.randint(1, 400))) for _ in range(300)]
     encoded = bpe.encoder(open(P.path(FILE), "rb").read(), P.PATTERN)
-    for text in texts:
-        assert encoded(text) == library.encode_ordinary(text), text[:50]
+    for text, packed in zip(texts, encoded(texts), strict=True):
+        assert numbers_of(packed) == library.encode_ordinary(text), text[:50]
+    assert encoded(["", None]) == [b"", b""]
+
+
+def test_memory_of_the_worker_is_bounded(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "TOGETHER", 30)
+    known = bpe._Known(bpe.Coder(ranks))
+    for at in range(30):
+        words = [f"qx{at}w{i}zz" for i in range(15)] + ["y" * 100]
+        assert [numbers_of(p) for p in known.packed([[w] for w in words])] == [plain(ranks, w.encode()) for w in words]
+        assert len(known) <= 20 + 16
 
 
 def test_long_pretoken_is_linear(ranks):
@@ -89,7 +105,7 @@ def test_long_pretoken_is_linear(ranks):
     def seconds(n):
         piece = "".join(random.Random(1).choices("etaoin", k=n)).encode()
         began = time.process_time()
-        assert coder.decode(coder.encode(piece)) == piece
+        assert bytes(coder.decode(np.frombuffer(coder.encode([piece])[0], dtype=np.int32))[0]) == piece
         return time.process_time() - began
 
     seconds(1000)
