@@ -59,9 +59,12 @@ def walk_forward_samples(
     return _long(df, parts, SAMPLE_KEYS)
 
 
+REPORT_SETS = (["model"], ["model", "season_year"], ["model", "week"])
+
+
 def walk_forward_report(samples: DataFrame) -> DataFrame:
-    """Metrics per model overall, by season and by week, from one scan of the samples."""
-    return metrics.score_by_sets(samples, [["model"], ["model", "season_year"], ["model", "week"]])
+    """The metric set, with intervals and reliability bins, per model overall, by season and by week, from one scan of the samples."""
+    return metrics.metric_sets(samples, REPORT_SETS)
 
 
 def margin_samples(games: DataFrame, seasons: Sequence[int] | None = None, home_points: float = K.HOME_FIELD_MARGIN_POINTS) -> DataFrame:

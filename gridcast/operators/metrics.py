@@ -7,12 +7,16 @@ abstentions stay in the table; every metric leaves them out and counts them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast import constants as K
 from gridcast.functions import expr as X
+from gridcast.operators import resample
+from gridcast.session import stage
 
 
 def is_scored() -> Column:
@@ -57,12 +61,6 @@ def score(samples: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return with_losses(samples).groupBy(*groups).agg(*metric_columns())
 
 
-def score_by_sets(samples: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
-    """The same metrics for several groupings in one pass over the samples."""
-    columns = list(dict.fromkeys(c for s in sets for c in s))
-    return with_losses(samples).groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(*metric_columns())
-
-
 def exclusion_counts(samples: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Number of left-out samples per group and reason."""
     return (
@@ -72,14 +70,63 @@ def exclusion_counts(samples: DataFrame, groups: Sequence[str] = ()) -> DataFram
     )
 
 
-def metric_set(samples: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Metrics per group with a map of exclusion reasons (a handful of names) to counts."""
-    reasons = (
-        exclusion_counts(samples, groups)
-        .groupBy(*groups)
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("excluded", "n")))).alias("exclusion_reasons"))
+BINS = 10
+_STATS = ("n", "p", "won", "squared_error", "log_loss", "correct")
+_LOSSES = ("squared_error", "log_loss")
+
+
+def metric_sets(
+    samples: DataFrame, sets: Sequence[Sequence[str]], key: str = "game_id",
+    resamples: int = K.BOOTSTRAP_RESAMPLES, seed: int = K.SEED, bins: int = BINS,
+) -> DataFrame:
+    """The whole metric set of every group of several groupings, from one pass over the samples.
+
+    Columns: those of the groupings (null where a grouping does not have them), ``grouping`` (the place of the grouping in
+    ``sets``), counts, Brier score, log loss, accuracy, ``brier_low`` to ``log_loss_high`` (bootstrap
+    intervals, null under two samples), ``reliability`` (array of bin, n, mean_predicted, actual_rate; empty bins have no entry) and
+    ``exclusion_reasons`` (map of reason to count).
+
+    Everything is a sum that can be merged. The narrow samples are stored once; counts and the sums of each reliability bin and
+    exclusion reason come from one aggregation over all groupings, the sums of the bootstrap replicates from
+    another (``resample.replicate_sums``), both summed on the map side first.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    rows = with_losses(samples).withColumns({"won": F.col("home_won").cast("double"), "_h": resample.row_hash(F.col(key), seed), "n": F.lit(1)})
+    rows = stage(rows.select(*columns, "excluded", *_STATS, F.when(F.col("excluded").isNull(), X.reliability_bin(F.col("p"), bins)).alias("bin"), "_h"))
+    cells = rows.groupingSets([[F.col(c) for c in (*s, "bin", "excluded")] for s in sets], *columns, "bin", "excluded").agg(
+        F.grouping_id().alias("_id"), *[F.sum(c).alias(c) for c in _STATS]
+    )
+    number = {_grouping_id(s, columns): i for i, s in enumerate(sets)}
+    placed = cells.withColumn("grouping", F.coalesce(*[F.when(F.col("_id") == k, F.lit(i)) for k, i in number.items()]))
+    in_bin = F.col("bin").isNotNull()
+    total = lambda c: F.sum(F.when(in_bin, F.col(c)))
+    one = F.struct("bin", "n", (F.col("p") / F.col("n")).alias("mean_predicted"), (F.col("won") / F.col("n")).alias("actual_rate"))
+    done = placed.groupBy("grouping", *columns).agg(
+        F.coalesce(total("n"), F.lit(0)).alias("sample_count"), F.coalesce(F.sum(F.when(~in_bin, F.col("n"))), F.lit(0)).alias("excluded_count"),
+        (total("squared_error") / total("n")).alias("brier"), (total("log_loss") / total("n")).alias("log_loss"), (total("correct") / total("n")).alias("accuracy"),
+        F.array_sort(F.collect_list(F.when(in_bin, one))).alias("reliability"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~in_bin, F.struct("excluded", "n"))))).alias("exclusion_reasons"),
     )
-    return score(samples, groups).join(reasons, list(groups), "left")
+    sums = resample.replicate_sums(rows.filter("excluded IS NULL"), sets, _LOSSES, resamples, seed)
+    means = sums.groupBy("grouping", *columns).agg(*[F.collect_list(F.when(F.col("w") > 0, F.col(v) / F.col("w"))).alias(f"_{v}") for v in _LOSSES])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("grouping", *columns)]
+    done = done.alias("a").join(means.alias("b"), functools.reduce(Column.__and__, same), "left").select("a.*", *[f"b._{v}" for v in _LOSSES])
+    ends = [
+        F.when(F.col("sample_count") >= 2, end).alias(f"{name}_{side}")
+        for v, name in zip(_LOSSES, ("brier", "log_loss"), strict=True) for side, end in zip(("low", "high"), resample.percentiles(F.col(f"_{v}")), strict=True)
+    ]
+    kept = ["sample_count", "excluded_count", "brier", "log_loss", "accuracy"]
+    return done.select("grouping", *columns, *kept, *ends, "reliability", "exclusion_reasons")
+
+
+def _grouping_id(held: Sequence[str], columns: Sequence[str]) -> int:
+    """The grouping id of a set over ``columns`` and two more columns that all sets hold: a bit for each column it lacks."""
+    return sum(1 << (len(columns) + 1 - i) for i, c in enumerate(columns) if c not in held)
+
+
+def metric_set(samples: DataFrame, groups: Sequence[str], **given) -> DataFrame:
+    """The metric set of each group of one grouping (see ``metric_sets``)."""
+    return metric_sets(samples, [groups], **given).drop("grouping")
 
 
 def reliability(samples: DataFrame, groups: Sequence[str] = (), bins: int = 10) -> DataFrame:

@@ -1,14 +1,23 @@
-"""Seeded samples and bootstrap intervals that do not depend on partitioning."""
+"""Seeded samples and bootstrap intervals that do not depend on partitioning.
+
+The bootstrap is the one place of the library, the corpus operators aside, that leaves column expressions: adding up arrays of a thousand weights
+is not among them, and as one record for each row and replicate it took a hundred times as long.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridcast import constants as K
-from gridcast.functions.draws import draw_index
 from gridcast.session import spread, stage
 
 _PREFIX = 3  # hex digits: 4096 evenly filled ranges of the hash, whatever the ids look like
@@ -59,27 +68,110 @@ def holdout(df: DataFrame, key: str, groups: Sequence[str], fraction: float = K.
     )
 
 
-def bootstrap_replicates(
-    scored: DataFrame, key: str, groups: Sequence[str], values: Sequence[str], resamples: int, seed: int
-) -> DataFrame:
-    """Means of ``values`` over ``resamples`` draws with replacement, per group.
-
-    Every row stands for one slot of every replicate and draws the position it is
-    filled from. The drawn rows carry only the per-sample losses, and a replicate
-    is reduced to sums before it is shuffled.
+#: Draws are uniform in [0, PRIME).
+PRIME = (1 << 31) - 1
+
+
+def poisson_steps() -> list[int]:
+    """The weight of a draw u is the number of these steps with u >= step: the distribution function of Poisson(1) in ``PRIME`` parts."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while len(steps) < 11:
+        total += term
+        term /= len(steps) + 1
+        steps.append(math.floor(PRIME * total))
+    return steps
+
+
+def replicate_constants(resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, c) of each replicate, from the md5 of seed and replicate: a row with hash h draws (a h + c) mod PRIME. Products stay below 2^62."""
+    digests = [hashlib.md5(f"{seed}|{replicate}".encode()).hexdigest() for replicate in range(resamples)]
+    return np.array([int(d[:8], 16) % (PRIME - 1) + 1 for d in digests]), np.array([int(d[8:16], 16) % PRIME for d in digests])
+
+
+def row_hash(key: Column, seed: int) -> Column:
+    """A row's place in [0, PRIME), from the md5 of seed and key: the only text that is hashed, once a row."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(PRIME))
+
+
+def poisson_weights(h: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """[row, replicate]: Poisson(1) weights. They depend on key, seed and replicate alone."""
+    draws = (h[:, None] * a + c) % PRIME
+    weights = np.zeros(draws.shape, dtype=np.uint8)
+    for step in poisson_steps():
+        weights += draws >= step
+    return weights
+
+
+#: Rows weighted at a time, groups a task holds before it sends their sums, and tasks that may share a group.
+_ROWS, _GROUPS, _SALTS = 1000, 1000, 64
+
+
+def _summed(sets: Sequence[Sequence[str]], columns: Sequence[str], values: Sequence[str], resamples: int, seed: int, schema: pa.Schema):
+    """mapInArrow: for each group of each grouping the sums over a task's rows, one record with an array over replicates for each sum."""
+    a, c = replicate_constants(resamples, seed)
+
+    def records(sums: dict) -> pa.RecordBatch:
+        names, arrays = list(sums), list(sums.values())
+        ends = pa.array(np.arange(len(names) + 1, dtype=np.int32) * resamples)
+        keys = [pa.array([n[0] for n in names], pa.int32())] + [pa.array([n[1][i] for n in names], schema.field(i + 1).type) for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays(
+            [*keys, *[pa.ListArray.from_arrays(ends, np.concatenate([s[:, k] for s in arrays])) for k in range(len(values) + 1)]],
+            ["grouping", *columns, "w", *values],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(name).to_pylist() for name in columns], strict=True)) if columns else [()] * batch.num_rows
+            numbers: dict = {}
+            group = np.array([numbers.setdefault(k, len(numbers)) for k in keys], dtype=np.int64)
+            h = batch.column("_h").to_numpy(zero_copy_only=False)
+            x = np.stack([np.ones(len(h)), *[batch.column(v).to_numpy(zero_copy_only=False) for v in values]], 1)
+            order = np.argsort(group, kind="stable")
+            for at in range(0, len(order), _ROWS):
+                chosen = order[at : at + _ROWS]
+                weights = poisson_weights(h[chosen], a, c).astype(np.float64)
+                edges = np.flatnonzero(np.diff(group[chosen], prepend=-1, append=-1))
+                names = list(numbers)
+                for start, end in zip(edges, edges[1:], strict=False):
+                    found, name = weights[start:end].T @ x[chosen[start:end]], names[group[chosen[start]]]
+                    for place, held in enumerate(sets):
+                        to = (place, tuple(v if n in held else None for n, v in zip(columns, name, strict=True)))
+                        sums[to] = sums[to] + found if to in sums else found
+            if len(sums) > _GROUPS:
+                yield records(sums)
+                sums = {}
+        if sums:
+            yield records(sums)
+
+    return run
+
+
+def replicate_sums(rows: DataFrame, sets: Sequence[Sequence[str]], values: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """(grouping, columns of the groupings, replicate, w, values): the sums of weights and weighted values in every replicate.
+
+    ``rows`` has the columns of the groupings, ``_h`` (see ``row_hash``) and the values, none of them null. The weights of a batch of rows are one
+    matrix, which a task sums for every grouping at once; what leaves a task are sums, at most as many as it has groups times
+    replicates. Only the narrow rows are shuffled before, each group over at most ``_SALTS`` tasks.
     """
-    groups = list(groups)
-    # Staged: it is read on both sides of the join, and its known size lets the optimizer
-    # broadcast it when small instead of shuffling every draw.
-    placed = stage(shuffled_position(scored, key, seed, groups).select(*groups, "position", "n", *values))
-    draws = spread(placed, *groups, "position").select(
-        *groups, F.col("position").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")
-    ).select(*groups, "replicate", draw_index(F.col("n"), seed, F.col("replicate"), F.col("_slot")).alias("position"))
-    return (
-        draws.join(placed.drop("n"), [*groups, "position"])
-        .groupBy(*groups, "replicate")
-        .agg(*[F.avg(v).alias(v) for v in values])
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    kinds = [rows.schema[c].dataType for c in columns]
+    schema = T.StructType(
+        [T.StructField("grouping", T.IntegerType()), *[T.StructField(c, k) for c, k in zip(columns, kinds, strict=True)]]
+        + [T.StructField(v, T.ArrayType(T.DoubleType())) for v in ("w", *values)]
     )
+    dealt = spread(rows.select(*columns, "_h", *[F.col(v).cast("double").alias(v) for v in values]), *columns, F.pmod("_h", F.lit(_SALTS)))
+    sums = dealt.mapInArrow(_summed(sets, columns, values, resamples, seed, to_arrow_schema(schema)), schema)
+    each = sums.select("grouping", *columns, F.posexplode(F.arrays_zip("w", *values)).alias("replicate", "s"))
+    return each.groupBy("grouping", *columns, "replicate").agg(*[F.sum(F.col("s")[v]).alias(v) for v in ("w", *values)])
+
+
+def percentiles(means: Column, percent: tuple[float, float] = (2.5, 97.5)) -> tuple[Column, Column]:
+    """Both ends of the percentile interval of an array of replicate means; null for an empty one."""
+    ordered, n = F.array_sort(means), F.size(means)
+    low = F.greatest(F.lit(0), F.floor(n * F.lit(percent[0] / 100)).cast("int") - 1)
+    high = F.least(n - 1, F.floor(n * F.lit(percent[1] / 100)).cast("int"))
+    return F.when(n > 0, F.get(ordered, low)), F.when(n > 0, F.get(ordered, high))
 
 
 def bootstrap_interval(
@@ -91,21 +183,17 @@ def bootstrap_interval(
     seed: int = K.SEED,
     percent: tuple[float, float] = (2.5, 97.5),
 ) -> DataFrame:
-    """Percentile interval of each value's mean, per group; groups under two samples have none."""
+    """Percentile interval of each value's mean, per group; groups under two samples have none.
+
+    A replicate gives every row a Poisson(1) weight, the limit of drawing as many rows with replacement. The weight follows from the hash of the
+    row's key and two constants of the replicate, so nothing is looked up or joined (see ``replicate_sums``). A
+    replicate in which no row has weight has no mean and is left out.
+    """
     groups = list(groups)
-    enough = scored.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*groups)
-    replicates = bootstrap_replicates(
-        scored.join(enough, groups, "left_semi"), key, groups, values, resamples, seed
-    )
-    low = max(0, int(resamples * percent[0] / 100) - 1)
-    high = min(resamples - 1, int(resamples * percent[1] / 100))
-    # one row per replicate: at most ``resamples`` rows per group
-    ordered = replicates.select(
-        *groups,
-        *[F.row_number().over(Window.partitionBy(*groups).orderBy(v)).alias(f"_{v}") for v in values],
-        *values,
-    )
-    return ordered.groupBy(*groups).agg(
-        *[F.max(F.when(F.col(f"_{v}") == low + 1, F.col(v))).alias(f"{v}_low") for v in values],
-        *[F.max(F.when(F.col(f"_{v}") == high + 1, F.col(v))).alias(f"{v}_high") for v in values],
+    rows = stage(scored.select(*groups, *values, row_hash(F.col(key), seed).alias("_h")))
+    enough = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
+    whole = replicate_sums(rows, [groups], values, resamples, seed).groupBy(*groups).agg(
+        *[F.collect_list(F.when(F.col("w") > 0, F.col(v) / F.col("w"))).alias(f"_{v}") for v in values]
     )
+    ends = [end.alias(f"{v}_{name}") for v in values for name, end in zip(("low", "high"), percentiles(F.col(f"_{v}"), percent), strict=True)]
+    return whole.join(enough, groups, "left_semi").select(*groups, *ends)

@@ -67,66 +67,103 @@ def _(t: Tables) -> DataFrame:
 @query("e4_reliability_bins", with_ctes(f"""
 SELECT bin::BIGINT AS bin, count(*) AS n, {q6('avg(p)')} AS mean_predicted, {q6('avg(home_won)')} AS actual_rate
 FROM model_losses JOIN (SELECT i AS bin, i * 0.1::DOUBLE AS lo, (i + 1) * 0.1::DOUBLE AS hi FROM range(10) AS r(i)) AS b
-  ON p >= lo AND (p < hi OR (bin = 9 AND p = hi))
+  ON p >= lo AND (p < hi OR (bin = 9 AND p >= hi))
 WHERE ok GROUP BY bin"""))
 def _(t: Tables) -> DataFrame:
     return metrics.reliability(samples(t)).select(big("bin"), big("n"), r6("mean_predicted"), r6("actual_rate"))
 
 
-def _ci(value: str, source: str, place: int) -> str:
-    return f"(SELECT {value} FROM (SELECT {value}, row_number() OVER (ORDER BY {value}) AS k FROM {source}) AS o WHERE k = {place})"
+_R = K.BOOTSTRAP_RESAMPLES
+_STEPS = " + ".join(f"(u >= {step})::INTEGER" for step in resample.poisson_steps())
 
 
-_R = K.BOOTSTRAP_RESAMPLES
-_LOW, _HIGH = max(0, int(_R * 0.025) - 1) + 1, min(_R - 1, int(_R * 0.975)) + 1
+def replicate_means(rows: str, keys: str) -> str:
+    """SQL for the weighted means of se and ll of the scored ``rows`` in each replicate, by ``keys``."""
+    return f"""
+  SELECT {keys}, replicate, sum(w * se) / sum(w) AS se, sum(w * ll) / sum(w) AS ll FROM (
+    SELECT *, {_STEPS} AS w FROM (
+      SELECT *, (a * h + c) % {resample.PRIME} AS u FROM (
+        SELECT *, ('0x' || substr(md5('{K.SEED}|' || game_id), 1, 8))::BIGINT % {resample.PRIME} AS h FROM {rows} WHERE ok
+      ) AS hashed, (
+        SELECT replicate, ('0x' || substr(d, 1, 8))::BIGINT % {resample.PRIME - 1} + 1 AS a, ('0x' || substr(d, 9, 8))::BIGINT % {resample.PRIME} AS c
+        FROM (SELECT i AS replicate, md5('{K.SEED}|' || i) AS d FROM range({_R}) AS q(i)) AS q) AS r) AS drawn) AS weighted
+  GROUP BY {keys}, replicate HAVING sum(w) > 0"""
+
+
+def _end(value: str, place: str) -> str:
+    return f"list_sort(list({value}))[{place}]"
+
+
+_LOW, _HIGH = "greatest(0, floor(count(*) * (2.5 / 100)::DOUBLE)::INTEGER - 1) + 1", "least(count(*) - 1, floor(count(*) * (97.5 / 100)::DOUBLE)::INTEGER) + 1"
+
+
+def intervals(keys: str, source: str) -> str:
+    ends = ", ".join(f"{_end(v, place)} AS {v}_{name}" for v in ("se", "ll") for name, place in (("low", _LOW), ("high", _HIGH)))
+    return f"SELECT {keys}, {ends} FROM {source} GROUP BY {keys}"
 
 
 @query("e5_bootstrap_interval", with_ctes(f"""
-WITH placed AS (
-  SELECT se, ll, row_number() OVER (ORDER BY md5('{K.SEED}|' || game_id), game_id) - 1 AS pos, count(*) OVER () AS n
-  FROM model_losses WHERE ok),
-draws AS (
-  SELECT r.replicate, floor({Q.uniform(str(K.SEED), 'r.replicate', 'pos')} * n)::BIGINT AS pos
-  FROM placed, (SELECT i AS replicate FROM range({_R}) AS q(i)) AS r),
-reps AS (SELECT replicate, avg(se) AS se, avg(ll) AS ll FROM draws JOIN placed USING (pos) GROUP BY replicate)
-SELECT 'model' AS model, {q6(_ci('se', 'reps', _LOW))} AS squared_error_low, {q6(_ci('se', 'reps', _HIGH))} AS squared_error_high,
-       {q6(_ci('ll', 'reps', _LOW))} AS log_loss_low, {q6(_ci('ll', 'reps', _HIGH))} AS log_loss_high"""))
+WITH reps AS ({replicate_means('model_losses', 'model')}), ends AS ({intervals('model', 'reps')})
+SELECT model, {q6('se_low')} AS squared_error_low, {q6('se_high')} AS squared_error_high, {q6('ll_low')} AS log_loss_low, {q6('ll_high')} AS log_loss_high
+FROM ends WHERE (SELECT count(se) FROM model_losses) >= 2"""))
 def _(t: Tables) -> DataFrame:
-    from gridcast.session import stage
-
-    scored = stage(metrics.with_losses(samples(t)).filter(metrics.is_scored()).select("model", "game_id", "squared_error", "log_loss"))
+    scored = metrics.with_losses(samples(t)).filter(metrics.is_scored())
     got = resample.bootstrap_interval(scored, "game_id", ["model"], ["squared_error", "log_loss"])
     return got.select("model", *[r6(f"{v}_{e}") for v in ("squared_error", "log_loss") for e in ("low", "high")])
 
 
-@query("e6_metric_set", with_ctes(f"""
-SELECT season_year::BIGINT AS season_year, {METRICS}, count(*) FILTER (WHERE is_tie) AS ties,
-       count(*) FILTER (WHERE NOT is_tie AND reason = '{K.NO_HISTORY}') AS no_history,
-       count(*) FILTER (WHERE NOT is_tie AND reason = '{K.BAD_SCORING}') AS bad_scoring
-FROM model_losses GROUP BY season_year"""))
-def _(t: Tables) -> DataFrame:
-    got = metrics.metric_set(samples(t), ["season_year"])
+def metric_sets_sql(rows: str) -> str:
+    """SQL for the whole metric set of ``rows`` per model, per model and season, and per model and week, each grouping on its own."""
+    return f"""
+WITH sets AS (
+  SELECT *, 0 AS grouping, -1 AS s, -1 AS k FROM {rows} UNION ALL SELECT *, 1, season_year, -1 FROM {rows} UNION ALL SELECT *, 2, -1, week FROM {rows}
+), base AS (
+  SELECT grouping, model, s, k, {METRICS}, count(*) FILTER (WHERE is_tie) AS ties, count(*) FILTER (WHERE NOT is_tie AND reason = '{K.NO_HISTORY}') AS no_history,
+         count(*) FILTER (WHERE NOT is_tie AND reason = '{K.BAD_SCORING}') AS bad_scoring FROM sets GROUP BY grouping, model, s, k
+), binned AS (
+  SELECT grouping, model, s, k, bin, count(*) AS n, sum(p) AS sp, sum(home_won)::BIGINT AS won
+  FROM sets JOIN (SELECT i AS bin, i * 0.1::DOUBLE AS lo, (i + 1) * 0.1::DOUBLE AS hi FROM range(10) AS r(i)) AS b ON p >= lo AND (p < hi OR (bin = 9 AND p >= hi))
+  WHERE ok GROUP BY grouping, model, s, k, bin
+), bins AS (
+  SELECT grouping, model, s, k, string_agg(bin || ':' || n || ':' || round(sp * 1000000)::BIGINT || ':' || won, ' ' ORDER BY bin) AS reliability
+  FROM binned GROUP BY grouping, model, s, k
+), reps AS ({replicate_means('sets', 'grouping, model, s, k')}
+), ends AS ({intervals('grouping, model, s, k', 'reps')}
+)
+SELECT base.grouping::BIGINT AS grouping, base.model, base.s::BIGINT AS season_year, base.k::BIGINT AS week, sample_count, excluded_count, brier, log_loss, accuracy, ties, no_history, bad_scoring,
+       coalesce(reliability, '') AS reliability, {', '.join(f"CASE WHEN sample_count >= 2 THEN {q6(c)} END AS {n}" for c, n in (('se_low', 'brier_low'), ('se_high', 'brier_high'), ('ll_low', 'log_loss_low'), ('ll_high', 'log_loss_high')))}
+FROM base LEFT JOIN bins ON (base.grouping, base.model, base.s, base.k) = (bins.grouping, bins.model, bins.s, bins.k)
+LEFT JOIN ends ON (base.grouping, base.model, base.s, base.k) = (ends.grouping, ends.model, ends.s, ends.k)"""
+
+
+def set_outputs() -> list:
     reason = lambda name: F.coalesce(F.try_element_at("exclusion_reasons", F.lit(name)), F.lit(0))
-    return got.select(
-        big("season_year"), *metric_outputs(), big(reason("tie"), "ties"),
-        big(reason(K.NO_HISTORY), "no_history"), big(reason(K.BAD_SCORING), "bad_scoring"))
+    # Bins are shown by their sums: means of a few six-digit numbers would end in rounding ties.
+    parts = lambda b: F.concat_ws(":", b["bin"], b["n"], F.round(b["mean_predicted"] * b["n"] * 1000000).cast("bigint"), F.round(b["actual_rate"] * b["n"]).cast("bigint"))
+    return [
+        *metric_outputs(), *[r6(c) for c in ("brier_low", "brier_high", "log_loss_low", "log_loss_high")], big(reason("tie"), "ties"),
+        big(reason(K.NO_HISTORY), "no_history"), big(reason(K.BAD_SCORING), "bad_scoring"), F.array_join(F.transform("reliability", parts), " ").alias("reliability"),
+    ]
+
+
+def whole_sets(samples: DataFrame) -> DataFrame:
+    whole = [big(F.coalesce(c, F.lit(-1)), c) for c in ("season_year", "week")]
+    return E.walk_forward_report(samples).select(big("grouping"), "model", *whole, *set_outputs())
+
+
+@query("e6_metric_set", with_ctes(f"SELECT * EXCLUDE (grouping, model, week) FROM ({metric_sets_sql('model_losses')}) AS m WHERE grouping = 1"))
+def _(t: Tables) -> DataFrame:
+    return metrics.metric_set(samples(t), ["season_year"]).select(big("season_year"), *set_outputs())
 
 
-@query("e7_metrics_grouping_sets", with_ctes(f"""
-SELECT model, coalesce(season_year, -1)::BIGINT AS season_year, coalesce(week, -1)::BIGINT AS week, {METRICS}
-FROM model_losses GROUP BY GROUPING SETS ((model), (model, season_year), (model, week))"""))
+@query("e7_metrics_grouping_sets", with_ctes(metric_sets_sql("model_losses")))
 def _(t: Tables) -> DataFrame:
-    return E.walk_forward_report(samples(t)).select(
-        "model", big(F.coalesce("season_year", F.lit(-1)), "season_year"), big(F.coalesce("week", F.lit(-1)), "week"), *metric_outputs())
+    return whole_sets(samples(t))
 
 
-@query("e8_walk_forward", with_ctes(f"""
-SELECT model, coalesce(season_year, -1)::BIGINT AS season_year, coalesce(week, -1)::BIGINT AS week, {METRICS}
-FROM all_losses GROUP BY GROUPING SETS ((model), (model, season_year), (model, week))"""))
+@query("e8_walk_forward", with_ctes(metric_sets_sql("all_losses")))
 def _(t: Tables) -> DataFrame:
-    got = E.walk_forward_report(E.walk_forward_samples(t.games(), t.statlines()))
-    return got.select(
-        "model", big(F.coalesce("season_year", F.lit(-1)), "season_year"), big(F.coalesce("week", F.lit(-1)), "week"), *metric_outputs())
+    return whole_sets(E.walk_forward_samples(t.games(), t.statlines()))
 
 
 def written(column: str) -> str:
