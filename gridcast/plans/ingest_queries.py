@@ -15,6 +15,7 @@ from gridcast import constants as K
 from gridcast.plans.fixtures import Tables
 from gridcast.plans.registry import big, cte, q6, qstamp, query, r6, stamp, with_ctes
 from gridcast.session import shared_folder, spread
+from gridcast.sources import bucketed
 from gridcast.sources import canonical as C
 from gridcast.sources import landed as L
 from gridcast.sources import schemas as S
@@ -25,6 +26,11 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm'Z'")
 
 
+def stage_path(spark) -> str:
+    """A new folder among the staged tables of this application."""
+    return f"{shared_folder(spark)}/gridcast-stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -142,6 +148,24 @@ def _(t: Tables) -> DataFrame:
     return store.upsert(existing, twice).select("id", "origin")
 
 
+@query("s3_bucketed_upsert", with_ctes("""
+SELECT game_id AS id, CASE WHEN game_id % 50 = 0 THEN 'second' WHEN week <= 13 AND season_type = 'regular' THEN 'first' ELSE 'stored' END AS origin,
+       CASE WHEN week <= 13 AND season_type = 'regular' THEN 'first' WHEN NOT (season_type <> 'regular' AND week > 20) THEN 'stored' END AS before
+FROM games WHERE NOT (season_type <> 'regular' AND week > 20) OR week <= 13 OR game_id % 50 = 0"""))
+def _(t: Tables) -> DataFrame:
+    """The table as two batches left it, next to the version before the second one."""
+    rows = t.games().select(F.col("game_id").alias("id"), F.col("kickoff_at").alias("retrieved_at"), "week", "season_type")
+    regular = F.col("season_type") == "regular"
+    first = rows.filter((F.col("week") <= 13) & regular).withColumn("origin", F.lit("first"))
+    older = first.withColumn("retrieved_at", F.col("retrieved_at") - F.expr("INTERVAL 1 DAY")).withColumn("origin", F.lit("older"))
+    root = stage_path(t.spark)
+    bucketed.merge(t.spark, root, rows.filter(regular | (F.col("week") <= 20)).withColumn("origin", F.lit("stored")), buckets=16)
+    earlier = bucketed.merge(t.spark, root, first.unionByName(older))
+    bucketed.merge(t.spark, root, rows.filter(F.col("id") % 50 == 0).withColumn("origin", F.lit("second")))
+    before = bucketed.read_table(t.spark, root, first.schema, earlier.number).select("id", F.col("origin").alias("before"))
+    return bucketed.read_table(t.spark, root, first.schema).select("id", "origin").join(before, "id", "left")
+
+
 def record_payloads(t: Tables) -> DataFrame:
     """Team payloads of the current version, of an old version under another field name, and unreadable ones."""
     gid = F.col("game_id")
@@ -420,7 +444,7 @@ def _(t: Tables) -> DataFrame:
         F.lit("team").alias("entity_type"), C.record_key("team", F.lit("feed"), gid).alias("id"), F.create_map(F.lit("feed"), text(gid)).alias("provider_ids"),
         stamp_.alias("event_time"), stamp_.alias("retrieved_at"), F.array().cast("array<" + S.SNAPSHOT_REF + ">").alias("source_snapshots"),
         F.lit(K.SCHEMA_VERSION).alias("schema_version"), F.concat(F.lit("T"), text("home_team_id")).alias("abbreviation"), F.lit("Team").alias("display_name"))
-    root = f"{shared_folder(t.spark)}/gridcast-stage/{t.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = stage_path(t.spark)
     store.publish(rows, root, "team", "1")
     asked = t.games().select(C.record_key("team", F.lit("feed"), F.when(gid % 7 == 0, -gid - 1).otherwise(gid)).alias("id"))
     found, missing = store.read_by_id(store.load_table(t.spark, root, "team", "1"), asked)

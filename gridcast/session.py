@@ -61,6 +61,20 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path = _path(spark, name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/gridcast-stage/" in folder:
+            path = _path(spark, folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and continue from the files.
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import uuid
 from datetime import datetime
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from gridcast import constants as K
 from gridcast.operators import fitting, metrics, players, resample, season, signals
 from gridcast.operators.availability import status_of_text
-from gridcast.sources import canonical, landed, store
+from gridcast.sources import bucketed, canonical, landed, store
 from gridcast.streaming import ingest
 
 
@@ -258,12 +259,76 @@ def test_stream_of_snapshots(spark, tmp_path):
     land("c.json", [event("9")], broken=True)
     land("d.json", [event("5")], at="2025-08-19T10:00:00+00:00")  # a backfill of snapshots twenty days older
     (src / "e.json").write_text(json.dumps({"normalization_version": "v1", "payload": "{}"}) + "\n")
-    rows = ingest.game_rows(ingest.landed_stream(spark, str(src), 1), "v1")
-    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
-    q = ingest.write_games(rows, out, bad, str(tmp_path / uuid.uuid4().hex)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["1", "5"]
-    assert sorted({r["problem"] for r in spark.read.parquet(bad).collect()}) == ["checksum mismatch", "missing source_url", "week"]
+    out, bad, checkpoint = str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / uuid.uuid4().hex)
+
+    def run():
+        rows = ingest.game_rows(ingest.landed_stream(spark, str(src), 1), "v1")
+        q = ingest.write_games(rows, out, bad, checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return sorted(r["event_id"] for r in spark.read.parquet(out).collect()), sorted(str(r["problem"]) for r in spark.read.parquet(bad).collect())
+
+    problems = ["checksum mismatch", "missing source_url", "week"]
+    assert run() == (["1", "5"], problems)
+    # Restarted: a repeated snapshot, a late one, and both kinds of rejects again.
+    land("f.json", [event("1"), event("2", week={})])
+    land("g.json", [event("7")], at="2025-08-01T10:00:00+00:00")
+    land("h.json", [event("9")], broken=True)
+    assert run() == (["1", "5", "7"], problems)
+    # The driver is lost after a batch was written, before it was marked as done: the batch runs again.
+    last = max(int(f) for f in os.listdir(f"{checkpoint}/commits") if f.isdigit())
+    os.remove(f"{checkpoint}/commits/{last}")
+    if os.path.exists(f"{checkpoint}/commits/.{last}.crc"):
+        os.remove(f"{checkpoint}/commits/.{last}.crc")
+    assert run() == (["1", "5", "7"], problems)
+
+
+def test_stream_fails_on_what_it_cannot_read(spark, tmp_path):
+    """A fault in the sink ends the stream; it does not let snapshots through unseen."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").write_text("a file where a folder should be")
+    payload = json.dumps({"events": [event("1")]})
+    line = {"normalization_version": "v1", "source_url": "u", "retrieved_at": "2025-09-08T10:00:00+00:00", "payload_sha256": hashlib.sha256(payload.encode()).hexdigest(), "payload": payload}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(line))
+    rows = ingest.game_rows(ingest.landed_stream(spark, str(tmp_path / "in"), 1), "v1")
+    q = ingest.write_games(rows, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    with pytest.raises(Exception):
+        q.awaitTermination(120)
+
+
+def test_bucketed_table(spark, tmp_path):
+    root, schema = str(tmp_path), "id string, retrieved_at long, value string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    kind = frame([]).schema
+    look = lambda version=None: {r["id"]: r["value"] for r in bucketed.read_table(spark, root, kind, version).collect()}
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("data/**/*.parquet")}
+    assert look() == {} and bucketed.read_keys(spark, root, kind, frame([("a", 1, "x")])).count() == 0
+    assert bucketed.merge(spark, root, frame([]), buckets=8).number == 0
+    first = bucketed.merge(spark, root, frame([(f"k{i}", 5, f"v{i}") for i in range(200)]), buckets=8)
+    assert (first.number, len(first.folders), look()) == (1, 8, {f"k{i}": f"v{i}" for i in range(200)})
+    before = files()
+    second = bucketed.merge(spark, root, frame([("k3", 1, "old"), ("k3", 2, "new"), ("k3", None, "none"), ("fresh", 1, "f")]), buckets=99)
+    changed = {b for b in second.folders if second.folders[b] != first.folders[b]}
+    asked = {r[0] for r in frame([("k3", 1, ""), ("fresh", 1, "")]).select(bucketed.bucket_of(F.col("id"), 8)).collect()}
+    assert second.buckets == 8 and changed == asked and before.items() <= files().items()
+    assert all(any(f"{f}/" in p for p in before) for b, f in second.folders.items() if b not in changed)
+    assert look() == {f"k{i}": f"v{i}" for i in range(200)} | {"k3": "new", "fresh": "f"}
+    assert look(1)["k3"] == "v3" and "fresh" not in look(1)
+    table = bucketed.read_keys(spark, root, kind, frame([("k3", 0, ""), ("nobody", 0, "")]))
+    assert [(r["id"], r["value"]) for r in table.collect()] == [("k3", "new")]
+    assert {f.rsplit("/", 2)[1] for f in table.inputFiles() if "bucket=" in f} <= {f"bucket={b}" for b in range(8) if b in {r[0] for r in frame([("k3", 0, ""), ("nobody", 0, "")]).select(bucketed.bucket_of(F.col("id"), 8)).collect()}}
+    with pytest.raises(ValueError, match="no version 9"):
+        look(9)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    root, rows = str(tmp_path), spark.createDataFrame([("a", 1, "x")], "id string, retrieved_at long, value string")
+    bucketed.merge(spark, root, rows)
+    (tmp_path / "manifest" / "version=2").mkdir()  # another writer is at it
+    (tmp_path / "manifest" / "version=2" / "_temporary").mkdir()
+    with pytest.raises(Exception):
+        bucketed.merge(spark, root, rows.withColumn("value", F.lit("y")))
+    assert [r["value"] for r in bucketed.read_table(spark, root, rows.schema, 1).collect()] == ["x"]
 
 
 def test_season_gate(spark):
