@@ -24,12 +24,22 @@ def log_gamma(z: Column) -> Column:
     return stirling - F.log(rising)
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """``ln C(n, k)``; null outside 0 <= k <= n."""
-    return F.when(
-        (k >= 0) & (k <= n),
-        log_gamma(n + F.lit(1)) - log_gamma(k + F.lit(1)) - log_gamma(n - k + F.lit(1)),
-    )
+def log_gamma_step(y: Column, k: Column) -> Column:
+    """``ln Gamma(y + k) - ln Gamma(y)`` for y and y + k >= 1, with an error that grows with k and not with y.
+
+    Two values of ``log_gamma`` near 10^7 are about 10^8 and lose what tells them apart. Here the large parts of both
+    Stirling series are taken against each other on paper; the shifts by eight give a product of ratios.
+    """
+    y, k = y.cast("double"), k.cast("double")
+    shift = 8
+    ratio = reduce(lambda acc, i: acc * ((y + k + F.lit(float(i))) / (y + F.lit(float(i)))), range(1, shift), (y + k) / y)
+    w = y + F.lit(float(shift))
+
+    def series(z: Column) -> Column:
+        inv2 = F.lit(1.0) / (z * z)
+        return (F.lit(1 / 12) - inv2 * (F.lit(1 / 360) - inv2 * (F.lit(1 / 1260) - inv2 * (F.lit(1 / 1680) - inv2 * F.lit(1 / 1188))))) / z
+
+    return (w - F.lit(0.5)) * F.log1p(k / w) + k * F.log(w + k) - k + (series(w + k) - series(w)) - F.log(ratio)
 
 
 def normal_two_sided_p(z: Column) -> Column:

@@ -134,19 +134,15 @@ def depth_chart(probes: DataFrame, scored: DataFrame) -> DataFrame:
     looked up through :func:`best_of_intervals`, so neither the players nor the
     cutoffs of a busy team are multiplied with each other.
     """
-    along = Window.partitionBy(*TEAM_SEASON)
-    axis = (
-        probes.select(*TEAM_SEASON, "cutoff").distinct()
-        .withColumn("position", F.row_number().over(along.orderBy("cutoff")).cast("bigint") - 1)
-        .withColumn("axis_size", F.count(F.lit(1)).over(along))
-    )
-    axis = stage(axis)
-    reached = asof_aggregate(
-        scored.select(*TEAM_SEASON, "kickoff_at"), axis, TEAM_SEASON, "cutoff",
-        {"lo": ("sum", F.lit(1).cast("bigint"))}, probe_ts="kickoff_at", inclusive=True,
-    )
-    placed = scored.join(reached, [*TEAM_SEASON, "kickoff_at"])
-    sizes = axis.filter("position = 0").select(*TEAM_SEASON, "axis_size")
+    axis = stage(probes.select(*TEAM_SEASON, "cutoff").distinct())
+    # The place of a moment on the axis is the number of cutoffs up to it, summed in two levels: no task orders a whole axis.
+    moments = axis.withColumnRenamed("cutoff", "at").unionByName(scored.select(*TEAM_SEASON, F.col("kickoff_at").alias("at")))
+    reached = stage(asof_aggregate(
+        moments, axis, TEAM_SEASON, "cutoff", {"lo": ("sum", F.lit(1).cast("bigint"))}, probe_ts="at", inclusive=True,
+    ))
+    sizes = axis.groupBy(*TEAM_SEASON).agg(F.count(F.lit(1)).alias("axis_size"))
+    axis = axis.join(reached.withColumnRenamed("at", "cutoff"), [*TEAM_SEASON, "cutoff"]).withColumn("position", F.col("lo") - 1).drop("lo").join(sizes, TEAM_SEASON)
+    placed = scored.join(reached.withColumnRenamed("at", "kickoff_at"), [*TEAM_SEASON, "kickoff_at"])
     steps = (
         usage_timeline(placed, lead="lo")
         .join(sizes, TEAM_SEASON)

@@ -107,3 +107,59 @@ def test_paired_z(spark):
 
 def test_uniform_is_plain_arithmetic(spark):
     assert one(spark, uniform(7, 3, 15)) == pytest.approx(0.27700687286038783, abs=0)
+
+
+def _tail(n_terms, ratio, start, limit):
+    """Sum of a unimodal law outwards from ``start`` (weight 1) until terms vanish, with 30 digits: {x: weight}."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as context:
+        context.prec = 30
+        weights = {start: Decimal(1)}
+        for step in (1, -1):
+            x, w = start, Decimal(1)
+            while 0 <= x + step <= n_terms and w > limit:
+                top, bottom = ratio(x) if step == 1 else ratio(x - 1)[::-1]
+                w = w * top / bottom
+                x += step
+                weights[x] = w
+        return weights
+
+
+@pytest.mark.parametrize("a, row1, row2, col1", [(5_000_800, 10**7, 10**7, 10**7), (1_200, 10**7, 3 * 10**6, 1_500), (3, 5, 10**7, 4)])
+def test_fisher_keeps_its_digits_at_large_counts(spark, a, row1, row2, col1):
+    from decimal import Decimal
+
+    from gridcast.operators import significance
+
+    mode = (row1 + 1) * (col1 + 1) // (row1 + row2 + 2)
+    weights = _tail(min(row1, col1), lambda x: ((row1 - x) * (col1 - x), (x + 1) * (row2 - col1 + x + 1)), mode, Decimal("1e-20"))
+    want = sum(w for w in weights.values() if w <= weights[a] * (1 + Decimal("1e-7"))) / sum(weights.values())
+    df = spark.createDataFrame([(1, a, row1 - a, col1 - a, row2 - col1 + a)], "k int, a long, b long, c long, d long")
+    assert significance.fisher_exact(df, ["k"]).first()["fisher_p"] == pytest.approx(float(want), rel=1e-9)
+
+
+@pytest.mark.parametrize("x, y", [(500_000, 501_000), (10, 12), (0, 0), (0, 40)])
+def test_mcnemar_keeps_its_digits_at_large_counts(spark, x, y):
+    from decimal import Decimal
+
+    from gridcast.operators import significance
+
+    n, k = x + y, min(x, y)
+    weights = _tail(n, lambda i: (n - i, i + 1), n // 2, Decimal("1e-20"))
+    want = min(1, 2 * sum(w for i, w in weights.items() if i <= k) / sum(weights.values()))
+    df = spark.createDataFrame([(1, x, y)], "k int, x long, y long")
+    assert significance.mcnemar_exact(df, ["k"], "x", "y").first()["mcnemar_p"] == pytest.approx(float(want), rel=1e-9)
+
+
+def test_log_gamma_step(spark):
+    from fractions import Fraction
+
+    from gridcast.functions.special import log_gamma_step
+
+    rows = [(1.0, 0.0), (1.0, 5.0), (6.0, -5.0), (1e7, 3.0), (1e7, -3.0), (123.0, 50.0)]
+    for r in spark.createDataFrame(rows, "y double, k double").select("y", "k", log_gamma_step(F.col("y"), F.col("k")).alias("g")).collect():
+        low, high = int(min(r["y"], r["y"] + r["k"])), int(max(r["y"], r["y"] + r["k"]))
+        product = math.prod((Fraction(i) for i in range(low, high)), start=Fraction(1))
+        want = (math.log(product.numerator) - math.log(product.denominator)) * (1 if r["k"] >= 0 else -1)
+        assert r["g"] == pytest.approx(want, abs=1e-12, rel=1e-14)

@@ -351,3 +351,22 @@ def test_game_delta_tells_abstained_from_nobody_missing(spark):
     impacts = spark.createDataFrame(rows, "game_id long, is_home boolean, mean_impact double, abstain_reason string")
     found = {r["game_id"]: (r["injury_delta"], r["players_out"], r["players_abstained"]) for r in players.game_delta(impacts).collect()}
     assert found == {1: (-0.05, 1, 1), 2: (None, None, 1)}
+
+
+def test_no_task_orders_a_whole_axis(spark):
+    """The places on a team-season's axis come from sums in two levels; what is ordered by team and season alone are totals of its weeks."""
+    when = lambda i: datetime(2020, 9, 1 + i % 28, i % 24)
+    probes = spark.createDataFrame([(1, 2020, when(i)) for i in range(200)], "team_id int, season_year int, cutoff timestamp")
+    lines = [(1, 2020, p, "passing", when(i), float(p + i % 3)) for p in range(5) for i in range(0, 200, 7)]
+    scored = spark.createDataFrame(lines, "team_id int, season_year int, player_id int, category string, kickoff_at timestamp, score double")
+    chart = players.depth_chart(probes, scored)
+    totals = {}
+    for r in chart.collect():
+        totals.setdefault(r["cutoff"], {})[r["place"]] = r["player_id"]
+    for cutoff in {p[2] for p in [(1, 2020, when(i)) for i in range(200)]}:
+        mine = {}
+        for _, _, player, _, at, score in lines:
+            if at < cutoff:
+                mine[player] = mine.get(player, 0.0) + score
+        order = sorted(mine, key=lambda p: (-round(mine[p], 6), p))[:2]
+        assert [totals.get(cutoff, {}).get(i) for i in range(1, len(order) + 1)] == order
