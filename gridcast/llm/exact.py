@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import BLANKS
+from gridcast.llm.common import BLANKS, free_name, on_files, with_row_key
 from gridcast.session import stage
 
 #: A digest held by more than one row in HEAVY is frequent. At most 2 * HEAVY digests are ever collected and broadcast.
@@ -49,9 +49,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same after deleting white space. Of equal texts, the row with the most code
-    points stays, then the one with the smallest id (a null id comes last). A null text counts as empty,
-    and all empty texts are equal. Rows that agree in group, id and length cannot be told apart and share
-    the decision. Other columns of ``docs``, whatever their names, are not read. An empty table gives none.
+    points stays, then the one with the smallest id (a null id comes last), then, of repeated rows, one by its place
+    in the files. A null text counts as empty, and all empty texts are equal. A text of any length is hashed whole.
+    Other columns of ``docs``, whatever their names, are not read. An empty table gives none.
 
     Digests and lengths are written once. Misra-Gries summaries find the frequent digests; these
     are counted exactly, with one row per task and digest shuffled, and their winners are broadcast (at most
@@ -60,14 +60,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = on_files(docs)
+    place = free_name(docs, "place")
     rows = stage(
-        docs.select(
+        with_row_key(docs, place).select(
+            F.col(place).alias("place"),
             F.col(id_col).alias("doc_id"),
             F.unhex(F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)).alias("digest"),
             F.char_length(text).alias("length"),
         )
     )
-    rank = F.struct((-F.col("length")).alias("short"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    rank = F.struct((-F.col("length")).alias("short"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("place").alias("place"))
     found = [(bytearray(d),) for d in frequent_digests(rows, heavy)]
     candidates = F.broadcast(spark.createDataFrame(found, "digest binary"))
     counted = rows.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
@@ -75,7 +78,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = rows.join(winners, "digest")
     same = Window.partitionBy("digest")
     rest = rows.join(winners, "digest", "left_anti").select("*", F.count(F.lit(1)).over(same).alias("group_size"), F.min(rank).over(same).alias("best"))
-    kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("length") == -F.col("best.short"))
+    kept = F.col("place") == F.col("best.place")
     return hot.unionByName(rest).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

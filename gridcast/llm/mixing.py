@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import WORD, bounded_broadcast, hash60, hash_cuts
+from gridcast.llm.common import HASH_BITS, WORD, bounded_broadcast, free_name, hash_cuts, on_files, with_row_key
 from gridcast.session import stage
 
 #: Weights of the sources in code-point order, repeating; null is the last source.
@@ -62,12 +62,26 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return stage(plan.join(cuts.select("k", "cut"), "k"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, k, h and size of every row of ``docs``."""
+#: Low bits of the order that tell rows of one id and text apart.
+PLACE_BITS = 16
+
+
+def order_hash(doc_id: Column, text: Column, place: Column) -> Column:
+    """A row's place in the order, below 2^60: 44 bits from its id and text, so that reruns and SQL agree, and 16 from its place in the files.
+
+    The latter only decide between rows that are alike, of which any may be taken.
+    """
+    identity = F.concat_ws("|", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
+    high = F.conv(F.substring(F.md5(identity), 1, (HASH_BITS - PLACE_BITS) // 4), 16, 10).cast("long")
+    return F.shiftleft(high, PLACE_BITS) + F.pmod(F.xxhash64(place["file"], place["row"]), F.lit(1 << PLACE_BITS))
+
+
+def keyed(docs: DataFrame, place: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, k, h and size of every row of ``docs``; ``place`` is the column of its row key."""
     source = F.col(source_col)
     return docs.select(
         F.col(id_col).alias("doc_id"), source.alias("source"), source_key(source).alias("k"),
-        hash60(F.lit("mix"), F.col(id_col)).alias("h"), word_count(F.col(text_col)).alias("size"),
+        order_hash(F.col(id_col), F.col(text_col), F.col(place)).alias("h"), word_count(F.col(text_col)).alias("size"),
     )
 
 
@@ -79,13 +93,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken.
 
     Size is the number of words (runs of characters that are not white space; null: 0). A source's whole
-    documents are taken in the order of a hash of their id up to the prefix nearest to its target; above its
+    documents are taken in the order of a hash of id, text and place up to the prefix nearest to its target; above its
     own size, all are taken once and the prefix twice, so nothing is taken more than twice. A null source is
-    a source of its own. Rows with the same id are at one place of the order and taken alike, so a source
-    made of one id a thousand times is taken whole or not. Sources without words get 0. An empty
-    table gives none. Columns other than the three named are not read.
+    a source of its own. Rows with the same id, or repeated rows, are taken each on its own, so a source made of copies
+    of one row meets its target too. Texts of any length are counted whole; the longest of a source bounds how far it
+    can miss its target. Sources without words get 0. An empty table gives none. Columns other than the three
+    named are not read. There are few sources: one task orders their names.
     """
-    rows = stage(keyed(docs, id_col, text_col, source_col))
+    docs = on_files(docs)
+    place = free_name(docs, "place")
+    rows = stage(keyed(with_row_key(docs, place), place, id_col, text_col, source_col))
     plan = mix_plan(rows, weights)
     plan = bounded_broadcast(plan.select("k", "source_size", "target", "full", "cut"), plan.count())
     taken = copies(F.col("h"), F.col("full"), F.col("cut"))
@@ -93,9 +110,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs``, all their columns, each as often as ``mix`` takes it."""
-    plan = mix_plan(stage(keyed(docs, id_col, text_col, source_col)), weights)
-    plan = plan.select(F.col("k").alias("__mix_k"), F.col("full").alias("__mix_full"), F.col("cut").alias("__mix_cut"))
-    joined = docs.join(bounded_broadcast(plan, plan.count()), source_key(docs[source_col]) == F.col("__mix_k"))
-    times = copies(hash60(F.lit("mix"), docs[id_col]), F.col("__mix_full"), F.col("__mix_cut"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("__mix_copy")).drop("__mix_copy")
+    """The rows of ``docs``, all their columns, whatever their names, each as often as ``mix`` takes it; the same rules for nulls, copies, long texts and empty tables hold."""
+    docs = on_files(docs)
+    place = free_name(docs, "place")
+    rows = with_row_key(docs, place)
+    plan = mix_plan(stage(keyed(rows, place, id_col, text_col, source_col)), weights)
+    k, full, cut, copy = (free_name(rows, f"mix_{name}") for name in ("k", "full", "cut", "copy"))
+    plan = plan.select(F.col("k").alias(k), F.col("full").alias(full), F.col("cut").alias(cut))
+    joined = rows.join(bounded_broadcast(plan, plan.count()), source_key(F.col(source_col)) == F.col(k))
+    times = copies(order_hash(F.col(id_col), F.col(text_col), F.col(place)), F.col(full), F.col(cut))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).select(*docs.columns)

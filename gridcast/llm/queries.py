@@ -224,7 +224,7 @@ FROM folded LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('=' || source, '') AS k, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 11))::BIGINT AS h, row_number() OVER () AS r
   FROM documents
 ), s AS (
   SELECT k, any_value(source) AS source, sum(size)::HUGEINT AS source_size FROM d GROUP BY k
@@ -243,23 +243,19 @@ WITH d AS (
 ), budgets AS (
   SELECT *, CASE WHEN source_size = 0 OR target < source_size THEN 0 WHEN target >= 2 * source_size THEN 2 ELSE 1 END AS whole FROM targets
 ), summed AS (
-  SELECT d.*, sum(size) OVER (PARTITION BY k ORDER BY h)::DOUBLE AS upto, sum(size) OVER (PARTITION BY k, h)::DOUBLE AS tied FROM d
+  SELECT d.*, sum(size) OVER (PARTITION BY k ORDER BY h, r ROWS UNBOUNDED PRECEDING)::DOUBLE AS upto FROM d
 )
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * (whole + CASE WHEN 2 * upto - tied < 2 * (target - whole * source_size::DOUBLE) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN 2 * upto - size < 2 * (target - whole * source_size::DOUBLE) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM summed JOIN budgets USING (k)
 """
 
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents
-), best AS (
-  SELECT text_sha256, count(*) AS group_size, max(n) AS n FROM d GROUP BY text_sha256
-), winner AS (
-  SELECT text_sha256, group_size, n, min(doc_id) AS keep_id FROM d JOIN best USING (text_sha256, n) GROUP BY ALL
 )
-SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND d.n = winner.n) AS kept, text_sha256
-FROM d JOIN winner USING (text_sha256)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"

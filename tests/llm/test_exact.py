@@ -17,7 +17,8 @@ def brute(rows):
     for norm, members in groups.items():
         best = min(members, key=lambda m: (-m[1], m[0] is None, m[0] or 0))
         digest = hashlib.sha256(norm.encode()).hexdigest()
-        out += [(d, best[0], len(members), (d, n) == best, digest) for d, n in members]
+        first = members.index(best)
+        out += [(d, best[0], len(members), i == first, digest) for i, (d, n) in enumerate(members)]
     return sorted(out, key=repr)
 
 
@@ -32,6 +33,14 @@ def test_matches_brute_force_on_both_paths(spark, heavy):
     assert rows_of(exact.exact_duplicates(docs, heavy=heavy)) == brute(rows)
 
 
+@pytest.mark.parametrize("heavy", [1, 4096])
+def test_one_of_repeated_rows_stays(spark, heavy):
+    rows = [(1, "same"), (1, "same"), (2, "same"), (None, "x y"), (None, "x y"), (None, "xy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = rows_of(exact.exact_duplicates(docs, heavy=heavy))
+    assert found == brute(rows) and sum(r[3] for r in found) == 2
+
+
 def test_odd_input(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     assert rows_of(exact.exact_duplicates(odd_docs)) == brute(rows)

@@ -33,15 +33,13 @@ def brute(rows):
     taken = {}
     for s in order:
         own = [i for i, r in enumerate(rows) if r[2] == s]
-        h = {i: int(hashlib.md5(f"mix|{'null' if rows[i][0] is None else rows[i][0]}".encode()).hexdigest()[:15], 16) for i in own}
+        digest = lambda text: hashlib.md5((text or "").encode()).hexdigest()
+        h = {i: int(digest(f"mix|{'null' if rows[i][0] is None else rows[i][0]}|{digest(rows[i][1])}")[:11], 16) for i in own}
         whole = min(2, int(targets[s] / sizes[s])) if sizes[s] else 0
         budget, before = targets[s] - whole * sizes[s], 0
-        for value in sorted(set(h.values())):
-            tied = [i for i in own if h[i] == value]
-            total = sum(size[i] for i in tied)
-            for i in tied:
-                taken[i] = size[i] * (whole + (2 * before + total < 2 * budget))
-            before += total
+        for i in sorted(own, key=h.get):
+            taken[i] = size[i] * (whole + (2 * before + size[i] < 2 * budget))
+            before += size[i]
     return sorted((rows[i][0], size[i], sizes[rows[i][2]], round(float(targets[rows[i][2]]), 6), taken[i]) for i in taken if rows[i][0] is not None), sizes, targets
 
 
@@ -70,6 +68,31 @@ def test_mixed_documents_repeats_rows(spark):
     assert counts == {k: v for k, v in times.items() if v}
 
 
+def test_repeated_rows_and_ids_are_taken_one_by_one(spark):
+    """A third of the ids null, and a source of copies of one row: targets are met within a document all the same."""
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i % 40), "ab"[i % 2]) for i in range(1500)] + [(7, "same text here", "copies")] * 3000 + [(None, "w", "nobody")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    _, _, targets = brute(rows)
+    counts = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("t")).collect()
+    assert {r["source"] for r in counts} == set(targets)
+    assert all(abs(r["t"] - targets[r["source"]]) <= 40 for r in counts)
+    assert sum(r["taken"] for r in mixing.mix(docs).collect()) == sum(r["t"] for r in counts)
+
+
+def test_names_of_its_own_columns_may_be_taken(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    named = docs.select("*", *[F.lit(c).alias(c) for c in ("mix_k", "mix_full", "mix_cut", "mix_copy", "place", "k", "__mix_copy")])
+    out = mixing.mixed_documents(named)
+    assert out.columns == named.columns and out.count() == mixing.mixed_documents(docs).count()
+    assert {(r["mix_k"], r["mix_copy"], r["place"]) for r in out.collect()} == {("mix_k", "mix_copy", "place")}
+
+
+def test_runs_without_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for found in (mixing.mix(docs), mixing.mixed_documents(docs)):
+        assert not any(w in found._jdf.queryExecution().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
 def test_odd_input(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in odd_docs.select("doc_id", "text", "source").collect()]
     found = mixing.mix(odd_docs)
