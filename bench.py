@@ -20,18 +20,21 @@ HEADLINE = [
     "a16_schedule_factor",
     "f1_baseline_forecast",
     "walk_forward_brier",
+    "e5_bootstrap_interval",
     "e7_metrics_grouping_sets",
     "e8_walk_forward",
     "e11_margin_walk_forward",
     "e18_paired_significance",
     "c1_exponent_fit",
     "p3_usual_starters",
+    "p7_player_impact",
     "p11_availability",
     "w1_win_totals",
     "g2_arbitrage",
     "g4_momentum",
     "g5_backtest",
     "s7_scoreboard",
+    "s3_bucketed_upsert",
 ]
 
 
