@@ -173,7 +173,8 @@ WITH p AS (
   FROM p
 ), u AS (
   SELECT *, CASE WHEN contains(url, '://') THEN
-    regexp_replace(regexp_replace(translate(regexp_replace(authority, '^.*@', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)?$', ''), '^www[0-9]*\.', '')
+    regexp_replace(regexp_replace(translate(regexp_replace(authority, '^.*@', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  CASE WHEN url ILIKE 'http://%' THEN ':(80)?$' WHEN url ILIKE 'https://%' THEN ':(443)?$' ELSE ':$' END, ''), '^www[0-9]*\.', '')
     || (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN fields = '' THEN '' ELSE '?' || fields END) END AS canonical_url
   FROM t
 ), v AS (

@@ -13,13 +13,15 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 
 
 def canonical_url(url: Column) -> Column:
-    """``url`` without scheme, user, leading www, default port and fragment; host in lower case, query fields sorted, empty path as ``/``.
+    """``url`` without scheme, user, leading www, the scheme's own default port and fragment; host in lower case, query fields sorted, empty path as ``/``.
 
     Null for a null url and for one without ``://``.
     """
     authority = F.regexp_extract(url, r"://([^/?#]*)", 1)
     host = F.translate(F.regexp_replace(authority, r"^.*@", ""), _UPPER, _LOWER)
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)?$", ""), r"^www[0-9]*\.", "")
+    scheme = F.translate(F.regexp_extract(url, r"^([^/?#]*?)://", 1), _UPPER, _LOWER)
+    port = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", ""))
+    host = F.regexp_replace(F.coalesce(port, F.regexp_replace(host, r":$", "")), r"^www[0-9]*\.", "")
     path = F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"://[^?#]*\?([^#]*)", 1)
     fields = F.array_join(F.array_sort(F.filter(F.split(query, "&", -1), lambda x: x != "")), "&")

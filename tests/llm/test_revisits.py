@@ -73,3 +73,9 @@ def test_a_hot_url_is_spread(spark):
     out = R.latest_before(rows, "k", "at", "record_id", "p")
     wrong = out.where("p IS NULL AND NOT (found.v <=> 50 * cast(at / 50 AS long))").count()
     assert wrong == 0 and out.count() == 20_000
+
+
+def test_only_the_schemes_own_port_is_dropped(spark):
+    urls = ["http://h:80/x", "https://h:443/x", "HTTP://h/x", "https://h:/x", "http://h:443/x", "https://h:80/x", "ftp://h:80/x", "http://h:8080/x"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(R.canonical_url(F.col("u")).alias("k"))
+    assert [r["k"] for r in df.collect()] == ["h/x"] * 4 + ["h:443/x", "h:80/x", "h:80/x", "h:8080/x"]
