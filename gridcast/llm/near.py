@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import free_name, on_files, small_batches, with_row_key
+from gridcast.llm.common import free_name, on_files, release, small_batches, with_row_key
 from gridcast.llm.components import components
 from gridcast.session import stage
 
@@ -240,10 +240,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Candidates. Every bucket of a band pairs its members with one hub, never with each other; so rows
        grow with members. Pairs are estimated from the bit signatures, then verified on the whole
        sets, at first one pair per node (the best), then those that still join different components.
-    3. Members of a bucket that are in different components after that are compared on their whole
-       sets, so no link is lost to the choice of hubs. Those that cannot be similar to any other component are
-       found first by counting shared shingles (``undecided``); the rest are compared in blocks of which
-       only links come out (``remaining_links``).
+    3. Members of a bucket that are in different components after that are compared too, so no link is lost to the choice of
+       hubs (``remaining_links``): first by their signatures, in blocks; of those with a plausible partner, the ones that
+       cannot be similar to any other component are found by counting shared shingles (``undecided``); the rest
+       are compared on their whole sets, in blocks of which only links come out. One rule holds for buckets of every size.
+
+    A text of any length is read whole; a task holds the sets of one Arrow batch or of one block.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -256,9 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = nodes.select("node", "n", "planes")
 
     buckets = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("band", "hub")
-    members = stage(buckets.join(hubs, "band"))  # buckets of one node are gone
-    star = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
+    members = stage(buckets.join(shared, "band", "left_semi"))  # buckets of one node are gone
+    hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
+    star = members.join(hubs, "band").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     candidates = stage(estimated(star, small, percent))
     # Texts are joined once: the sets of all nodes that share a bucket serve every comparison that follows.
     compared = members.select("node").distinct().join(nodes.select("node", "row_key"), "node")
@@ -268,7 +271,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links.add(best)
     links.add(links.across(candidates.select("a", "b")).join(best, ["a", "b"], "left_anti"))
 
-    links.join_in(remaining_links(links, undecided(links, members.select("band", "node").join(small.select("node", "n"), "node"), percent), percent))
+    links.join_in(remaining_links(links, members, small, percent))
+    for done in (members, candidates, sets, nodes):
+        release(done)
 
     labelled = links.labelled(rows.select("row_key", "doc_id", "n", F.col("digest").alias("node")))
     least = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
@@ -280,78 +285,143 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def undecided(links: EdgeSet, members: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """The members (band, node, n, root) of buckets with several components that could still link two of them.
+    """The nodes among ``members`` (band, node, n, root) of buckets with several components that could still link two of them.
 
     A node is left out where its shingles rule it out. To be similar to a node of another component, a node of n shingles
     has to share with it at least percent / (100 + percent) of the sum of both sizes, and so at least as many of its own with other
     components at all. A near-copy with many changes of its own is dropped by that count alone, however many it
     shares buckets with; dropping it takes the reason away from others, so the count is repeated a few times.
     """
-    spread = stage(links.labelled(members))
-    sets = None
+    spread = stage(members)
     for _ in range(rounds):
         bands = spread.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("n").alias("small"))
-        spread = stage(spread.join(bands.where("least < most").select("band", "small"), "band"))
+        mixed = spread.join(bands.where("least < most").select("band", "small"), "band")
         partner = F.greatest("small", F.ceil(F.col("n") * percent / 100))
-        nodes = spread.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(partner).alias("partner"))
-        nodes = stage(nodes)
-        spread = spread.drop("small")
-        if sets is None:
-            sets = links.sets_of(nodes.select("node"))
-        single = nodes.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+        nodes = stage(mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(partner).alias("partner")))
+        single = nodes.join(links.shingle_sets, "node").select("node", F.xxhash64("root").alias("root"), F.explode("shingles").alias("shingle"))
         apart = single.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
         able = single.join(apart, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
         able = able.join(nodes, "node").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("partner")))
         able = stage(able.select("node"))
-        spread = spread.join(able, "node", "left_semi")
-        if able.count() == nodes.count():
+        left = stage(spread.join(able, "node", "left_semi"))
+        settled = able.count() == nodes.count()
+        release(spread)
+        release(nodes)
+        spread = left
+        if settled:
             break
-    mixed = spread.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("band")
-    return stage(spread.join(mixed, "band", "left_semi"))
+        release(able)
+    return spread.select("node").distinct()
 
 
-#: Nodes that share buckets, directly or through others, are compared as one group up to this many, beyond it bucket by bucket.
-GROUP = 20_000
-#: Shingles of the probes that one task holds.
+#: Shingles of the probes whose sets one task holds, blocks whose signatures one task holds, and nodes that one task streams past them.
 PROBED = 1_000_000
+BLOCKS = 32
+STREAMED = 200_000
 
 
-def remaining_links(links: EdgeSet, open_: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components among ``open_`` (band, node, n, root), on whole shingle sets.
+def remaining_links(links: EdgeSet, members: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among the buckets ``members`` (band, node). ``small`` has node, n, planes.
 
-    In a group, every node outside the largest component is a probe, dealt out in chunks of bounded size; all nodes
-    of the group stream past each chunk. That covers all pairs of different components, and nothing but
-    links comes out, at most one per probe, chunk and component.
+    In a bucket, every node outside its largest component is a probe, dealt out in blocks of bounded size. The signatures of all
+    nodes of the bucket stream past those of ``BLOCKS`` blocks at a time, which leaves the probes with a plausible partner, and for each block the
+    nodes that are plausible partners of one of its probes; never pairs. Of these, what shared shingles do not rule out
+    (``undecided``) streams past its blocks with whole sets. That covers all pairs of different components in a bucket, and
+    nothing but links comes out, at most one per probe, block and component. Buckets of the same nodes are compared once.
     """
-    first = open_.groupBy("band").agg(F.min("node").alias("least"))
-    groups = components(open_.join(first, "band").select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "group")
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    place = F.when(F.col("size") <= GROUP, F.concat(F.lit("g").cast("binary"), "group")).otherwise(F.concat(F.lit("b").cast("binary"), F.col("band").cast("string").cast("binary")))
-    dealt = stage(open_.join(groups, "node").join(sizes, "group").select(place.alias("place"), "node", "n", "root").distinct())
-    main = dealt.groupBy("place", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("place").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    dealt = dealt.join(main, "place")
-    probes = dealt.where("root != main")
-    chunks = probes.groupBy("place").agg(F.ceil(F.sum("n") / PROBED).cast("int").alias("chunks"))
-    probes = probes.join(chunks, "place").select("place", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("probe"), "node", "root")
-    streamed = dealt.join(chunks, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("probe"), "node", "root")
-    rows = probes.unionByName(streamed).join(links.sets_of(dealt.select("node").distinct()), "node")
-    rows = rows.repartition("place", "chunk").sortWithinPartitions("place", "chunk", F.col("probe").desc())
+    labelled = stage(links.labelled(members.select("band", "node")))
+    each = F.xxhash64("node", F.lit(1))
+    per = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(each).alias("x"))
+    bands = per.groupBy("band").agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("nodes"), F.sum("s").cast("decimal(38,0)").alias("s"), F.bit_xor("x").alias("x"), F.count(F.lit(1)).alias("roots")
+    )
+    once = bands.where("roots > 1").groupBy("nodes", "s", "x").agg(F.min_by(F.struct("band", "main"), "band").alias("f")).select("f.band", "f.main", "nodes")
+    dealt = stage(labelled.join(once, "band").join(small, "node").withColumn("probe", F.col("root") != F.col("main")).drop("main"))
+    chunks = dealt.where("probe").groupBy("band").agg(F.ceil(F.sum("n") / PROBED).cast("int").alias("chunks"))
+    dealt = dealt.join(chunks, "band").withColumn("slices", F.ceil(F.col("nodes") / STREAMED).cast("int"))
+    row = ["band", "probe", "node", "root", "n", "planes"]
+    of_node = F.xxhash64("node")
+    chunk = F.pmod(of_node, F.col("chunks")).cast("int")
+    probes = dealt.where("probe").select(*row, chunk.alias("chunk"), F.floor(chunk / BLOCKS).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    blocks = F.sequence(F.lit(0), F.ceil(F.col("chunks") / BLOCKS).cast("int") - 1)
+    streamed = dealt.withColumn("probe", F.lit(False)).select(*row, F.lit(None).cast("int").alias("chunk"), F.explode(blocks).alias("block"), F.pmod(of_node, F.col("slices")).cast("int").alias("slice"))
+    place = ["band", "block", "slice"]
+    rows = probes.unionByName(streamed).repartition(*place).sortWithinPartitions(*place, F.col("probe").desc())
+    marks = stage(rows.mapInPandas(_plausible_partners(percent), "band long, chunk int, probe boolean, node binary, root binary, n long").distinct())
+    able = undecided(links, marks.select("band", "node", "n", "root").distinct(), percent)
+    rows = marks.drop("n").join(able, "node", "left_semi").join(links.sets_of(able), "node")
+    rows = rows.repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.col("probe").desc())
     return rows.mapInPandas(_stream_past(percent), "a binary, b binary")
 
 
+def _plausible_partners(percent: int):
+    words = MINIMA // 64
+    least = least_estimate(percent) - 1e-9
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, probes, index = None, [], None
+
+        def hit_probes(band):
+            if index is not None:
+                for i in np.flatnonzero(index["hit"]).tolist():
+                    chunk, node, root, n, _ = index["probes"][i]
+                    yield band, chunk, True, node, root, n
+
+        for batch in batches:
+            marked = []
+            for band, block, part, probe, chunk, node, root, n, planes_ in zip(*(batch[c] for c in ("band", "block", "slice", "probe", "chunk", "node", "root", "n", "planes")), strict=True):
+                if (band, block, part) != at:
+                    if at is not None:
+                        marked.extend(hit_probes(at[0]))
+                    at, probes, index = (band, block, part), [], None
+                if probe:
+                    probes.append((int(chunk), node, root, n, planes_))
+                    continue
+                if index is None:
+                    probes.sort(key=lambda p: p[3])
+                    named = {r: i for i, r in enumerate({p[2] for p in probes})}
+                    index = {
+                        "probes": probes, "roots": named, "hit": np.zeros(len(probes), dtype=bool), "chunk": np.array([p[0] for p in probes], dtype=np.int64),
+                        "n": np.array([p[3] for p in probes], dtype=np.int64), "root": np.array([named[p[2]] for p in probes], dtype=np.int64),
+                        "planes": np.array([p[4] for p in probes], dtype=np.int64).reshape(len(probes), BITS * words).T.copy(),
+                    }
+                sizes = index["n"]
+                low, high = np.searchsorted(sizes, -(-percent * n // 100), side="left"), np.searchsorted(sizes, 100 * n // percent, side="right")
+                if low >= high:
+                    continue
+                agree = np.full(high - low, MINIMA, dtype=np.int64)
+                for w in range(words):
+                    differs = np.zeros(high - low, dtype=np.int64)
+                    for b in range(BITS):
+                        differs |= index["planes"][b * words + w, low:high] ^ planes_[b * words + w]
+                    agree -= np.bitwise_count(differs.view(np.uint64))
+                chance = 2.0**-BITS
+                good = ((agree / MINIMA - chance) / (1 - chance) >= least) & (index["root"][low:high] != index["roots"].get(root, -1))
+                if good.any():
+                    index["hit"][low:high] |= good
+                    marked.extend((band, c, False, node, root, n) for c in np.unique(index["chunk"][low:high][good]).tolist())
+            yield pd.DataFrame(marked, columns=["band", "chunk", "probe", "node", "root", "n"])
+        if at is not None:
+            yield pd.DataFrame(list(hit_probes(at[0])), columns=["band", "chunk", "probe", "node", "root", "n"])
+
+    return run
+
+
 def _stream_past(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, names, roots, sets, index, done = None, [], [], [], None, set()
         for batch in batches:
             found = []
-            for place, chunk, probe, node, root, own in zip(*(batch[c] for c in ("place", "chunk", "probe", "node", "root", "shingles")), strict=True):
-                if (place, chunk) != at:
-                    at, names, roots, sets, index, done = (place, chunk), [], [], [], None, set()
+            for band, chunk, probe, node, root, own in zip(*(batch[c] for c in ("band", "chunk", "probe", "node", "root", "shingles")), strict=True):
+                if (band, chunk) != at:
+                    at, names, roots, sets, index, done = (band, chunk), [], [], [], None, set()
                 if probe:
                     names.append(node)
                     roots.append(root)
                     sets.append(own)
                     continue
+                if not names:  # shared shingles ruled out all probes of the block
+                    continue
                 if index is None:
                     sizes = np.array([len(s) for s in sets])
                     whole = np.concatenate(sets)
@@ -397,14 +467,15 @@ class EdgeSet:
 
     def add(self, pairs: DataFrame) -> None:
         pairs = stage(pairs)
-        if pairs.isEmpty():
-            return
-        self.join_in(verified(pairs, self.sets(pairs), self.percent))
+        if not pairs.isEmpty():
+            self.join_in(verified(pairs, self.sets(pairs), self.percent))
+        release(pairs)
 
     def join_in(self, found: DataFrame) -> None:
         """Add verified links (a, b)."""
-        if self.forest is not None:
-            found = found.unionByName(self.forest.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before = self.forest
+        if before is not None:
+            found = found.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))
         self.forest = components(found)
 
     def labelled(self, df: DataFrame) -> DataFrame:
