@@ -162,6 +162,37 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE folded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT r, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [hash(w)] ELSE
+    list_transform(list_zip(w[:-5], w[2:-4], w[3:-3], w[4:-2], w[5:]), lambda t: hash(t)) END)) AS s FROM folded WHERE len(w) > 0
+), nodes AS (
+  SELECT min(r) AS node, s, len(s) AS n FROM sets GROUP BY s
+), rowed AS (
+  SELECT r, node, n FROM sets JOIN nodes USING (s)
+), single AS (
+  SELECT node, n, unnest(s) AS x FROM nodes
+), links AS (
+  SELECT a.node AS a, b.node AS b FROM single AS a JOIN single AS b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT node AS node, node AS root FROM nodes WHERE node IN (SELECT a FROM edges)
+  UNION SELECT edges.b, reach.root FROM reach JOIN edges ON reach.node = edges.a AND edges.b > reach.root
+), roots AS (
+  SELECT node, min(root) AS root FROM (SELECT * FROM reach UNION ALL SELECT node, node FROM nodes) AS x GROUP BY node
+), classed AS (
+  SELECT r, n, min(doc_id) OVER (PARTITION BY root) AS component_id FROM rowed JOIN roots USING (node) JOIN folded USING (r)
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM (CASE WHEN n IS NULL THEN doc_id ELSE component_id END) AS kept
+FROM folded LEFT JOIN classed USING (r)
+"""
+
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, url, md5(coalesce(html, '')) AS body, coalesce(page_id::VARCHAR, 'null') AS i FROM pages
@@ -315,6 +346,7 @@ SQL: dict[str, str] = {
     "op13_negatives": OP13_SQL,
     "op2_chat": OP2_SQL,
     "op4_urls": OP4_SQL,
+    "op5_near_duplicates": OP5_SQL,
     "op6_revisits": OP6_SQL,
     "op9_mix": OP9_SQL,
     "op10_exact": OP10_SQL,

@@ -88,6 +88,22 @@ def test_large_group_and_case_and_blanks(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("bounds", [{}, {"PROBED": 300, "BLOCKS": 2, "STREAMED": 20}])
+def test_blocks_of_a_crowded_bucket(spark, monkeypatch, bounds):
+    """Clusters that share most shingles, but are not all similar, meet in the same buckets; small blocks find the same links."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(near, name, value)
+    base, draw = [f"word{i}" for i in range(120)], random.Random(4)
+    rows = []
+    for i in range(70):
+        copy = list(base)
+        for place in draw.sample(range(120), draw.choice([1, 2, 3, 4])):
+            copy[place] = f"x{draw.randrange(3)}"
+        rows.append((i, " ".join(copy)))
+    found = got(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)))
+    assert found == brute(rows)
+
+
 def test_odd_input(spark, odd_docs, no_docs):
     found = near.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
