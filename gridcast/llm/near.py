@@ -25,6 +25,8 @@ BITS = 4
 BAND = 4
 #: The estimate may fall so many standard deviations below the threshold before a candidate is dropped unverified.
 DEVIATIONS = 5
+#: Texts are met with the rows to compare only if such a row has the same residue of its key's hash; at most so many longs are broadcast for that.
+RESIDUES = 1 << 22
 #: Members verified against one hub at a time.
 CHUNK = 64
 
@@ -265,7 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = stage(estimated(star, small, percent))
     # Texts are joined once: the sets of all nodes that share a bucket serve every comparison that follows.
     compared = members.select("node").distinct().join(nodes.select("node", "row_key"), "node")
-    sets = stage(keyed.select("row_key", "text").join(compared, "row_key").select("node", shingle_array(length)(F.col("text")).alias("shingles")))
+    # Most texts leave before the shuffle while the rows to compare are fewer than the residues; beyond that they meet in it.
+    residue = F.pmod(F.xxhash64("row_key"), F.lit(RESIDUES)).alias("residue")
+    texts = keyed.select("row_key", "text", residue).join(F.broadcast(compared.select(residue).distinct()), "residue", "left_semi")
+    sets = stage(texts.join(compared, "row_key").select("node", shingle_array(length)(F.col("text")).alias("shingles")))
     links = EdgeSet(sets, percent)
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     links.add(best)
