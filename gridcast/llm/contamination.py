@@ -162,8 +162,8 @@ def contamination(text: Column, benchmark: DataFrame, window: int = WINDOW, id_c
     occurrence of a window; ``items`` are the sorted ids, as strings, of items with an occurring window (a null id is the empty
     string). A null or empty text has no words. An item given twice counts once.
 
-    The windows are broadcast as sorted hashes in slices of ``slice_bytes`` of benchmark text, so what
-    one task holds is bounded whatever the benchmark's size. Documents are not shuffled.
+    The windows are broadcast as sorted hashes in slices of ``slice_bytes`` of benchmark text; the driver builds one slice at a time, but a
+    task holds all of them, so the benchmark has to fit a worker. Documents are not shuffled.
     """
     spark = benchmark.sparkSession
     small_batches(spark)
