@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridcast import constants as K
 from gridcast.functions.expr import hours_after, hours_before
-from gridcast.operators.asof import asof_aggregate
+from gridcast.operators.asof import asof_aggregate, timeline
 from gridcast.session import stage
 
 _HOURS = K.CORROBORATION_HOURS
@@ -50,6 +50,45 @@ def visible_reports(decisions: DataFrame, reports: DataFrame) -> DataFrame:
     return decisions.join(reports, "player_id").filter(seen <= F.col("as_of"))
 
 
+def report_positions(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """Place 1, 2, ... of every report in the order in which the reports of its ``keys`` become visible, ties by report_id.
+
+    What a decision may look at is a prefix of that order. So one number per decision (``visible_prefix``, or ``reports`` of
+    :func:`resolve_availability`) and one row per report say the same as a list per decision, and both grow with their input only.
+    No task ranks a whole hot key: the places are those of the instant, from the two-level totals, plus the rank at that instant.
+    """
+    before = timeline(reports, keys, "visible_at", {"seen": ("sum", F.lit(1).cast("bigint"))}).select(*keys, "visible_at", "before_seen")
+    tied = Window.partitionBy(*keys, "visible_at").orderBy("report_id")
+    ranked = reports.select(*keys, "visible_at", "report_id", F.row_number().over(tied).alias("_rank"))
+    return ranked.join(before, [*keys, "visible_at"]).select(
+        *keys, "report_id", "visible_at", (F.col("before_seen") + F.col("_rank")).alias("position")
+    )
+
+
+def visible_prefix(decisions: DataFrame, reports: DataFrame) -> DataFrame:
+    """How many reports of its player, retracted ones included, each decision may look at: the prefix of their positions."""
+    return asof_aggregate(
+        decisions, reports.withColumn("visible_at", F.greatest("event_time", "retrieved_at")), ["player_id"], "visible_at",
+        {"reports": ("sum", F.lit(1).cast("bigint"))}, probe_ts="as_of", inclusive=True,
+    )
+
+
+def contributing_reports(resolved: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row per decision of :func:`resolve_availability` and report behind it: the prefix written out."""
+    placed = report_positions(live_reports(reports), ["player_id", "report_class"])
+    asked = resolved.filter(F.col("reports") > 0).select("player_id", "as_of", "report_class", "reports")
+    return asked.join(placed, ["player_id", "report_class"]).filter(F.col("position") <= F.col("reports")).select(
+        "player_id", "as_of", "report_class", "report_id", "position"
+    )
+
+
+def with_report_ids(resolved: DataFrame, reports: DataFrame) -> DataFrame:
+    """``resolved`` with ``report_ids``, the sorted ids of the contributing reports; empty without any."""
+    listed = contributing_reports(resolved, reports).groupBy("player_id", "as_of").agg(F.array_sort(F.collect_list("report_id")).alias("report_ids"))
+    nothing = F.array().cast(listed.schema["report_ids"].dataType)
+    return resolved.join(listed, ["player_id", "as_of"], "left").withColumn("report_ids", F.coalesce("report_ids", nothing))
+
+
 def _slot(ts: Column) -> Column:
     """Number of the two-hour slot a time falls into."""
     seconds = F.unix_seconds(ts.cast("timestamp"))

@@ -18,6 +18,7 @@ from gridcast.operators.strength import (
     win_rate_strength,
 )
 from gridcast.operators.turnovers import turnover_form
+from gridcast.sources.canonical import record_key
 
 _RATED = [*TOTALS, "ppg_for", "ppg_against", "shrink_weight", "strength", "reason"]
 
@@ -61,6 +62,38 @@ def baseline_forecast(games: DataFrame, history: DataFrame, exponent: float = K.
     return baseline_columns(rated_games(games, history, exponent))
 
 
+def forecast_record(forecasts: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONENT) -> DataFrame:
+    """The stored record of every forecast from :func:`baseline_forecast`, or from the injury-adjusted one.
+
+    The id depends on game, model version and cutoff only, so a rerun gives the same record. Without an injury step the adjustment
+    is 0 and the list of adjusted players empty; an abstained forecast keeps its reason and has no probability.
+    """
+    adjusted = "injury_delta" in forecasts.columns
+    ok = ~F.col("abstained")
+    delta = F.coalesce("injury_delta", F.lit(0.0)) if adjusted else F.lit(0.0)
+    players = F.col("adjusted_players") if adjusted else F.array().cast("array<string>")
+    made = F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss")
+    return forecasts.select(
+        record_key("forecast", F.col("game_id"), F.lit(K.MODEL_VERSION), made).alias("id"),
+        "game_id",
+        F.lit(K.MODEL_VERSION).alias("model_version"),
+        F.lit(K.UNCALIBRATED).alias("calibration_version"),
+        F.col("cutoff").alias("feature_cutoff_at"),
+        "training_window_start",
+        F.col("adjusted_probability" if adjusted else "home_win_probability").alias("home_win_probability"),
+        F.when(ok, F.lit(0.0)).alias("tie_probability"),
+        "uncertainty",
+        F.lit(float(exponent)).alias("exponent"),
+        *[F.col(f"{side}_cur_n").alias(f"{side}_games_played") for side in ("home", "away")],
+        *[F.when(ok, F.round(f"{side}_shrink_weight", 6)).alias(f"{side}_shrinkage_weight") for side in ("home", "away")],
+        "home_field_applied",
+        "abstained",
+        "abstain_reason",
+        F.when(ok, F.round(delta, 6)).alias("injury_adjustment"),
+        F.when(ok, F.coalesce(players, F.array().cast(forecasts.schema["adjusted_players"].dataType if adjusted else "array<string>"))).alias("adjusted_players"),
+    )
+
+
 def _probability(df: DataFrame, name: str, p: Column, reason: Column) -> DataFrame:
     return df.withColumn(f"{name}_reason", reason).withColumn(
         f"{name}_probability", F.when(F.col(f"{name}_reason").isNull(), p)

@@ -300,6 +300,12 @@ def resampled_means(states: DataFrame, scored: DataFrame, resamples: int, seed:
     return draws.join(lines, [*keys, "_place"]).groupBy(*keys, "games", "replicate").agg((F.sum("score") / F.first("games")).alias("resampled_mean"))
 
 
+def impact_reasons(wanted: DataFrame, games: DataFrame, history: DataFrame, exponent: float = K.PYTHAGOREAN_EXPONENT) -> DataFrame:
+    """``wanted`` with both sides' strength and, where :func:`player_impact` has no estimate, its ``abstain_reason``; nothing is drawn."""
+    reason = F.coalesce(F.when(F.col("replacement_id").isNull(), F.lit(K.NO_REPLACEMENT)), F.col("team_reason"), F.col("opponent_reason"))
+    return _with_reasons(wanted, games, history, exponent).withColumn("abstain_reason", reason).drop("team_reason", "opponent_reason")
+
+
 def player_impact(
     wanted: DataFrame,
     games: DataFrame,
@@ -315,8 +321,7 @@ def player_impact(
     ``wanted`` is a part of :func:`starter_table`. Every row is returned: those without a replacement or
     without a usable strength of either side have no estimate but an ``abstain_reason``.
     """
-    reason = F.coalesce(F.when(F.col("replacement_id").isNull(), F.lit(K.NO_REPLACEMENT)), F.col("team_reason"), F.col("opponent_reason"))
-    known = stage(_with_reasons(wanted, games, history, exponent).withColumn("abstain_reason", reason).drop("team_reason", "opponent_reason"))
+    known = stage(impact_reasons(wanted, games, history, exponent))
     rows = known.filter(F.col("abstain_reason").isNull())
     means = resampled_means(rows, scored, resamples, seed)
     conversion = points_per_production(statlines, history).scalar()
@@ -335,12 +340,14 @@ def game_delta(impacts: DataFrame) -> DataFrame:
     """Net change of the home win probability per game when the listed players are missing.
 
     A game whose every missing starter is abstained on has a row too: without a change, with ``players_abstained``.
+    ``adjusted_players`` lists the players behind the change by id; a team has one starter per category, so the list is short.
     """
     signed = F.when(F.col("is_home"), -F.col("mean_impact")).otherwise(F.col("mean_impact"))
     return impacts.groupBy("game_id").agg(
         F.sum(signed).alias("injury_delta"),
         F.nullif(F.count("mean_impact"), F.lit(0)).alias("players_out"),
         F.count("abstain_reason").alias("players_abstained"),
+        F.array_sort(F.collect_list(F.when(F.col("mean_impact").isNotNull(), F.col("player_id")))).alias("adjusted_players"),
     )
 
 

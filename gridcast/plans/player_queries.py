@@ -16,6 +16,7 @@ from gridcast.plans import sqltext as Q
 from gridcast.plans.evaluation_queries import METRICS, losses, metric_outputs
 from gridcast.plans.fixtures import Tables
 from gridcast.plans.registry import big, cte, off_tie, q6, q_off_tie, qstamp, query, r6, stamp, with_ctes
+from gridcast.session import stage
 
 RESAMPLES = K.IMPACT_RESAMPLES
 
@@ -284,6 +285,13 @@ def _(t: Tables) -> DataFrame:
     return C.missing_starter_scores(impacts(t), E.baseline_samples(t.games())).select("model", *metric_outputs())
 
 
+@query("e21_games", with_ctes("""
+SELECT (SELECT count(*) FROM baseline) AS games_considered,
+  (SELECT count(*) FROM baseline AS b JOIN absent_delta AS d ON d.game_id = b.game_id WHERE b.abstain_reason IS NULL AND NOT b.is_tie) AS games_with_missing_starters"""))
+def _(t: Tables) -> DataFrame:
+    return C.missing_starter_games(t.games(), t.statlines(), tests(t), E.baseline_samples(t.games()))
+
+
 @query("e21_samples_by_category", with_ctes("""
 SELECT a.category, count(*) AS samples FROM absent_impacts AS a JOIN baseline AS b ON b.game_id = a.game_id
 WHERE b.abstain_reason IS NULL AND NOT b.is_tie GROUP BY a.category"""))
@@ -397,15 +405,35 @@ def _(t: Tables) -> DataFrame:
     return A.visible_reports(asked, t.reports()).select(stamp("as_of"), "player_id", "report_id")
 
 
+@query("p9_visible_prefix", with_ctes(f"""
+SELECT {qstamp('d.as_of')} AS as_of, d.player_id, count(r.report_id) AS reports FROM decisions AS d
+LEFT JOIN reports AS r ON r.player_id = d.player_id AND greatest(r.event_time, r.retrieved_at) <= d.as_of GROUP BY d.player_id, d.as_of"""))
+def _(t: Tables) -> DataFrame:
+    return A.visible_prefix(decisions(t), t.reports()).select(stamp("as_of"), "player_id", "reports")
+
+
+@query("p9_report_positions", with_ctes("""
+SELECT report_id, player_id, report_class, row_number() OVER (PARTITION BY player_id, report_class ORDER BY visible_at, report_id) AS position FROM live"""))
+def _(t: Tables) -> DataFrame:
+    return A.report_positions(A.live_reports(t.reports()), ["player_id", "report_class"]).select("report_id", "player_id", "report_class", "position")
+
+
 @query("p10_confirmation", with_ctes(f"SELECT player_id, {qstamp('as_of')} AS as_of, confirmation, confirmation = 'confirmed' AS executable FROM confirmed_players"))
 def _(t: Tables) -> DataFrame:
     return A.confirm_players(decisions(t), t.reports()).select("player_id", stamp("as_of"), "confirmation", "executable")
 
 
-@query("p11_availability", with_ctes(f"SELECT player_id, {qstamp('as_of')} AS as_of, report_class, reports, status, confirmation, reason FROM resolved"))
+@query("p11_availability", with_ctes(f"""
+SELECT r.player_id, {qstamp('r.as_of')} AS as_of, r.report_class, r.reports, r.status, r.confirmation, r.reason, coalesce(i.ids, '') AS report_ids
+FROM resolved AS r LEFT JOIN (
+  SELECT q.player_id, q.as_of, array_to_string(list_sort(list(q.report_id)), ',') AS ids FROM seen AS q
+  JOIN top_class AS m ON m.player_id = q.player_id AND m.as_of = q.as_of AND m.report_class = q.report_class
+  GROUP BY q.player_id, q.as_of) AS i ON i.player_id = r.player_id AND i.as_of = r.as_of"""))
 def _(t: Tables) -> DataFrame:
-    return A.resolve_availability(decisions(t), t.reports()).select(
-        "player_id", stamp("as_of"), "report_class", big("reports"), "status", "confirmation", "reason")
+    resolved = stage(A.resolve_availability(decisions(t), t.reports()))
+    return A.with_report_ids(resolved, t.reports()).select(
+        "player_id", stamp("as_of"), "report_class", big("reports"), "status", "confirmation", "reason",
+        F.array_join(F.col("report_ids").cast("array<string>"), ",").alias("report_ids"))
 
 
 cte("season_live", f"SELECT * FROM ({live_sql('season_reports')}) AS l WHERE correction_state <> 'retracted'")
@@ -430,13 +458,15 @@ cte("out_impacts", impacts_sql("out_rows", "out_means"))
 
 
 @query("p8_injury_adjustment", with_ctes(f"""
-SELECT b.game_id, d.players_out, {q6('d.delta')} AS injury_delta,
+SELECT b.game_id, d.players_out, coalesce(d.ids, '') AS adjusted_players, {q6('d.delta')} AS injury_delta,
   CASE WHEN b.abstain_reason IS NULL THEN CASE WHEN d.delta IS NULL THEN {q6('b.p')}
        ELSE {q6(Q.clamp(Q.home_field(Q.log5('b.home_strength', 'b.away_strength')) + ' + d.delta'))} END END AS adjusted_probability,
   coalesce(b.abstain_reason, CASE WHEN d.delta IS NULL THEN 'no starter out' END) AS reason
-FROM baseline AS b LEFT JOIN (SELECT game_id, count(*) AS players_out, sum(CASE WHEN is_home THEN -mean_impact ELSE mean_impact END) AS delta
+FROM baseline AS b LEFT JOIN (SELECT game_id, count(*) AS players_out, array_to_string(list_sort(list(player_id)), ',') AS ids,
+                              sum(CASE WHEN is_home THEN -mean_impact ELSE mean_impact END) AS delta
                          FROM out_impacts GROUP BY game_id) AS d ON d.game_id = b.game_id"""))
 def _(t: Tables) -> DataFrame:
     df = C.injury_adjusted_forecast(tests(t), t.games(), t.statlines(), t.season_reports(), RESAMPLES)
     reason = F.coalesce("abstain_reason", F.when(F.col("injury_delta").isNull(), F.lit("no starter out")))
-    return df.select("game_id", big("players_out"), r6("injury_delta"), "adjusted_probability", reason.alias("reason"))
+    ids = F.coalesce(F.array_join(F.col("adjusted_players").cast("array<string>"), ","), F.lit("")).alias("adjusted_players")
+    return df.select("game_id", big("players_out"), ids, r6("injury_delta"), "adjusted_probability", reason.alias("reason"))

@@ -247,13 +247,22 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f1_baseline_forecast", with_ctes(f"""
-SELECT game_id, p AS home_win_probability, abstain_reason,
-       CASE WHEN abstain_reason IS NULL THEN {q6('least(1.0 / sqrt(least(home_cur_n, away_cur_n) + 1), 1.0)')} END AS uncertainty,
+SELECT 'forecast:' || substr(sha256('forecast' || chr(30) || game_id::VARCHAR || chr(31) || '{K.MODEL_VERSION}' || chr(31) || {qstamp('cutoff')}), 1, 32) AS id,
+       game_id, '{K.MODEL_VERSION}' AS model_version, '{K.UNCALIBRATED}' AS calibration_version, {qstamp('cutoff')} AS feature_cutoff_at,
        {qstamp('coalesce(least(home_first_kickoff, away_first_kickoff), cutoff)')} AS training_window_start,
-       NOT neutral_site AS home_field_applied FROM baseline"""))
-def _(t: Tables) -> DataFrame:
-    return FC.baseline_forecast(tested(t), t.games()).select(
-        "game_id", "home_win_probability", "abstain_reason", "uncertainty", stamp("training_window_start"), "home_field_applied")
+       p AS home_win_probability, CASE WHEN abstain_reason IS NULL THEN 0.0::DOUBLE END AS tie_probability,
+       CASE WHEN abstain_reason IS NULL THEN {q6('least(1.0 / sqrt(least(home_cur_n, away_cur_n) + 1), 1.0)')} END AS uncertainty,
+       {K.PYTHAGOREAN_EXPONENT}::DOUBLE AS exponent, home_cur_n::BIGINT AS home_games_played, away_cur_n::BIGINT AS away_games_played,
+       CASE WHEN abstain_reason IS NULL THEN {q6('home_shrink_weight')} END AS home_shrinkage_weight,
+       CASE WHEN abstain_reason IS NULL THEN {q6('away_shrink_weight')} END AS away_shrinkage_weight,
+       NOT neutral_site AS home_field_applied, abstain_reason IS NOT NULL AS abstained, abstain_reason,
+       CASE WHEN abstain_reason IS NULL THEN 0.0::DOUBLE END AS injury_adjustment, CASE WHEN abstain_reason IS NULL THEN '' END AS adjusted_players FROM baseline"""))
+def _(t: Tables) -> DataFrame:
+    record = FC.forecast_record(FC.baseline_forecast(tested(t), t.games()))
+    return record.withColumns({
+        "feature_cutoff_at": stamp("feature_cutoff_at"), "training_window_start": stamp("training_window_start"),
+        "home_games_played": big("home_games_played"), "away_games_played": big("away_games_played"),
+        "adjusted_players": F.array_join("adjusted_players", ",")})
 
 
 @query("f2_home_field_only", with_ctes(f"SELECT game_id, {q6('p')} AS p FROM f2"))

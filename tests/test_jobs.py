@@ -11,8 +11,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gridcast.operators import availability as A
 from gridcast import constants as K
-from gridcast.operators import fitting, metrics, players, resample, season, signals
+from gridcast.operators import fitting, forecast, metrics, players, resample, season, signals
 from gridcast.operators.availability import status_of_text
 from gridcast.sources import bucketed, canonical, landed, store
 from gridcast.streaming import ingest
@@ -370,3 +371,43 @@ def test_no_task_orders_a_whole_axis(spark):
                 mine[player] = mine.get(player, 0.0) + score
         order = sorted(mine, key=lambda p: (-round(mine[p], 6), p))[:2]
         assert [totals.get(cutoff, {}).get(i) for i in range(1, len(order) + 1)] == order
+
+
+def test_report_positions_and_contributing_reports(spark):
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+    rows = [
+        (1, 7, "practice", at(1), at(3)), (2, 7, "practice", at(2), at(2)), (3, 7, "practice", at(3), at(3)),
+        (4, 7, "official", at(9), at(9)), (5, 8, "practice", at(1), at(1)),
+    ]
+    reports = spark.createDataFrame(rows, "report_id int, player_id int, report_class string, event_time string, retrieved_at string")
+    reports = reports.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_time", "retrieved_at")}).withColumn("correction_state", F.lit("original"))
+    reports = reports.withColumn("status_text", F.lit("out"))
+    placed = A.report_positions(A.live_reports(reports), ["player_id", "report_class"])
+    # visible at 2, then twice at 3: the tie goes to the smaller id
+    assert {(r["report_id"], r["position"]) for r in placed.collect()} == {(2, 1), (1, 2), (3, 3), (4, 1), (5, 1)}
+    asked = spark.createDataFrame([(7, at(2), "practice", 1), (7, at(5), "practice", 3), (9, at(5), None, 0)], "player_id int, as_of string, report_class string, reports long")
+    listed = {(r["player_id"], r["as_of"]): r["report_ids"] for r in A.with_report_ids(asked, reports).collect()}
+    assert listed == {(7, at(2)): [2], (7, at(5)): [1, 2, 3], (9, at(5)): []}
+    decisions = spark.createDataFrame([(7, at(1)), (7, at(3)), (9, at(3))], "player_id int, as_of string").withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
+    seen = {(r["player_id"], r["as_of"].hour): r["reports"] for r in A.visible_prefix(decisions, reports).collect()}
+    assert seen == {(7, 1): 0, (7, 3): 3, (9, 3): 0}
+
+
+def test_forecast_record_with_injury_step(spark):
+    rows = [
+        (1, "2024-01-01 00:00:00", False, None, 0.6, 0.55, -0.05, ["a", "b"]),
+        (2, "2024-01-01 00:00:00", False, None, 0.6, 0.6, None, None),
+        (3, "2024-01-01 00:00:00", True, "none", None, None, None, None),
+    ]
+    made = spark.createDataFrame(
+        rows, "game_id int, cutoff string, abstained boolean, abstain_reason string, home_win_probability double, adjusted_probability double, "
+        "injury_delta double, adjusted_players array<string>",
+    ).withColumns({c: F.lit(3) for c in ("home_cur_n", "away_cur_n")} | {c: F.lit(0.5) for c in ("home_shrink_weight", "away_shrink_weight", "uncertainty")})
+    made = made.withColumns({"training_window_start": F.col("cutoff"), "home_field_applied": F.lit(True)})
+    by_id = {r["game_id"]: r for r in forecast.forecast_record(made).collect()}
+    assert [by_id[i]["home_win_probability"] for i in (1, 2, 3)] == [0.55, 0.6, None]
+    assert [by_id[i]["injury_adjustment"] for i in (1, 2, 3)] == [-0.05, 0.0, None]
+    assert [by_id[i]["adjusted_players"] for i in (1, 2, 3)] == [["a", "b"], [], None]
+    assert by_id[1]["tie_probability"] == 0.0 and len({r["id"] for r in by_id.values()}) == 3
+    plain = forecast.forecast_record(made.drop("injury_delta", "adjusted_players", "adjusted_probability")).filter("game_id = 1").first()
+    assert plain["id"] == by_id[1]["id"] and plain["home_win_probability"] == 0.6 and plain["adjusted_players"] == []
