@@ -303,10 +303,12 @@ def undecided(links: EdgeSet, members: DataFrame, percent: int, rounds: int = 3)
         mixed = spread.join(bands.where("least < most").select("band", "small"), "band")
         partner = F.greatest("small", F.ceil(F.col("n") * percent / 100))
         nodes = stage(mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(partner).alias("partner")))
-        single = nodes.join(links.shingle_sets, "node").select("node", F.xxhash64("root").alias("root"), F.explode("shingles").alias("shingle"))
+        # longs stand for nodes where each shingle is a row; two nodes of one long would count each other's shingles, which only keeps more
+        of_node = F.xxhash64("node").alias("id")
+        single = nodes.join(links.shingle_sets, "node").select(of_node, F.xxhash64("root").alias("root"), F.explode("shingles").alias("shingle"))
         apart = single.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
-        able = single.join(apart, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-        able = able.join(nodes, "node").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("partner")))
+        able = single.join(apart, "shingle", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+        able = able.join(nodes.select("*", of_node), "id").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("partner")))
         able = stage(able.select("node"))
         left = stage(spread.join(able, "node", "left_semi"))
         settled = able.count() == nodes.count()
@@ -500,9 +502,26 @@ class EdgeSet:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near-duplicates: of each component the row with the smallest id (null last, then the first row) stays."""
-    docs, place = on_files(docs), free_name(docs, "row_key")
+    docs = on_files(docs)
     found = stage(near_duplicates(docs, id_col, text_col, length, percent))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = found.where("component_key IS NOT NULL").groupBy("component_key").agg(F.min_by("row_key", order).alias("first"))
-    gone = found.join(first, "component_key").where("row_key != first").select(F.col("row_key").alias(place))
-    return with_row_key(docs, place).join(gone, place, "left_anti").drop(place)
+    gone = found.join(first, "component_key").where("row_key != first").select("row_key.file", "row_key.row")
+    return without_rows(docs, gone)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``on_files``), with all their columns, but those whose place (file, row) is in ``gone``.
+
+    The places are broadcast as masks of 64 rows each, one bit a row: however many rows go, the others with their texts are
+    not shuffled to meet them.
+    """
+    place = free_name(docs, "row_key")
+    masked = free_name(docs, "masked")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row", F.lit(64)).cast("int"))
+    masks = gone.groupBy("file", F.shiftright("row", 6).alias("word")).agg(F.bit_or(bit).alias("mask"))
+    masks = masks.select(F.struct("file", "word", "mask").alias(masked))
+    file, row, mask = F.col(f"{place}.file"), F.col(f"{place}.row"), F.col(f"{masked}.mask")
+    here = (file == F.col(f"{masked}.file")) & (F.shiftright(row, 6) == F.col(f"{masked}.word"))
+    kept = mask.isNull() | (F.call_function("shiftright", mask, F.pmod(row, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 0)
+    return with_row_key(docs, place).join(F.broadcast(masks), here, "left").where(kept).drop(place, masked)

@@ -156,3 +156,24 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in [*range(41), 100]} | {i: 200 for i in (200, 201, 202)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_leave_by_place_without_a_shuffle_of_the_others(spark, tmp_path):
+    docs = spark.range(0, 1000, 1, 3).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS masked", "id AS row_key")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    keyed = near.with_row_key(docs, "place")
+    out = lambda ids: near.without_rows(docs, keyed.where(ids).select("place.file", "place.row"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for ids in ("doc_id % 64 = 63 OR doc_id % 7 = 0", "doc_id < 0", "doc_id >= 0"):
+            found = out(ids)
+            assert found.columns == docs.columns
+            assert sorted(found.collect()) == sorted(docs.where(f"NOT ({ids})").collect())
+        rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(200)]
+        whole = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert "SortMergeJoin" not in whole._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert sorted(r["doc_id"] for r in whole.collect()) == list(range(0, 200, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
