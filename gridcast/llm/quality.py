@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,16 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import small_batches
+from gridcast.llm.common import hash60, release, small_batches
+from gridcast.session import stage
 
-#: At most so many labelled documents are fitted on; where there are more labels, a hash of the id picks about so many.
-SAMPLE = 20_000
-#: Preference pairs drawn from the sample.
-PAIRS = 60_000
+#: Labelled documents of a block, about, and blocks at most: pairs are made inside blocks, and a step of the fit returns one set of sums a block.
+BLOCK, BLOCKS = 1000, 4096
+#: Documents of the rarer label a block should have; where there are fewer, each goes to several blocks.
+PARTNERS = 50
+#: Preference pairs of each document of the more frequent label.
+ROUNDS = 3
 #: Pull of the weights to zero.
 RIDGE = 1e-3
-#: The threshold is one of so many quantiles of the sample's scores.
-QUANTILES = 200
+#: Ids are filtered by a bit for each residue of their hash before features are made.
+RESIDUES = 1 << 24
+#: The threshold is one of so many quantiles of the labelled scores, which are counted in so many bins.
+QUANTILES, BINS = 200, 1 << 16
 
 _KINDS = np.zeros(256, dtype=np.uint8)
 _KINDS[list(range(0x61, 0x7B))] = 1
@@ -100,41 +105,94 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of w . (better - worse), by Newton steps."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
+def _pair_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs, slope and curvature of their logistic loss, in one row."""
+    p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+    return np.concatenate([[len(d)], d.T @ (p - 1), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], size: int, ridge: float, steps: int) -> np.ndarray:
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        slope = d.T @ (p - 1) / len(d) + ridge * w
+        found = sums(w)
+        n, slope, curve = found[0], found[1 : size + 1], found[size + 1 :].reshape(size, size)
+        slope = slope / n + ridge * w
         if np.abs(slope).max() < 1e-8:
             break
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(curve, slope)
+        w = w - np.linalg.solve(curve / n + ridge * np.eye(size), slope)
     return w
 
 
-def fit_ranking(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ranking:
-    """Learn from features and labels 0/1. Without both labels there is no preference: all scores are 0.5."""
-    if not len(x):
-        x = np.zeros((1, len(_NAMES)))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale[scale < 1e-9] = 1
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+def fit_pairs(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of w . (better - worse), by Newton steps."""
+    return _newton(lambda w: _pair_sums(better - worse, w), better.shape[1], ridge, steps)
+
+
+#: What a step does with one block: (features, labels, whether the row counts here) -> a row of numbers.
+Step = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _moments(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+    x, y = x[own], y[own]
+    middle = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+    return np.concatenate([[len(x), y.sum()], middle, ((x - middle) ** 2).sum(axis=0)])
+
+
+def _differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Good less bad, every row of a block in ``ROUNDS`` pairs at least: the rarer label is gone through in turn."""
+    good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
-        return Ranking(mean, scale, np.zeros(x.shape[1]), 0.0)
-    z = (x - mean) / scale
-    draw = np.random.default_rng(seed)
-    w = fit_pairs(z[draw.choice(good, pairs)], z[draw.choice(bad, pairs)])
-    scores = z @ w
-    levels = np.unique(np.quantile(scores, np.arange(1, QUANTILES) / QUANTILES))
-    order = np.sort(scores)
-    right = [float(((scores >= t) == (y == 1)).mean()) for t in levels]
-    best = [t for t, r in zip(levels, right, strict=True) if r == max(right)]
+        return np.zeros((0, x.shape[1]))
+    i = np.arange(max(len(good), len(bad)))
+    return np.concatenate([good[(i + r * (len(good) < len(bad))) % len(good)] - bad[(i + r * (len(good) >= len(bad))) % len(bad)] for r in range(ROUNDS)])
+
+
+def fit(each: Callable[[Step], list[np.ndarray]], added: Callable[[Step], np.ndarray]) -> Ranking:
+    """Learn from blocks of features and labels 0/1. Without both labels there is no preference: all scores are 0.5.
+
+    ``each`` gives the result of a step for every block, in a fixed order, so that sums come out the same each time; ``added`` the sum of whole
+    numbers over the blocks. Every block counts in every step: no row is left out.
+    """
+    size = len(_NAMES)
+    n, goods, mean, square = 0.0, 0.0, np.zeros(size), np.zeros(size)
+    for row in each(_moments):
+        m, middle = row[0], row[2 : size + 2]
+        if m:
+            gap = middle - mean
+            mean, square = mean + gap * m / (n + m), square + row[size + 2 :] + gap**2 * n * m / (n + m)
+            n, goods = n + m, goods + row[1]
+    scale = np.sqrt(square / max(n, 1))
+    scale[scale < 1e-9] = 1
+    if not goods or goods == n:
+        return Ranking(mean, scale, np.zeros(size), 0.0)
+    w = _newton(lambda w: np.sum(each(lambda x, y, own: _pair_sums(_differences((x - mean) / scale, y), w)), axis=0), size, RIDGE, 50)
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        return ((x - mean) / scale) @ w
+
+    ends = np.array(each(lambda x, y, own: np.array([scores(x[own]).min(), scores(x[own]).max()]) if own.any() else np.array([np.inf, -np.inf])))
+    low, high = ends[:, 0].min(), ends[:, 1].max()
+    width = (high - low) / (BINS - 1) or 1.0
+
+    def counted(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+        bins = np.clip(((scores(x[own]) - low) / width).astype(np.int64), 0, BINS - 1)
+        return np.concatenate([np.bincount(bins[y[own] == label], minlength=BINS) for label in (0, 1)])
+
+    bad, good = added(counted).reshape(2, BINS)
+    full = np.flatnonzero(bad + good)
+    below = np.concatenate([[0], np.cumsum((bad + good)[full])])[:-1]
+    right = np.concatenate([[0], np.cumsum(bad[full])])[:-1] + goods - np.concatenate([[0], np.cumsum(good[full])])[:-1]
+    levels = np.unique(np.searchsorted(below, np.arange(1, QUANTILES) / QUANTILES * (n - 1), side="right") - 1)
+    best = [i for i in levels if right[i] == right[levels].max()]
     at = best[len(best) // 2]
-    # in the middle of the gap below the quantile, so that no sampled score lies on the threshold
-    below = order[order < at]
-    return Ranking(mean, scale, w, float((at + below[-1]) / 2 if len(below) else at))
+    # in the middle of the empty bins below that of the quantile, so that no score lies on the threshold
+    return Ranking(mean, scale, w, float(low + width * ((full[at] + full[at - 1] + 1) / 2 if at else full[at])))
+
+
+def fit_ranking(x: np.ndarray, y: np.ndarray) -> Ranking:
+    """The same fit on features and labels that are one block."""
+    own = np.ones(len(x), dtype=bool)
+    return fit(lambda f: [f(x, y, own)], lambda f: f(x, y, own))
 
 
 def learnable(doc_id: Column) -> Column:
@@ -142,25 +200,66 @@ def learnable(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ranking:
-    """Fit on labelled documents that are not held out, about ``sample`` of them at most.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> Ranking:
+    """Fit on all labelled documents that are not held out; with ``sample``, on about so many of them at most.
 
     Rows without id, label or document are left out. Of several labels of an id the lower counts, of several
     texts the one with the least features.
+
+    Labelled features are dealt out by a hash of the id into blocks of bounded size, one row a block, and stay there: a step of the fit reads them
+    once, shuffles nothing and returns one row of sums a block.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").where(learnable(F.col("id")))
+    small_batches(docs.sparkSession)
+    usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IN (0, 1)").where(learnable(F.col("id")))
     usable = usable.groupBy("id").agg(F.min("quality").alias("quality"))
-    total = usable.count()
-    if total > sample:
+    if sample is not None and (total := usable.count()) > sample:
         # a 60-bit hash below the share: about ``sample`` rows, whatever the number of labels
         usable = usable.where(F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "id"), 4) < (sample << 60) // total)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = texts.join(F.broadcast(usable), "id").select("id", "quality", feature_column("text").alias("x"))
-    known = known.groupBy("id", "quality").agg(F.min("x").alias("x"))
-    rows = sorted((r["id"], r["quality"], tuple(r["x"])) for r in known.toLocalIterator())
-    return fit_ranking(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
+    usable = stage(usable)
+    # texts of most other documents leave by a filter of bounded size before their features are made; the join decides
+    residue = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(RESIDUES))
+    bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(r, F.lit(64)).cast("int"))
+    masks = usable.groupBy(F.shiftright(residue, 6).alias("word")).agg(F.bit_or(bit(residue)).alias("mask"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learnable(F.col("id"))).withColumn("word", F.shiftright(residue, 6))
+    found = texts.join(F.broadcast(masks), "word").where(F.col("mask").bitwiseAND(bit(residue)) != 0).select("id", feature_column("text").alias("x"))
+    known = stage(found.join(usable, "id").groupBy("id", "quality").agg(F.min("x").alias("x")))
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    blocks = max(1, min(BLOCKS, -(-sum(counts.values()) // BLOCK)))
+    rare = min((0, 1), key=lambda k: (counts.get(k, 0), k))
+    copies = min(blocks, -(-PARTNERS * blocks // max(1, counts.get(rare, 0))))
+    copy = F.explode(F.sequence(F.lit(0), F.when(F.col("quality") == rare, F.lit(copies - 1)).otherwise(F.lit(0))))
+    dealt = known.select("*", copy.alias("copy")).select("*", F.pmod(hash60(F.lit("block"), F.col("id")) + F.col("copy") * (blocks // copies), F.lit(blocks)).alias("block"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "copy", "quality", "x"))).alias("rows")
+    packed = dealt.groupBy("block").agg(rows).select("block", F.col("rows.quality").alias("y"), (F.transform("rows.copy", lambda c: c == 0)).alias("own"), F.flatten("rows.x").alias("x"))
+    packed = stage(packed)
+    release(known)
+    release(usable)
+
+    def arrays(batch: pd.DataFrame):
+        for block, y, own, x in zip(batch["block"], batch["y"], batch["own"], batch["x"], strict=True):
+            yield block, np.asarray(x, dtype=float).reshape(-1, len(_NAMES)), np.asarray(y, dtype=np.int64), np.asarray(own, dtype=bool)
+
+    def each(step: Step) -> list[np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame([(block, step(x, y, own)) for block, x, y, own in arrays(batch)], columns=["block", "v"])
+
+        return [np.array(r["v"]) for r in sorted(packed.mapInPandas(run, "block long, v array<double>").collect(), key=lambda r: r["block"])]
+
+    def added(step: Step) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = sum((step(x, y, own) for batch in batches for _, x, y, own in arrays(batch)), np.zeros(1, dtype=np.int64))
+            places = np.flatnonzero(total)
+            yield pd.DataFrame({"place": places, "v": total[places]})
+
+        out = np.zeros(2 * BINS)
+        for r in packed.mapInPandas(run, "place long, v long").groupBy("place").agg(F.sum("v").alias("v")).collect():
+            out[r["place"]] = r["v"]
+        return out
+
+    model = fit(each, added)
+    release(packed)
+    return model
 
 
 def score_column(text: Column, model: Ranking) -> Column:
@@ -175,12 +274,12 @@ def score_column(text: Column, model: Ranking) -> Column:
     return scored(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 if score >= 0.5, else 0).
 
     Bradley-Terry: of a pair of labelled documents, the good one is preferred; weights are learned by logistic
-    loss on the difference of features, and the acceptance threshold is the quantile of the sample's scores that
-    splits its labels best. The fit sees a bounded sample of labels; the scores cover every row and the
+    loss on the difference of features, and the acceptance threshold is the quantile of the labelled scores that
+    splits the labels best. Both see every usable label (``sample`` bounds them on request); the scores cover every row and the
     whole text in one pass without a shuffle. A null id is not held out. Rows of one text
     have one score. Without usable labels every score is 0.5. An empty table gives none. Other
     columns, whatever their names, are not read.
@@ -192,7 +291,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not rejected."""
     model = learn(docs, labels, id_col, text_col, sample)
     small_batches(docs.sparkSession)

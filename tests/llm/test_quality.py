@@ -88,3 +88,25 @@ def test_texts_without_words_share_a_score(spark, odd_docs):
     found = quality.score_documents(odd_docs.select("doc_id", "text").union(docs), more).collect()
     blank = {r["score"] for r, t in zip(found, odd_docs.select("text").collect()) if t["text"] is None or not t["text"].strip(" \t\n")}
     assert len(blank) == 1
+
+
+def test_every_label_counts(spark):
+    """25,000 labelled rows, of which one group is bad: a fit on a sample of 20,000 has other moments."""
+    docs = spark.range(0, 40000, 1, 4).selectExpr("id AS doc_id", "concat(repeat('a ', cast(id % 7 + 1 AS int)), 'w', id) AS text")
+    known = docs.selectExpr("doc_id", "cast(doc_id % 7 > 2 AS int) AS quality")
+    model = quality.learn(docs, known)
+    x = np.array([quality.features(f"{'a ' * (i % 7 + 1)}w{i}") for i in range(40000) if zlib.crc32(str(i).encode()) % 3 != 1])
+    assert len(x) > 25000
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-12, atol=1e-12)
+    assert np.allclose(model.scale[0], x.std(axis=0)[0], rtol=1e-9)
+    found = quality.score_documents(docs, known).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 7 > 2) for r in found)
+
+
+def test_a_rare_label_meets_every_block(spark):
+    docs = spark.range(0, 9000, 1, 4).selectExpr(
+        "id AS doc_id", "if(id % 1500 = 0, repeat('### ', 30), concat('word', id, ' and more')) AS text")
+    known = docs.selectExpr("doc_id", "cast(doc_id % 1500 != 0 AS int) AS quality")
+    model = quality.learn(docs, known)
+    bad, good = model.score(np.array([quality.features("### " * 30), quality.features("word7 and more")]))
+    assert bad < good - 0.3
