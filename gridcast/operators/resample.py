@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridcast import constants as K
+from gridcast.functions.draws import draw_index
 from gridcast.session import spread, stage
 
 _PREFIX = 3  # hex digits: 4096 evenly filled ranges of the hash, whatever the ids look like
@@ -197,3 +198,37 @@ def bootstrap_interval(
     )
     ends = [end.alias(f"{v}_{name}") for v in values for name, end in zip(("low", "high"), percentiles(F.col(f"_{v}"), percent), strict=True)]
     return whole.join(enough, groups, "left_semi").select(*groups, *ends)
+
+
+#: Rows of tens of bytes each that may be broadcast to their draws.
+LOOKED_UP = 1_000_000
+
+
+def drawn_interval(
+    scored: DataFrame,
+    key: str,
+    groups: Sequence[str],
+    values: Sequence[str],
+    resamples: int = K.BOOTSTRAP_RESAMPLES,
+    seed: int = K.SEED,
+    percent: tuple[float, float] = (2.5, 97.5),
+) -> DataFrame:
+    """Percentile interval of each value's mean, per group, over replicates of exactly as many rows drawn with replacement; groups under two samples have none.
+
+    Every row stands for one slot of every replicate and draws the position it is filled from. The drawn rows carry only the losses, and a
+    replicate is reduced to sums before it is shuffled. At most ``LOOKED_UP`` rows are broadcast to the draws; where there are more, the draws, rows
+    times replicates, are shuffled to meet them.
+    """
+    groups = list(groups)
+    # staged, as it is read on both sides of the join
+    placed = stage(shuffled_position(scored, key, seed, groups).where("n >= 2").select(*groups, "position", "n", *values))
+    slots = spread(placed, *groups, "position").select(
+        *groups, F.col("position").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")
+    )
+    draws = slots.select(*groups, "replicate", draw_index(F.col("n"), seed, F.col("replicate"), F.col("_slot")).alias("position"))
+    drawn = placed.drop("n")
+    drawn = F.broadcast(drawn) if drawn.count() <= LOOKED_UP else drawn
+    means = draws.join(drawn, [*groups, "position"]).groupBy(*groups, "replicate").agg(*[F.avg(v).alias(v) for v in values])
+    whole = means.groupBy(*groups).agg(*[F.collect_list(v).alias(f"_{v}") for v in values])
+    ends = [end.alias(f"{v}_{name}") for v in values for name, end in zip(("low", "high"), percentiles(F.col(f"_{v}"), percent), strict=True)]
+    return whole.select(*groups, *ends)

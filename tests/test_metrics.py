@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridcast import constants as K
 from gridcast.operators import metrics, resample
 
 SAMPLES = "game_id long, model string, season_year int, week int, p double, home_won int, is_tie boolean, reason string"
@@ -133,3 +134,16 @@ def test_many_groups_are_sent_in_parts(spark, monkeypatch):
     parts = metrics.metric_sets(df, [["game_id", "model"], ["week"]], resamples=R, seed=SEED).orderBy("grouping", "game_id", "week").collect()
     assert [shown(r)[:3] for r in whole] == [shown(r)[:3] for r in parts]
     assert [(r["brier_low"], r["log_loss_high"]) for r in parts] == [(r["brier_low"] and pytest.approx(r["brier_low"]), r["log_loss_high"] and pytest.approx(r["log_loss_high"])) for r in whole]
+
+
+def test_a_replicate_draws_as_many_rows_as_there_are(spark):
+    rows = [("m", i, float(i * i % 17)) for i in range(40)] + [("one", 99, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id long, x double").repartition(3)
+    places = sorted(range(40), key=lambda i: hashlib.md5(f"{K.SEED}|{i}".encode()).hexdigest())
+
+    def draw(replicate, slot):
+        return int(int(hashlib.md5(f"{K.SEED}|{replicate}|{slot}".encode()).hexdigest()[:13], 16) / 2**52 * 40)
+
+    means = sorted(sum(places[draw(r, s)] ** 2 % 17 for s in range(40)) / 40 for r in range(100))
+    found = resample.drawn_interval(df, "id", ["g"], ["x"], 100).collect()
+    assert [(r["g"], round(r["x_low"], 9), round(r["x_high"], 9)) for r in found] == [("m", round(means[1], 9), round(means[97], 9))]
