@@ -25,10 +25,12 @@ from gridcast.llm.common import free_name, small_batches
 
 #: The largest vocabulary file that is sent to the executors.
 VOCABULARY_BYTES = 64 << 20
-#: Encoded pre-tokens a worker remembers before it starts anew, and the longest that is worth remembering.
-REMEMBERED, SHORT = 400_000, 64
+#: Encoded pre-tokens a worker remembers, and the longest that is worth remembering.
+REMEMBERED, SHORT = 160_000, 64
 #: Bytes of pre-tokens that share a queue.
 TOGETHER = 1 << 15
+#: Characters of texts that are split at once; a longer text is split alone.
+AT_ONCE = 1 << 18
 
 _BITS = 8
 _WORD = 1 << _BITS
@@ -99,8 +101,8 @@ class Coder:
         words = [b""] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             words[rank] = word
-        self.words = pa.array(words, pa.binary())
         self.lengths = np.array([len(w) for w in words], dtype=np.int64)
+        self.words = _array(pa.binary(), len(words), _ends(self.lengths).astype(np.int32), b"".join(words))
         self.queue = RankQueue(len(words))
         self.twos = np.full(1 << 16, -1, dtype=np.int32)
         self.singles = np.full(1 << 8, -1, dtype=np.int32)
@@ -182,18 +184,34 @@ class Coder:
 
     def decode(self, ids: np.ndarray) -> tuple[pa.Buffer | bytes, np.ndarray]:
         """(bytes of all ids one after the other, where each begins and the last ends)."""
-        ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(self.lengths[ids])])
+        ends = _ends(self.lengths[ids])
         if not len(ids):
             return b"", ends
-        return self.words.take(pa.array(ids)).buffers()[2], ends
+        return self.words.take(_array(pa.int32(), len(ids), ids.astype(np.int32, copy=False))).buffers()[2], ends
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where each of parts of these sizes, one after the other, begins, and where the last ends."""
+    return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+def _array(kind: pa.DataType, n: int, *buffers) -> pa.Array:
+    """An array without nulls on ``buffers`` as they are. ``pa.array`` would load pandas, 40 MB in every worker."""
+    return pa.Array.from_buffers(kind, n, [None, *map(pa.py_buffer, buffers)])
+
+
+def _numbers(column: pa.Array, kind: type = np.int32) -> np.ndarray:
+    """The numbers of a column without nulls, where they are."""
+    return np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column)] if len(column) else np.zeros(0, dtype=kind)
 
 
 class _Known(dict):
-    """Packed ids by pre-token. Emptied when full, so its size is bounded."""
+    """Packed ids by pre-token, in two generations: when half full, the older one goes and this one becomes it, so the size is bounded and frequent ones stay."""
 
     def __init__(self, coder: Coder):
         super().__init__()
         self.coder = coder
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the ``words`` that are not known, about ``TOGETHER`` bytes at a time, in one queue each."""
@@ -215,10 +233,13 @@ class _Known(dict):
 
     def packed(self, pieces: list[list[str]]) -> list[bytes]:
         """For each text its pre-tokens' ids, one after the other."""
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
         unknown = set(chain.from_iterable(pieces)).difference(self)
-        self.learn(unknown)
+        again = unknown.intersection(self.older)
+        self.update((word, self.older[word]) for word in again)
+        self.learn(unknown.difference(again))
         out = [b"".join(map(self.__getitem__, found)) for found in pieces]
         for word in unknown:
             if len(word) > SHORT:
@@ -245,7 +266,14 @@ def encoder(vocabulary: bytes, pattern: str) -> Callable[[list[str | None]], lis
     split = (lambda t: [m.group() for m in found.finditer(t)]) if found.groups else found.findall
 
     def encoded(texts: list[str | None]) -> list[bytes]:
-        return known.packed([split(t) if t else [] for t in texts])
+        out, part, size = [], [], 0
+        for text in texts:
+            part.append(split(text) if text else [])
+            size += len(text or "")
+            if size >= AT_ONCE:
+                out += known.packed(part)
+                part, size = [], 0
+        return out + known.packed(part)
 
     return encoded
 
@@ -276,9 +304,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         encoded = encoder(shared.value, pattern)
         for batch in batches:
             packed = encoded(batch.column(at).to_pylist())
-            ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum([len(ids) // 4 for ids in packed], dtype=np.int64)])
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+            ends = _ends([len(ids) // 4 for ids in packed])
+            values = _array(pa.int32(), int(ends[-1]), b"".join(packed))
+            made = pa.ListArray.from_arrays(_array(pa.int32(), len(ends), ends.astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
@@ -290,11 +318,10 @@ def decoded(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def joined(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        sizes = np.asarray(column.value_lengths().fill_null(0))
+        flat, sizes = _numbers(column.flatten()), _numbers(column.value_lengths().fill_null(0))
         data, ends = _coder(shared.value).decode(flat)
-        places = ends[np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes, dtype=np.int64)])]
-        nulls = column.is_valid().cast(pa.uint8()).to_numpy(zero_copy_only=False)
+        places = ends[_ends(sizes)]
+        nulls = _numbers(column.is_valid().cast(pa.uint8()), np.uint8)
         valid = pa.py_buffer(np.packbits(nulls, bitorder="little").tobytes())
         return pa.Array.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(data)])
 

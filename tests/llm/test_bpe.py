@@ -1,5 +1,8 @@
 import base64
+import os
 import random
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -131,3 +134,28 @@ def test_vocabulary_is_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bpe, "VOCABULARY_BYTES", 3)
     with pytest.raises(ValueError, match="more than 3 bytes"):
         bpe.load_vocabulary(spark, str(file))
+
+
+def test_a_worker_loads_no_pandas_and_splits_a_part_of_a_batch_at_once(ranks, monkeypatch):
+    job = f"""
+import sys, public_tokenizers as P
+from gridcast.llm import bpe
+run = bpe.encoder(open(P.path({FILE!r}), "rb").read(), P.PATTERN)
+print(len(run(["a b c", None])), "pandas" in sys.modules)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", job], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True)
+    assert done.stdout == "2 False\n", done.stderr
+    parts = []
+    monkeypatch.setattr(bpe._Known, "packed", lambda self, pieces: parts.append(len(pieces)) or [b""] * len(pieces))
+    assert len(bpe.encoder(b"YQ== 0", ".")(["a" * bpe.AT_ONCE, "a", None, "a" * bpe.AT_ONCE])) == 4
+    assert parts == [1, 3, 0]
+
+
+def test_frequent_pretokens_are_kept_when_others_go(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    known, learned = bpe._Known(bpe.Coder(ranks)), []
+    monkeypatch.setattr(known, "learn", lambda words, learn=known.learn: learned.extend(words := sorted(words)) or learn(words))
+    for at in range(40):
+        known.packed([["frequentzz", *[f"qx{at}w{i}" for i in range(5)]]])
+    assert learned.count("frequentzz") == 1
