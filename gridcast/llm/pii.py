@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import partial
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm.common import hash60
@@ -44,9 +45,11 @@ HINTS = r"(?i)(?:mail|contact|card|visa|call|phone|tel|mobile|fax|host|server|ip
 #: Characters around a span that are looked at.
 CONTEXT = 16
 
-#: Candidates to fit on, at most about so many; a hash of the document picks them where there are more.
-SAMPLE = 40_000
+#: Different candidates, each with its number, that one task of the fit holds.
+FIT_ROWS = 50_000
 TREES, DEPTH = 20, 3
+#: A leaf stands for so many candidates at least, and a feature is cut at all places between its values up to so many different candidates.
+LEAF, BINS = 5, (32, 4096)
 #: A threshold is the least score from which at least this share of held-out candidates are confirmed.
 PRECISION = 0.95
 #: The share of a kind counts so many candidates of the mean of all kinds above the same score beside its own, so a kind with few held-out candidates has a threshold too.
@@ -231,27 +234,31 @@ def _nested(node):
     return split.featureIndex(), float(split.threshold()), _nested(node.leftChild()), _nested(node.rightChild())
 
 
-def fit_trees(candidates: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Boosted trees on candidates (FEATURES, confirmed, fold), two folds of three to fit and one to set thresholds.
+def fit_trees(candidates: DataFrame) -> Trees | None:
+    """Boosted trees on all candidates (FEATURES, confirmed, fold), two folds of three to fit and one to set thresholds.
 
-    Without confirmed and other candidates in the fitting folds there is nothing to learn: no model.
+    Candidates with the same features and label are one row with their number as its weight, which takes far fewer rows than there
+    are candidates. Without confirmed and other candidates in the fitting folds there is nothing to learn: no model.
     """
-    total = candidates.count()
-    if total > sample:
-        candidates = candidates.where(F.col("h") < int((1 << 60) * sample / total))
-    known = stage(candidates)
     names = [f for f in FEATURES]
-    known = VectorAssembler(inputCols=names, outputCol="x").transform(known)
-    fitting = known.where("fold != 0").withColumn("y", F.col("confirmed").cast("double"))
-    if fitting.select("confirmed").distinct().count() < 2:
+    known = stage(candidates.groupBy(*names, "confirmed", (F.col("fold") == 0).alias("held_out")).agg(F.count(F.lit(1)).alias("n")))
+    total = known.where("not held_out").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.count_distinct("confirmed").alias("sorts")).first()
+    if total["sorts"] < 2:
         return None
-    # one order and one partition of a bounded sample: the sums, and so the trees, come out the same each time
-    fitting = fitting.select("x", "y").coalesce(1)
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(fitting)
+    known = VectorAssembler(inputCols=names, outputCol="x").transform(known)
+    # tasks are dealt and ordered by value: in a single one the sums, and so the trees, come out the same each time
+    tasks = -(-total["rows"] // FIT_ROWS)
+    fitting = known.where("not held_out").withColumn("y", F.col("confirmed").cast("double"))
+    fitting = fitting.repartition(tasks, F.xxhash64(*names)).sortWithinPartitions(*names, "confirmed").select("x", "y", F.col("n").cast("double").alias("n"))
+    # cuts are looked for among as many rows as the square of the bins: with as many as this, among all
+    bins = min(max(math.isqrt(total["rows"]) + 1, BINS[0]), BINS[1])
+    model = GBTClassifier(
+        featuresCol="x", labelCol="y", weightCol="n", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, minWeightFractionPerNode=min(LEAF / total["n"], 0.49), seed=1
+    ).fit(fitting)
     java = model._java_obj
     trees = Trees(tuple(_nested(t.rootNode()) for t in java.trees()), tuple(float(w) for w in java.treeWeights()), {})
-    scored = known.where("fold = 0").select("kind", "confirmed", F.round(trees.margin({f: F.col(f) for f in names}), 2).alias("m"))
-    counts = scored.groupBy("kind", "m").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("confirmed").cast("int")).alias("good")).collect()
+    scored = known.where("held_out").select("kind", "confirmed", "n", F.round(trees.margin({f: F.col(f) for f in names}), 2).alias("m"))
+    counts = scored.groupBy("kind", "m").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("confirmed"), F.col("n")).otherwise(0)).alias("good")).collect()
     thresholds = {}
     for kind in {r["kind"] for r in counts}:
         n = good = 0
@@ -266,11 +273,11 @@ def fit_trees(candidates: DataFrame, sample: int = SAMPLE) -> Trees | None:
     return Trees(trees.trees, trees.weights, thresholds)
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, base, added, spans (arrays of struct(kind, start, stop), code points, stop exclusive).
 
     ``base`` are the matches of the four patterns that pass their check, sorted by kind, then start. Generators propose wide,
-    overlapping candidates; boosted trees score them by context and by form after ``undone``; they are fitted on whether the base confirms a
+    overlapping candidates; boosted trees score them by context and by form after ``undone``; they are fitted on all of them, on whether the base confirms a
     candidate as it stands or undone (never seeing the document's id or other columns), and a threshold per kind is set on held-out documents so that at least 95 % of what passes is
     confirmed (the mean of all kinds counts like ``PRIOR`` more candidates of each, so there is one rule for few and many). What passes and overlaps no base span is ``added``, the best first where such candidates
     overlap. ``spans`` are both, sorted alike.
@@ -289,14 +296,30 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     proposed = F.concat(*[F.transform(spans_of(g), partial(candidate_features, k)) for g, (_, kinds) in GENERATORS.items() for k in kinds])
     rows = stage(placed.select("doc_id", base.alias("base"), proposed.alias("proposed")))
 
-    h = hash60(F.lit("pii"), F.col("doc_id"))
-    single = rows.where(F.size("proposed") > 0).select(h.alias("h"), "base", F.explode("proposed").alias("c"))
-    candidates = single.select("h", F.pmod("h", F.lit(3)).alias("fold"), (overlaps(F.col("c"), F.col("base"), same_kind=True) | F.col("c.disguised")).alias("confirmed"), "c.*")
-    trees = fit_trees(candidates, sample)
+    trees = fit_trees(labelled(rows))
     found = rows.select("doc_id", "base", added_spans(trees).alias("added"))
     return found.select("*", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """The proposed candidates one by one: FEATURES, fold, and whether a base span of their kind overlaps them or they are one once undone.
+
+    Base spans of a kind do not overlap each other, so of those that start before a candidate's end the last reaches furthest. A window
+    over both finds it; looking through all base spans for each candidate would be quadratic in a text's matches.
+    """
+    h = hash60(F.lit("pii"), F.col("doc_id"))
+    names = [f for f in FEATURES if f != "kind"]
+    mine = F.transform("proposed", lambda c: F.struct(c["kind"].alias("kind"), c["stop"].alias("at"), F.lit(None).cast("int").alias("reaches"), c.alias("c")))
+    none = F.lit(None).cast(rows.schema["proposed"].dataType.elementType)
+    others = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("at"), b["stop"].alias("reaches"), none.alias("c")))
+    single = rows.where(F.size("proposed") > 0).select(F.monotonically_increasing_id().alias("row"), F.pmod(h, F.lit(3)).alias("fold"), F.concat(mine, others).alias("both"))
+    single = single.select("row", "fold", F.inline("both"))
+    # at one place the candidate comes first: a span that starts where it ends does not overlap it
+    before = Window.partitionBy("row", "kind").orderBy("at", F.col("reaches").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = single.withColumn("furthest", F.last("reaches", ignorenulls=True).over(before)).where("c IS NOT NULL")
+    return found.select("fold", (F.coalesce(F.col("furthest") > F.col("c.start"), F.lit(False)) | F.col("c.disguised")).alias("confirmed"), "kind", *[F.col(f"c.{f}").alias(f) for f in names])
+
+
 def added_spans(trees: Trees | None) -> Column:
     """Candidates that reach their threshold and overlap neither a base span nor a better candidate."""
     none = F.array().cast(f"array<{SPAN}>")
