@@ -286,12 +286,16 @@ UNION ALL SELECT DISTINCT ON (event_id) '', '', NULL, NULL, 'events' FROM book_o
 def _(t: Tables) -> DataFrame:
     outcome = lambda name, price: F.struct(F.lit(name).alias("name"), price.alias("price"))
     none = F.lit(None).cast("double")
-    away = F.when(F.col("book") % 10 != 0, F.col("away_decimal_odds")).otherwise(none)
-    market = F.struct(F.lit("h2h").alias("key"), F.array(outcome("Home", F.col("home_decimal_odds")), outcome("Away", away)).alias("outcomes"))
-    other = F.struct(F.lit("spread").alias("key"), F.array(outcome("Home", F.lit(1.01))).alias("outcomes"))
-    book = F.struct(text("book").alias("key"), F.array(market, other).alias("markets"))
-    # one payload per event with all its books; every thirteenth payload is cut short
-    books = t.book_odds().groupBy("event_id").agg(F.collect_list(book).alias("books"))
+
+    def bookmaker(b: Column) -> Column:
+        away = F.when(b["book"] % 10 != 0, b["away_decimal_odds"]).otherwise(none)
+        market = F.struct(F.lit("h2h").alias("key"), F.array(outcome("Home", b["home_decimal_odds"]), outcome("Away", away)).alias("outcomes"))
+        other = F.struct(F.lit("spread").alias("key"), F.array(outcome("Home", F.lit(1.01))).alias("outcomes"))
+        return F.struct(text(b["book"]).alias("key"), F.array(market, other).alias("markets"))
+
+    # one payload per event with all its books, of which only the numbers are shuffled; every thirteenth payload is cut short
+    numbers = F.collect_list(F.struct("book", "home_decimal_odds", "away_decimal_odds"))
+    books = t.book_odds().groupBy("event_id").agg(numbers.alias("numbers")).select("event_id", F.transform("numbers", bookmaker).alias("books"))
     event = F.struct(
         text("event_id").alias("id"), F.lit("Home").alias("home_team"), F.lit("Away").alias("away_team"),
         F.lit("2024-01-01T00:00:00Z").alias("commence_time"), F.col("books").alias("bookmakers"))

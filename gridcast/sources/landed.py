@@ -282,17 +282,20 @@ def book_odds(snapshots: DataFrame) -> DataFrame:
 
     A payload that is no list of events is one row with that problem. An event without books has no row.
     """
-    parsed = snapshots.select(F.from_json("payload", S.ODDS).alias("_p")).withColumn("_none", F.col("_p").isNull())
-    events = parsed.select("_none", F.explode_outer("_p").alias("_e"), F.size("_p").alias("_n")).filter("_none OR _n > 0")
-    books = events.select("_none", "_e", F.explode_outer("_e.bookmakers").alias("_b")).filter("_none OR _b IS NOT NULL")
+    # each list is used in one place, so a payload is parsed once, and no row carries the books of its event
+    listed_events = F.transform(F.from_json("payload", S.ODDS), lambda e: F.struct(F.lit(False).alias("_none"), e.alias("_e")))
+    unread = F.array(F.struct(F.lit(True).alias("_none"), F.lit(None).cast(S.ODDS.removeprefix("array<")[:-1]).alias("_e")))
+    events = snapshots.select(F.inline(F.coalesce(listed_events, unread)))
+    books = events.select("_none", *[F.col(f"_e.{c}").alias(c) for c in ("id", "home_team", "away_team", "commence_time")], F.explode_outer("_e.bookmakers").alias("_b"))
+    books = books.filter("_none OR _b IS NOT NULL")
     outcomes = F.get(F.col("_b.markets"), F.lit(0))["outcomes"]
-    home = F.col("_e.home_team")
+    home = F.col("home_team")
     last = lambda a: F.try_element_at(a, F.lit(-1))["price"]
     rows = books.select(
-        F.coalesce("_e.id", F.lit("")).alias("event_id"),
+        F.coalesce("id", F.lit("")).alias("event_id"),
         home.alias("home_team"),
-        F.coalesce("_e.away_team", F.lit("")).alias("away_team"),
-        utc(F.col("_e.commence_time")).alias("commence_time"),
+        F.coalesce("away_team", F.lit("")).alias("away_team"),
+        utc(F.col("commence_time")).alias("commence_time"),
         F.coalesce("_b.key", F.lit("")).alias("book"),
         last(F.filter(outcomes, lambda o: o["name"] == home)).alias("home_decimal_odds"),
         last(F.filter(outcomes, lambda o: ~F.coalesce(o["name"] == home, F.lit(False)))).alias("away_decimal_odds"),
