@@ -4,7 +4,7 @@ The pairs of neighbouring pieces that may be merged wait in one bucket per rank.
 second bitmap which words of the first are not zero, and so on up to a single word; the next rank is found by taking the lowest
 set bit of a word on each level. A merge changes two neighbours, which are put into the buckets of their new ranks; their old entries stay where
 they are and are skipped when their bucket is opened. So a pre-token of n bytes costs about n steps, however long it is. Short ones go
-through one queue together, as it makes no difference to them.
+through one queue together, as it makes no difference to them, and a bucket of many positions is merged with array operations.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -26,11 +26,13 @@ from gridcast.llm.common import free_name, small_batches
 #: The largest vocabulary file that is sent to the executors.
 VOCABULARY_BYTES = 64 << 20
 #: Encoded pre-tokens a worker remembers, and the longest that is worth remembering.
-REMEMBERED, SHORT = 160_000, 64
+REMEMBERED, SHORT = 400_000, 64
 #: Bytes of pre-tokens that share a queue.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 19
 #: Characters of texts that are split at once; a longer text is split alone.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 21
+#: Positions from which on a bucket is merged with array operations, how many of them at once, and the longest words of a vocabulary for which that is prepared.
+MANY, STEP, LONGEST = 24, 1 << 16, 256
 
 _BITS = 8
 _WORD = 1 << _BITS
@@ -111,6 +113,42 @@ class Coder:
                 self.twos[word[0] << 8 | word[1]] = rank
             elif len(word) == 1:
                 self.singles[word[0]] = rank
+        self.scratch = np.full(len(words), -1, dtype=np.int32)
+
+    @cached_property
+    def partners(self) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        """For words on the left of a pair, then on the right: where the row of each begins, the words that make a word with it, and the ranks of those.
+
+        Empty for a vocabulary with very long words or with two of one rank.
+        """
+        if self.lengths.max(initial=0) > LONGEST or len(set(self.ranks.values())) < len(self.ranks):
+            return []
+        find, lefts, rights, made = self.ranks.get, array("i"), array("i"), array("i")
+        for word, rank in self.ranks.items():
+            for cut in range(1, len(word)):
+                left = find(word[:cut])
+                if left is not None and (right := find(word[cut:])) is not None:
+                    lefts.append(left)
+                    rights.append(right)
+                    made.append(rank)
+        sides = [np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, dtype=np.int32) for x in (lefts, rights)]
+        made = np.array(made, dtype=np.int32)
+        out = []
+        for own, other in (sides, sides[::-1]):
+            order = np.argsort(own, kind="stable")
+            out.append((_ends(np.bincount(own, minlength=len(self.lengths))).tolist(), other[order].astype(np.int64), made[order]))
+        return out
+
+    def _found(self, side: int, rank: int, others: np.ndarray) -> np.ndarray:
+        """The ranks of the words that ``rank`` on this side (0: left) makes with each of ``others``, -1 where there is none."""
+        rows, words, made = self.partners[side]
+        row = slice(rows[rank], rows[rank + 1])
+        if row.start == row.stop:
+            return np.full(len(others), -1, dtype=np.int32)
+        self.scratch[words[row]] = made[row]
+        found = self.scratch[others]
+        self.scratch[words[row]] = -1
+        return found
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each pre-token, packed as 32-bit integers.
@@ -124,11 +162,15 @@ class Coder:
         starts = list(accumulate(map(len, pieces), initial=0))
         for i in starts:
             edge[i] = 1
-        after, before, paired, token = self._linked(data, edge)
+        after, before, paired, token = links = self._linked(data, edge)
+        views = [np.frombuffer(edge, dtype=np.uint8), *[np.frombuffer(x, dtype=np.int32) for x in links]] if n else []
+        many = MANY if n and self.partners and views[-1].min() >= 0 else n + 1
         queue = self.queue
         buckets, put = queue.buckets, queue.put
         while (rank := queue.least()) >= 0:
             waiting, lower = queue.take(rank), False
+            if len(waiting) >= many and all(self._merged(rank, waiting[k : k + STEP], *views) for k in range(0, len(waiting), STEP)):
+                continue
             for done, i in enumerate(waiting, 1):
                 if paired[i] != rank:
                     continue  # stale
@@ -168,19 +210,65 @@ class Coder:
         packed, bounds = token[token >= 0].tobytes(), alive.tolist()
         return [packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _linked(self, data: bytes, edge: bytearray) -> tuple:
+    def _merged(self, rank: int, waiting: list[int], edge: np.ndarray, after: np.ndarray, before: np.ndarray, paired: np.ndarray, token: np.ndarray) -> bool:
+        """Merge these positions of a bucket at once; False, and nothing changed, if a pair of a lower rank would come up on the way."""
+        i = np.array(waiting, dtype=np.int64)
+        i = i[paired[i] == rank]
+        if not len(i):
+            return True
+        gone = after[i]
+        touching = gone[:-1] == i[1:]
+        if touching.any():  # of a run such as aaaa every second, from the left
+            places = np.arange(len(i))
+            firsts = np.maximum.accumulate(np.where(np.concatenate([[False], touching]), 0, places))
+            kept = (places - firsts) % 2 == 0
+            i, gone = i[kept], gone[kept]
+        end = after[gone]
+        right = edge[end] == 0
+        heads, ends = i[right], end[right]
+        # A merged neighbour on the left counts, one on the right does not, as it is merged later: its pair with this one is its left pair.
+        left = before[i]
+        next_to = np.flatnonzero(end[:-1] == i[1:])
+        left[next_to + 1] = i[next_to]
+        lefts = token[left]
+        lefts[next_to + 1] = rank
+        inner = edge[i] == 0
+        left, lefts = left[inner], lefts[inner]
+        found = np.concatenate([self._found(0, rank, token[ends]), self._found(1, rank, lefts)])
+        places = np.concatenate([heads, left])
+        some = np.flatnonzero(found >= 0)
+        ranks = found[some]
+        if len(some) and ranks.min() < rank:
+            return False
+        after[i] = end
+        before[ends] = heads
+        token[i] = rank
+        token[gone] = paired[gone] = paired[i] = -1
+        paired[heads] = found[: len(heads)]
+        paired[left] = found[len(heads) :]
+        if len(some):
+            self._put(ranks, places[some])
+        return True
+
+    def _put(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        """Put the ``places`` into the buckets of their ``ranks``."""
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order].tolist()
+        firsts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(places)]
+        for rank, a, b in zip(ranks[firsts[:-1]].tolist(), firsts, firsts[1:], strict=False):
+            self.queue.put_all(rank, places[a:b])
+
+    def _linked(self, data: bytes, edge: bytearray) -> tuple[array, array, array, array]:
         """The list of single bytes: after, before, the rank under which each waits (-1: none) and its id (-1: merged away); fills the queue."""
         n = len(data)
-        made = list if n <= 2 * TOGETHER else lambda numbers: array("i", numbers)  # a list is faster, an array takes a tenth of its memory
         flat = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
         ranks = np.full(n, -1, dtype=np.int32)
         ranks[:-1] = np.where(np.frombuffer(edge, dtype=np.uint8)[1:n], -1, self.twos[flat[:-1] << 8 | flat[1:]]) if n > 1 else ranks[:-1]
         places = np.flatnonzero(ranks >= 0)
-        places = places[np.argsort(ranks[places], kind="stable")]
-        found, firsts = np.unique(ranks[places], return_index=True)
-        for rank, part in zip(found.tolist(), np.split(places, firsts[1:]), strict=False):
-            self.queue.put_all(rank, part.tolist())
-        return made(range(1, n + 1)), made(range(-1, n - 1)), made(ranks.tolist()), made(self.singles[flat].tolist())
+        if len(places):
+            self._put(ranks[places], places)
+        steps = np.arange(-1, n + 1, dtype=np.int32)
+        return tuple(array("i", numbers.tobytes()) for numbers in (steps[2:], steps[:-2], ranks, self.singles[flat]))
 
     def decode(self, ids: np.ndarray) -> tuple[pa.Buffer | bytes, np.ndarray]:
         """(bytes of all ids one after the other, where each begins and the last ends)."""
@@ -206,45 +294,77 @@ def _numbers(column: pa.Array, kind: type = np.int32) -> np.ndarray:
 
 
 class _Known(dict):
-    """Packed ids by pre-token, in two generations: when half full, the older one goes and this one becomes it, so the size is bounded and frequent ones stay."""
+    """Numbers by pre-token, and the ids of each number. Above ``REMEMBERED`` only the most used half stays, so the size is bounded."""
 
     def __init__(self, coder: Coder):
         super().__init__()
         self.coder = coder
-        self.older: dict[str, bytes] = {}
+        self.fresh: list[str] = []
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.begins, self.sizes, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.begins) + len(self.fresh)
+        self.fresh.append(word)
+        return number
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the ``words`` that are not known, about ``TOGETHER`` bytes at a time, in one queue each."""
-        ranks, names, pieces, size = self.coder.ranks, [], [], 0
+        """Encode the ``words``, which have numbers but no ids yet, about ``TOGETHER`` bytes at a time, in one queue each."""
+        ranks, whole, names, pieces, size = self.coder.ranks, {}, [], [], 0
+        parts: list[tuple[list[int], list[bytes]]] = []
         for word in words:
             piece = word.encode("utf-8", "surrogatepass")
-            whole = ranks.get(piece)
-            if whole is not None:
-                self[word] = array("i", [whole]).tobytes()
+            rank = ranks.get(piece)
+            if rank is not None:
+                whole[self[word]] = array("i", [rank]).tobytes()
                 continue
-            names.append(word)
+            names.append(self[word])
             pieces.append(piece)
             size += len(piece)
             if size >= TOGETHER:
-                self.update(zip(names, self.coder.encode(pieces), strict=True))
+                parts.append((names, self.coder.encode(pieces)))
                 names, pieces, size = [], [], 0
-        if pieces:
-            self.update(zip(names, self.coder.encode(pieces), strict=True))
+        parts += [(names, self.coder.encode(pieces)), (list(whole), list(whole.values()))]
+        numbers = np.array(list(chain.from_iterable(names for names, _ in parts)), dtype=np.int64)
+        packed = list(chain.from_iterable(found for _, found in parts))
+        ends = len(self.ids) + _ends(np.array([len(ids) // 4 for ids in packed], dtype=np.int64))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), dtype=np.int32)])
+        more = np.zeros(len(numbers), dtype=np.int64)
+        self.begins, self.sizes, self.uses = (np.concatenate([x, more]) for x in (self.begins, self.sizes, self.uses))
+        self.begins[numbers], self.sizes[numbers] = ends[:-1], np.diff(ends)
 
     def packed(self, pieces: list[list[str]]) -> list[bytes]:
         """For each text its pre-tokens' ids, one after the other."""
-        if len(self) > REMEMBERED // 2:
-            self.older = dict(self)
-            self.clear()
-        unknown = set(chain.from_iterable(pieces)).difference(self)
-        again = unknown.intersection(self.older)
-        self.update((word, self.older[word]) for word in again)
-        self.learn(unknown.difference(again))
-        out = [b"".join(map(self.__getitem__, found)) for found in pieces]
-        for word in unknown:
+        if max(len(self.begins), len(self.ids) // 16) > REMEMBERED:
+            self._forget()
+        counts = [len(found) for found in pieces]
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=sum(counts))
+        fresh, self.fresh = self.fresh, []
+        if fresh:
+            self.learn(fresh)
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        flat, ends = self._taken(numbers)
+        packed, bounds = flat.tobytes(), (ends[_ends(np.array(counts, dtype=np.int64))] * 4).tolist()
+        for word in fresh:
             if len(word) > SHORT:
                 del self[word]
-        return out
+        return [packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these numbers, one after the other, where those of each begin and the last end)."""
+        sizes = self.sizes[numbers]
+        ends = _ends(sizes)
+        return self.ids[np.repeat(self.begins[numbers] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+    def _forget(self) -> None:
+        """Keep the most used half, of equally used ones the later; uses count half from now on."""
+        words, numbers = list(self), np.fromiter(self.values(), dtype=np.int64, count=len(self))
+        kept = np.sort(np.argsort(self.uses[numbers], kind="stable")[-max(1, REMEMBERED // 2) :])
+        numbers = numbers[kept]
+        self.ids, ends = self._taken(numbers)
+        self.begins, self.sizes, self.uses = ends[:-1], np.diff(ends), self.uses[numbers] // 2
+        self.clear()
+        self.update((words[k], number) for number, k in enumerate(kept.tolist()))
 
 
 def read_ranks(vocabulary: bytes) -> dict[bytes, int]:

@@ -159,3 +159,49 @@ def test_frequent_pretokens_are_kept_when_others_go(ranks, monkeypatch):
     for at in range(40):
         known.packed([["frequentzz", *[f"qx{at}w{i}" for i in range(5)]]])
     assert learned.count("frequentzz") == 1
+
+
+def test_buckets_merged_at_once_match_plain_merging(monkeypatch):
+    """Buckets of every size, in vocabularies in which a longer word may rank before its parts; also words too long to prepare for."""
+    for many, step, longest in ((1, 1 << 16, 256), (1, 7, 256), (5, 40, 256), (24, 1 << 16, 256), (1, 1 << 16, 4)):
+        monkeypatch.setattr(bpe, "MANY", many)
+        monkeypatch.setattr(bpe, "STEP", step)
+        monkeypatch.setattr(bpe, "LONGEST", longest)
+        for seed in range(20):
+            chance = random.Random(seed)
+            words = {bytes([c]) for c in b"abc"} | {bytes(chance.choices(b"abc", k=chance.randint(2, 6))) for _ in range(60)}
+            order = sorted(words, key=lambda w: (len(w) if seed % 2 else 0, chance.random()))
+            ranks = {word: rank for rank, word in enumerate(order)}
+            coder = bpe.Coder(ranks)
+            pieces = [bytes(chance.choices(b"abc", weights=(chance.choice((1, 6)), 1, 1), k=chance.randint(1, 40))) for _ in range(150)]
+            assert [numbers_of(ids) for ids in coder.encode(pieces)] == [plain(ranks, piece) for piece in pieces]
+            assert not any(map(any, coder.queue.levels)) and not coder.queue.buckets
+
+
+def test_rare_pretokens_cost_few_lookups(ranks):
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *args):
+            Counted.lookups += 1
+            return super().get(*args)
+
+    parts = "an en er in on re st th ou ing tion ble sh ly ed wh ha at".split()
+    chance = random.Random(3)
+    words = sorted({" " + "".join(chance.choices(parts, k=4)) for _ in range(20_000)})
+    coder = bpe.Coder(Counted(ranks))
+    coder.encode([b"ab" * 50])
+    Counted.lookups = 0
+    pieces = [word.encode() for word in words]
+    found = coder.encode(pieces)
+    assert Counted.lookups < 2 * len(words)
+    assert [numbers_of(ids) for ids in found[::50]] == [plain(ranks, piece) for piece in pieces[::50]]
+
+
+def test_long_pretokens_are_not_remembered(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    known = bpe._Known(bpe.Coder(ranks))
+    for at in range(30):
+        text = ["short", "qx" * 100 + str(at), "short"]
+        assert numbers_of(known.packed([text, []])[0]) == [i for word in text for i in plain(ranks, word.encode())]
+        assert list(known) == ["short"] and len(known.ids) < 16 * 20 + 300
