@@ -1,7 +1,7 @@
 """Seeded samples and bootstrap intervals that do not depend on partitioning.
 
-The bootstrap is the one place of the library, the corpus operators aside, that leaves column expressions: adding up arrays of a thousand weights
-is not among them, and as one record for each row and replicate it took a hundred times as long.
+Bootstraps and season trials are the places of the library, the corpus operators aside, that leave column expressions: adding up arrays of a thousand
+weights is not among them, and as one record for each row and replicate it took a hundred times as long.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridcast import constants as K
-from gridcast.functions.draws import draw_index
+from gridcast.functions.draws import Draws
 from gridcast.session import spread, stage
 
 _PREFIX = 3  # hex digits: 4096 evenly filled ranges of the hash, whatever the ids look like
@@ -200,8 +201,87 @@ def bootstrap_interval(
     return whole.join(enough, groups, "left_semi").select(*groups, *ends)
 
 
-#: Rows of tens of bytes each that may be broadcast to their draws.
-LOOKED_UP = 1_000_000
+#: Rows a task of :func:`drawn_interval` holds to look draws up in: up to twice as many, as pieces of groups are kept whole.
+HELD = 8_000_000
+
+
+def _drawn(columns: Sequence[str], values: Sequence[str], edges: Sequence[int], seed: int, schema: pa.Schema):
+    """mapInArrow: over the rows of a block of positions, for each group with rows in it and each replicate of the share ``_share`` the number and sum of the values drawn there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # per group: its number of rows, the positions held here and their values
+        parts: dict = {}
+        share = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            share = batch.column("_share")[0].as_py()
+            keys = list(zip(*[batch.column(name).to_pylist() for name in columns], strict=True)) if columns else [()] * batch.num_rows
+            numbers: dict = {}
+            group = np.array([numbers.setdefault(k, len(numbers)) for k in keys], dtype=np.int64)
+            position, n = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("position", "n"))
+            # (where it is known, unless it always is, and the value)
+            held = [
+                (batch.column(v).is_valid().to_numpy(zero_copy_only=False) if batch.column(v).null_count else None, batch.column(v).fill_null(0.0).to_numpy(zero_copy_only=False))
+                for v in values
+            ]
+            for key, at in numbers.items():
+                mine = np.flatnonzero(group == at) if len(numbers) > 1 else slice(None)
+                rows = parts.setdefault(key, (int(n[mine][0]), []))[1]
+                rows.append((position[mine].astype(np.int32 if n[0] < 1 << 31 else np.int64), [(None if ok is None else ok[mine], x[mine].copy()) for ok, x in held]))
+        if share is None:
+            return
+        replicates = range(edges[share], edges[share + 1])
+        draws = Draws(seed, replicates)
+        for key in list(parts):
+            n, rows = parts.pop(key)
+            low, high = min(int(p.min()) for p, _ in rows), max(int(p.max()) for p, _ in rows) + 1
+            # a position without a row here (another block has it) and a null count nothing
+            every = sum(len(p) for p, _ in rows) == high - low and all(ok is None for _, held in rows for ok, _ in held)
+            there = None if every else np.zeros((len(values), high - low), np.bool_)
+            value = np.zeros((len(values), high - low))
+            while rows:
+                position, held = rows.pop()
+                for k, (ok, x) in enumerate(held):
+                    value[k, position - low] = x
+                    if there is not None:
+                        there[k, position - low] = True if ok is None else ok
+            count, total = np.zeros((len(values), len(replicates))), np.zeros((len(values), len(replicates)))
+            for start in range(0, n, _SLOTS):
+                for _, drawn in draws.of([b"%d" % slot for slot in range(start, min(n, start + _SLOTS))]):
+                    place = np.floor(drawn * (1.0 / (1 << 52)) * n).astype(np.int64) - low
+                    inside = np.True_ if low == 0 and high == n else (place >= 0) & (place < high - low)
+                    if inside is not np.True_:
+                        place[~inside] = 0
+                    for k in range(len(values)):
+                        found = value[k].take(place)
+                        if inside is not np.True_:
+                            found *= inside
+                        total[k] += found.sum(0)
+                        count[k] += (inside & there[k].take(place)).sum(0) if there is not None else len(place) if inside is np.True_ else inside.sum(0)
+            arrays = [pa.array([v] * len(replicates), schema.field(i).type) for i, v in enumerate(key)]
+            arrays.append(pa.array(list(replicates), pa.int32()))
+            for k in range(len(values)):
+                arrays += [pa.array(count[k]), pa.array(total[k])]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return run
+
+
+#: Slots of a replicate whose names are made at a time.
+_SLOTS = 100_000
+
+
+def _blocks(placed: DataFrame, groups: Sequence[str], rows: int) -> tuple[DataFrame, int]:
+    """``placed`` with the number of its block in ``_block``, and how many blocks there are: pieces of at most ``HELD`` positions of a group, and many small groups, share one."""
+    if rows <= HELD:
+        return placed.withColumn("_block", F.lit(0).cast("bigint")), 1
+    cut = placed.withColumn("_piece", F.floor(F.col("position") / F.lit(HELD)))
+    sizes = cut.groupBy(*groups, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    # one row for each group and each HELD rows
+    before = F.sum("_rows").over(Window.orderBy(*groups, "_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
+    dealt = sizes.select(*groups, "_piece", F.floor(before / F.lit(HELD)).alias("_block"))
+    return stage(cut.join(dealt, [*groups, "_piece"]).drop("_piece")), rows // HELD + 1
 
 
 def drawn_interval(
@@ -215,20 +295,31 @@ def drawn_interval(
 ) -> DataFrame:
     """Percentile interval of each value's mean, per group, over replicates of exactly as many rows drawn with replacement; groups under two samples have none.
 
-    Every row stands for one slot of every replicate and draws the position it is filled from. The drawn rows carry only the losses, and a
-    replicate is reduced to sums before it is shuffled. At most ``LOOKED_UP`` rows are broadcast to the draws; where there are more, the draws, rows
-    times replicates, are shuffled to meet them.
+    Every row stands for one slot of every replicate and draws the position it is filled from. A task makes the draws of some replicates
+    and reads the values they land on in arrays, so neither draws nor drawn rows are shuffled: only the sums of a replicate leave it. Every task
+    reads the rows from the staged files. Beyond ``HELD`` rows they are cut into blocks, and the draws are made again for
+    each block of a group: what a task holds does not grow with the table.
     """
     groups = list(groups)
-    # staged, as it is read on both sides of the join
-    placed = stage(shuffled_position(scored, key, seed, groups).where("n >= 2").select(*groups, "position", "n", *values))
-    slots = spread(placed, *groups, "position").select(
-        *groups, F.col("position").alias("_slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")
+    placed = stage(
+        shuffled_position(scored, key, seed, groups).where("n >= 2").select(
+            *groups, F.col("position").cast("bigint").alias("position"), F.col("n").cast("bigint").alias("n"), *[F.col(v).cast("double").alias(v) for v in values]
+        )
+    )
+    cut, blocks = _blocks(placed, groups, placed.count())
+    schema = T.StructType(
+        [*[T.StructField(g, placed.schema[g].dataType) for g in groups], T.StructField("replicate", T.IntegerType())]
+        + [T.StructField(f"_{kind}_{v}", T.DoubleType()) for v in values for kind in ("n", "s")]
     )
-    draws = slots.select(*groups, "replicate", draw_index(F.col("n"), seed, F.col("replicate"), F.col("_slot")).alias("position"))
-    drawn = placed.drop("n")
-    drawn = F.broadcast(drawn) if drawn.count() <= LOOKED_UP else drawn
-    means = draws.join(drawn, [*groups, "position"]).groupBy(*groups, "replicate").agg(*[F.avg(v).alias(v) for v in values])
+    arrow = to_arrow_schema(schema)
+    # more shares than cores, so that a slow one does not hold up the rest
+    shares = max(1, min(resamples, -(-3 * scored.sparkSession.sparkContext.defaultParallelism // blocks)))
+    edges = [resamples * i // shares for i in range(shares + 1)]
+    # one task for each share and block, which streams the block's files past the share's only row: a product without a shuffle
+    dealt = scored.sparkSession.range(0, shares, 1, shares).select(F.col("id").alias("_share"))
+    each = [cut.filter(F.col("_block") == block).drop("_block").coalesce(1).hint("shuffle_replicate_nl").crossJoin(dealt) for block in range(blocks)]
+    sums = reduce(DataFrame.unionAll, each).mapInArrow(_drawn(groups, values, edges, seed, arrow), schema)
+    means = sums.groupBy(*groups, "replicate").agg(*[F.try_divide(F.sum(f"_s_{v}"), F.sum(f"_n_{v}")).alias(v) for v in values])
     whole = means.groupBy(*groups).agg(*[F.collect_list(v).alias(f"_{v}") for v in values])
     ends = [end.alias(f"{v}_{name}") for v in values for name, end in zip(("low", "high"), percentiles(F.col(f"_{v}"), percent), strict=True)]
     return whole.select(*groups, *ends)

@@ -147,3 +147,16 @@ def test_a_replicate_draws_as_many_rows_as_there_are(spark):
     means = sorted(sum(places[draw(r, s)] ** 2 % 17 for s in range(40)) / 40 for r in range(100))
     found = resample.drawn_interval(df, "id", ["g"], ["x"], 100).collect()
     assert [(r["g"], round(r["x_low"], 9), round(r["x_high"], 9)) for r in found] == [("m", round(means[1], 9), round(means[97], 9))]
+
+
+def test_draws_are_looked_up_in_blocks_of_rows(spark, monkeypatch):
+    """No record is made for a draw, and a task holds some rows of a group only: blocks of any size give the same intervals."""
+    rows = [(g, i, None if i % 7 == 3 else float(i * i % 17)) for g, n in (("m", 40), ("k", 9), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id long, x double").repartition(3)
+    whole = resample.drawn_interval(df, "id", ["g"], ["x"], 50).orderBy("g")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "posexplode" not in plan and "explode" not in plan
+    monkeypatch.setattr(resample, "HELD", 7)
+    monkeypatch.setattr(resample, "_SLOTS", 11)
+    parts = resample.drawn_interval(df, "id", ["g"], ["x"], 50).orderBy("g")
+    assert [(r["g"], round(r["x_low"], 9), round(r["x_high"], 9)) for r in parts.collect()] == [(r["g"], round(r["x_low"], 9), round(r["x_high"], 9)) for r in whole.collect()]
