@@ -7,14 +7,17 @@ kicked off before ``as_of``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcast import constants as K
-from gridcast.functions.draws import uniform
+from gridcast.functions.draws import Draws, uniform
 from gridcast.operators.forecast import baseline_forecast
 from gridcast.session import spread, stage
 
@@ -137,8 +140,38 @@ def _trials(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def trial_outcomes(remaining: DataFrame, trials: int = K.SEASON_TRIALS, seed: int = K.SEED) -> DataFrame:
-    """One row per remaining game and trial with its drawn winner."""
+#: Groups a task holds sums or hits of before it sends them on.
+_GROUPS = 1000
+
+
+def _packed(trials: int, seed: int):
+    """mapInArrow: append to each game the bits of the trials its home side wins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = Draws(seed, range(trials))
+        for batch in batches:
+            names = [n.encode() for n in batch.column("_name").to_pylist()]
+            # an unknown chance is not met
+            chances = batch.column("p").cast(pa.float64()).fill_null(-1.0).to_numpy(zero_copy_only=False)
+            bits: list = [None] * batch.num_rows
+            for at, hit in draws.below(names, chances):
+                for i, packed in zip(at.tolist(), np.packbits(hit, axis=1), strict=True):
+                    bits[i] = packed.tobytes()
+            kept = [n for n in batch.schema.names if n != "_name"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(bits, pa.binary())], [*kept, "home_wins"])
+
+    return run
+
+
+def trial_outcomes(remaining: DataFrame, trials: int = K.SEASON_TRIALS, seed: int = K.SEED, packed: bool = False) -> DataFrame:
+    """One row per remaining game and trial with its drawn winner, or if ``packed`` one per game, with the trials its home side wins as bits in ``home_wins``.
+
+    The bits hold the same draws. They are what :func:`trial_records` adds up, as records of games times trials are too many.
+    """
+    if packed:
+        named = spread(remaining, "game_id").withColumn("_name", F.col("game_id").cast("string"))
+        schema = T.StructType([*remaining.schema.fields, T.StructField("home_wins", T.BinaryType())])
+        return named.mapInArrow(_packed(trials, seed), schema)
     home = uniform(seed, F.col("trial"), F.col("game_id")) < F.col("p")
     return (
         spread(remaining, "game_id")
@@ -148,13 +181,69 @@ def trial_outcomes(remaining: DataFrame, trials: int = K.SEASON_TRIALS, seed: in
     )
 
 
-def trial_records(outcomes: DataFrame, base: DataFrame, trials: int = K.SEASON_TRIALS) -> DataFrame:
-    """Final record of every team in every trial: played games plus drawn ones.
+def _bit_rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for bits in batch.column("home_wins").to_pylist():
+        yield np.frombuffer(bits, np.uint8)
 
-    Drawn games are summed per (trial, team) on the map side, so what is shuffled
-    grows with teams and trials and not with games.
-    """
-    drawn = (
+
+def _team_wins(trials: int):
+    """mapInArrow: games with bits, or sums of other tasks, to the games of each team and its wins in every trial."""
+
+    def records(sums: dict) -> pa.RecordBatch:
+        keys, held = list(sums), list(sums.values())
+        ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * trials)
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([k[i] for k in keys], kinds[i]) for i in range(2)], pa.array([n for n, _ in held], pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate([w for _, w in held]))],
+            ["season_year", "team_id", "_n", "_won"],
+        )
+
+    kinds: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def add(key: tuple, games: int, won: np.ndarray) -> None:
+            if key not in sums:
+                sums[key] = [0, np.zeros(trials, np.int64)]
+            sums[key][0] += games
+            np.add(sums[key][1], won, out=sums[key][1])
+
+        for batch in batches:
+            summed = "team_id" in batch.schema.names
+            teams = ["team_id"] if summed else ["home_team_id", "away_team_id"]
+            kinds[:] = [batch.column(n).type for n in ("season_year", teams[0])]
+            keys = list(zip(*[batch.column(n).to_pylist() for n in ("season_year", *teams)], strict=True))
+            if summed:
+                flat = batch.column("_won").flatten().to_numpy(zero_copy_only=False).reshape(-1, trials)
+                for key, games, won in zip(keys, batch.column("_n").to_pylist(), flat, strict=True):
+                    add(key, games, won)
+            else:
+                for (season, home, away), bits in zip(keys, _bit_rows(batch), strict=True):
+                    won = np.unpackbits(bits, count=trials)
+                    add((season, home), 1, won)
+                    add((season, away), 1, 1 - won)
+            if len(sums) > _GROUPS:
+                yield records(sums)
+                sums.clear()
+        if sums:
+            yield records(sums)
+
+    return run
+
+
+def _drawn_records(outcomes: DataFrame, trials: int) -> DataFrame:
+    """Games and wins of every (season, trial, team) among the drawn games. What leaves a task is an array of wins for each of its teams."""
+    if "home_wins" in outcomes.columns:
+        kinds = {f.name: f.dataType for f in outcomes.schema.fields}
+        schema = T.StructType([
+            T.StructField("season_year", kinds["season_year"]), T.StructField("team_id", kinds["home_team_id"]),
+            T.StructField("_n", T.LongType()), T.StructField("_won", T.ArrayType(T.LongType())),
+        ])
+        sides = outcomes.select("season_year", "home_team_id", F.col("away_team_id").cast(kinds["home_team_id"]), "home_wins")
+        sums = sides.mapInArrow(_team_wins(trials), schema).repartition("season_year", "team_id").mapInArrow(_team_wins(trials), schema)
+        each = sums.select("season_year", "team_id", "_n", F.posexplode("_won").alias("trial", "_w"))
+        return each.groupBy("season_year", "trial", "team_id").agg(F.sum("_w").alias("_won"), F.sum("_n").alias("_n"))
+    return (
         outcomes.withColumn(
             "_side",
             F.explode(
@@ -167,11 +256,65 @@ def trial_records(outcomes: DataFrame, base: DataFrame, trials: int = K.SEASON_T
         .groupBy("season_year", "trial", "_side.team_id")
         .agg(F.sum("_side.w").alias("_won"), F.count(F.lit(1)).alias("_n"))
     )
+
+
+def trial_records(outcomes: DataFrame, base: DataFrame, trials: int = K.SEASON_TRIALS) -> DataFrame:
+    """Final record of every team in every trial: played games plus drawn ones.
+
+    Drawn games are summed per (trial, team) on the map side, so what is shuffled
+    grows with teams and trials and not with games.
+    """
+    drawn = _drawn_records(outcomes, trials)
     df = base.withColumn("trial", _trials(trials)).join(drawn, ["season_year", "trial", "team_id"], "left").fillna(0, ["_won", "_n"])
     df = df.withColumn("wins", F.col("wins") + F.col("_won")).withColumn("losses", F.col("losses") + F.col("_n") - F.col("_won"))
     return df.drop("_won", "_n").withColumn("win_rate", win_rate(F.col("wins"), F.col("losses"), F.col("ties")))
 
 
+def _set_hits(trials: int):
+    """mapInArrow: picked games with bits, or the words of other tasks, to the trials in which all picks of a set come true, as whole numbers of 64 bits."""
+    words = -(-trials // 64)
+    every = np.packbits(np.arange(words * 64) < trials).view(np.int64)
+
+    def records(hits: dict, kind: pa.DataType) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(hits) + 1, dtype=np.int32) * words)
+        return pa.RecordBatch.from_arrays([pa.array(list(hits), kind), pa.ListArray.from_arrays(ends, np.concatenate(list(hits.values())))], ["set_id", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: dict = {}
+        for batch in batches:
+            sets, kind = batch.column("set_id").to_pylist(), batch.column("set_id").type
+            if "words" in batch.schema.names:
+                rows = batch.column("words").flatten().to_numpy(zero_copy_only=False).reshape(-1, words)
+            else:
+                home, away = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_home", "_away"))
+                rows = np.zeros((batch.num_rows, words * 8), np.uint8)
+                for i, bits in enumerate(_bit_rows(batch)):
+                    rows[i, : len(bits)] = (bits if home[i] else 0) | (~bits if away[i] else 0)
+                rows = rows.view(np.int64)
+            for key, row in zip(sets, rows, strict=True):
+                if key not in hits:
+                    hits[key] = every.copy()
+                np.bitwise_and(hits[key], row, out=hits[key])
+            if len(hits) > 10 * _GROUPS:
+                yield records(hits, kind)
+                hits.clear()
+        if hits:
+            yield records(hits, kind)
+
+    return run
+
+
+def _joint_hits(outcomes: DataFrame, trials: int) -> DataFrame:
+    """Per set the number of trials in which all its picks come true. ``outcomes`` are packed, with set_id and picked_id."""
+    # a side that cannot be compared with the pick rules nothing out, as a null is not looked at by a minimum
+    right = lambda side: F.coalesce(F.col(side) == F.col("picked_id"), F.lit(True))
+    schema = T.StructType([T.StructField("set_id", outcomes.schema["set_id"].dataType), T.StructField("words", T.ArrayType(T.LongType()))])
+    picked = outcomes.select("set_id", "home_wins", right("home_team_id").alias("_home"), right("away_team_id").alias("_away"))
+    parts = picked.mapInArrow(_set_hits(trials), schema).repartition("set_id").mapInArrow(_set_hits(trials), schema)
+    words = parts.select("set_id", F.posexplode("words").alias("_at", "_word")).groupBy("set_id", "_at").agg(F.bit_and("_word").alias("_word"))
+    return words.groupBy("set_id").agg(F.sum(F.bit_count("_word").cast("bigint")).alias("hits"))
+
+
 def rank_with_tiebreak(
     records: DataFrame, remaining: DataFrame, played_h2h: DataFrame, group: Sequence[str], label: str, seed: int = K.SEED
 ) -> DataFrame:
@@ -278,10 +421,7 @@ def combined_outcomes(
     remaining = stage(
         remaining_probabilities(games.join(ahead.select("game_id").distinct(), "game_id", "left_semi"), history).join(ahead, "game_id")
     )
-    hits = trial_outcomes(remaining, trials, seed).groupBy("set_id", "trial").agg(
-        F.min((F.col("winner_id") == F.col("picked_id")).cast("bigint")).alias("hit")
-    )
-    joint = hits.groupBy("set_id").agg(F.sum("hit").alias("hits"))
+    joint = _joint_hits(trial_outcomes(remaining, trials, seed, packed=True), trials)
     chance = F.when(F.col("picked_id") == F.col("home_team_id"), F.col("p")).otherwise(1 - F.col("p"))
     exact = remaining.groupBy("set_id").agg(F.product(chance).alias("product"))
     sets = picks.select("set_id").distinct().join(done, "set_id", "left").join(joint, "set_id", "left").join(exact, "set_id", "left")
