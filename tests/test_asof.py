@@ -116,3 +116,15 @@ def test_corroboration_matches_brute_force(spark, sources):
         if partners:
             want[i] = max(vis, min(partners))
     assert found == want
+
+
+@pytest.mark.parametrize("sparse", [1000, 150, 0])
+def test_sparse_keys_are_put_in_order_whole(tables, sparse):
+    """All keys whole, the crowded one through buckets, or all of them: the same steps. Keys with few facts take one shuffle."""
+    _, _, f, _ = tables
+    f = f.withColumn("place", F.unix_date(F.col("ts").cast("date")))
+    shown = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+    got = timeline(f, ["k"], "ts", MEASURES(), lead="place", sparse=sparse)
+    assert shown(got) == shown(timeline(f, ["k"], "ts", MEASURES(), lead="place"))
+    if sparse == 1000:
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
